@@ -1,0 +1,5 @@
+"""No streaming operators: the reports are batch queries over staged tables.
+
+The predicates and column functions are plain Columns and also work on a
+streaming DataFrame.
+"""
