@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lanewise import schema as S
+from lanewise.session import shared_folder
 from lanewise.sources import star_schema
-from lanewise.sources.staging import normalize_legs
+from lanewise.sources.staging import load_staged_legs, stage_legs
 from lanewise.sources.tables import typed_orders
 
 # Parameters of the registered reports.
@@ -26,13 +30,32 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    @cached_property
-    def raw(self) -> DataFrame:
-        return star_schema.legs(self.spark, self.sf_dir)
+    _open: ClassVar[dict[tuple[int, str], Tables]] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Tables:
+        """Plans are shared between queries of a session; no data is kept."""
+        key = (id(spark), sf_dir)
+        if key not in cls._open:
+            cls._open[key] = cls(spark, sf_dir)
+        return cls._open[key]
 
     @cached_property
     def legs(self) -> DataFrame:
-        return normalize_legs(self.raw)
+        """The typed leg table, derived and staged once per session.
+
+        Every report reads the staged files, as it would in production: columns
+        are pruned, months skipped and filters pushed down to the scan.
+        """
+        context = self.spark.sparkContext
+        folder = f"{shared_folder(self.spark)}/lanewise/{context.applicationId}"
+        path = f"{folder}/legs-{hashlib.md5(self.sf_dir.encode()).hexdigest()[:12]}"
+        stage_legs(star_schema.legs(self.spark, self.sf_dir), path)
+        return load_staged_legs(self.spark, path)
+
+    @cached_property
+    def raw(self) -> DataFrame:
+        return self.legs.select(*S.LEGS.names)
 
     @cached_property
     def routes(self) -> DataFrame:

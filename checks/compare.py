@@ -35,7 +35,7 @@ def _canonical(rows: Iterable) -> Counter:
 def compare(spark, con, sf_dir: str, name: str) -> str | None:
     """None when equal, else what differs."""
     case = CASES[name]
-    df = case.build(Tables(spark, sf_dir))
+    df = case.build(Tables.of(spark, sf_dir))
     columns = sorted(df.columns)
     ours = df.select(*(f"`{c}`" for c in columns)).collect()
     relation = con.execute(case.sql)

@@ -14,11 +14,17 @@ from lanewise.functions.predicates import Day, as_date, crossdock_leg, is_presen
 
 # ---- parsing: unparsable text becomes NULL, also under ANSI ------------------
 def parse_timestamp(text: Column) -> Column:
-    return F.try_to_timestamp(text, F.lit(S.TIMESTAMP_TEXT)).cast("timestamp_ntz")
+    """Month/day/year and time, with or without leading zeros.
+
+    Rewritten to ISO order and cast, which needs no session time zone. Text of
+    any other form is dropped before the cast, or ISO text would pass.
+    """
+    iso = F.regexp_replace(text, S.TIMESTAMP_TEXT, "$3-$1-$2 $4")
+    return F.nullif(iso, text).try_cast("timestamp_ntz")
 
 
 def parse_date(text: Column) -> Column:
-    return F.try_to_date(text, S.DATE_TEXT)
+    return F.nullif(F.regexp_replace(text, S.DATE_TEXT, "$3-$1-$2"), text).try_cast("date")
 
 
 def parse_iso_date(text: Column) -> Column:

@@ -63,8 +63,8 @@ INVALID_DATE = "Invalid date"
 NO_CODE = "No Code"
 CARRIER_FAILURE = "Carrier Failure"
 
-TIMESTAMP_TEXT = "M/d/yyyy H:mm:ss"
-DATE_TEXT = "M/d/yyyy"
+TIMESTAMP_TEXT = r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}:\d{1,2}:\d{1,2})$"
+DATE_TEXT = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
 ISO_DATE_TEXT = "yyyy-MM-dd"
 
 # Typed column added by staging -> text column it is read from.
@@ -80,6 +80,15 @@ TYPED_TIMES = {
     "booked_ts": "loadBookedTime",
 }
 
+# Layout of the staged leg table; the month is its partition column.
+STAGED_LEGS = T.StructType(
+    LEGS.fields
+    + _fields(" ".join(TYPED_TIMES), T.TimestampNTZType())
+    + _fields("drop_date", T.DateType())
+    + _fields("delivered_ts", T.TimestampNTZType())
+    + _fields("pick_month", T.DateType())
+)
+
 # --- fixed values: cross-dock names and the market each stands for ----------
 CROSSDOCK_NAMES = ("WTCH-%", "ACCL-%", "SB-%", "%Cross-Dock%")
 # Names whose characters 6-8 are the market code itself.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "lanewise", **conf: str) -> SparkSession:
@@ -32,12 +32,15 @@ def use_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor reaches, as the cluster names it.
 
-    A session without ``spark.checkpoint.dir`` (tests) gets a scratch folder.
+    Where ``spark.checkpoint.dir`` is unset (tests), a scratch folder is made
+    once per session.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lanewise-checkpoint-"))
-    return df.checkpoint()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if spark.conf.get("lanewise.scratch", None) is None:
+        spark.conf.set("lanewise.scratch", tempfile.mkdtemp(prefix="lanewise-"))
+    return spark.conf.get("lanewise.scratch")

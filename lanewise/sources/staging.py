@@ -45,7 +45,7 @@ def stage_legs(legs: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def load_staged_legs(spark: SparkSession, path: str) -> DataFrame:
     use_utc(spark)
-    return spark.read.parquet(path)
+    return spark.read.schema(S.STAGED_LEGS).parquet(path)
 
 
 def coerce_numeric(df: DataFrame, columns: Sequence[str], kind: str = "double", fill: float | None = 0) -> DataFrame:

@@ -7,9 +7,7 @@ and text arithmetic only, so that any engine derives the same values.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise import schema as S
@@ -17,21 +15,78 @@ from lanewise.functions.times import parse_timestamp
 from lanewise.session import use_utc
 
 
-def _cases(*pairs, otherwise=None) -> Column:
-    """First matching case wins; plain Python values become constants."""
-    head, *tail = pairs
-    chain = reduce(lambda c, pair: c.when(*pair), tail, F.when(*head))
-    return chain.otherwise(otherwise)
-
-
-def _text(name: str) -> Column:
-    return F.col(name).cast("string")
-
-
-def _after(minutes) -> Column:
+def _after(minutes: str) -> str:
     """Ship date plus some minutes as time text."""
-    shift = F.make_dt_interval(F.lit(0), F.lit(0), minutes if isinstance(minutes, Column) else F.lit(minutes))
-    return F.date_format(F.col("d") + shift, "MM/dd/yyyy HH:mm:ss")
+    return f"date_format(d + make_dt_interval(0, 0, int({minutes})), 'MM/dd/yyyy HH:mm:ss')"
+
+
+def _digits(name: str) -> str:
+    """At least five digits; longer numbers stay whole."""
+    return f"if({name} < 100000, lpad(string({name}), 5, '0'), string({name}))"
+
+
+_MARKET_GAPS = "CASE WHEN p % 41 = 0 THEN NULL WHEN p % 43 = 0 THEN ''"
+
+_KEYS = {
+    "shipmentType": f"""CASE WHEN k % 10 = 5 AND n = 7 THEN '{S.FTL}' WHEN k % 10 < 6 THEN '{S.LTL}'
+        WHEN k % 10 < 9 THEN '{S.FTL}' ELSE '{S.PARCEL}' END""",
+    "pickLocationName": """CASE p % 10 WHEN 0 THEN 'WTCH-' || sm || '-1' WHEN 1 THEN 'ACCL-' || sm
+        WHEN 2 THEN 'SB-NYC-UG' WHEN 3 THEN 'ACME Cross-Dock Chicago' WHEN 4 THEN NULL WHEN 5 THEN 'SB-ZZZ-1'
+        ELSE 'Vendor ' || p END""",
+}
+
+_COLUMNS = {
+    "orderCode": "'P-' || k",
+    "warpId": f"'S-' || (k * 10 + n) || {_digits('p')} || {_digits('s')}",
+    "loadId": "lpad(string(s), 5, '0') || '-' || date_format(d, 'yyMM')",
+    "mainShipment": f"""CASE WHEN n = 7 AND p % 11 = 0 THEN NULL
+        WHEN n <= CASE shipmentType WHEN '{S.FTL}' THEN 3 WHEN '{S.PARCEL}' THEN 5 ELSE 1 END THEN 'YES'
+        ELSE 'NO' END""",
+    "shipmentStatus": """CASE WHEN p % 37 = 0 THEN 'Removed' WHEN st = 'F' OR (st = 'O' AND k % 2 = 0) THEN 'Complete'
+        WHEN st = 'O' THEN 'Pending' WHEN k % 3 = 0 THEN 'Canceled' ELSE 'Complete' END""",
+    "pickStatus": "CASE WHEN n = 1 THEN NULL WHEN p % 13 = 0 THEN 'Failed' ELSE 'Succeeded' END",
+    "dropStatus": "CASE WHEN n = 1 THEN NULL WHEN p % 14 = 0 THEN 'Failed' ELSE 'Succeeded' END",
+    "clientName": "CASE WHEN ck % 97 = 0 THEN NULL WHEN ck % 25 = 0 THEN 'DoorDash' ELSE c_name END",
+    "carrierName": "if(s % 10 = 0, 'Accelerated USA Inc', s_name)",
+    "carrierSaleRep": "'Rep ' || (s % 7)",
+    "startMarket": f"{_MARKET_GAPS} ELSE sm END",
+    "endMarket": f"{_MARKET_GAPS} WHEN n = 4 THEN sm ELSE cm END",
+    "dropLocationName": """CASE WHEN n = 5 THEN pickLocationName WHEN s % 8 = 0 THEN 'WTCH-' || cm || '-2'
+        WHEN s % 8 = 1 THEN 'GoBolt NYC Cross-Dock' WHEN s % 8 = 2 THEN NULL WHEN s % 8 = 3 THEN 'DoorDash ' || cm
+        ELSE 'Dock ' || ck END""",
+    "pickCity": "'City ' || (s % 50)",
+    "pickState": "'S' || (s % 9)",
+    "dropCity": "'City ' || (ck % 50)",
+    "dropState": "'S' || (ck % 9)",
+    "pickWindowFrom": f"""CASE WHEN p % 97 = 0 THEN '{S.INVALID_DATE}' WHEN p % 101 = 0 THEN NULL
+        ELSE {_after('480')} END""",
+    "pickWindowTo": _after("720"),
+    "pickTimeArrived": f"CASE WHEN p % 23 = 0 THEN NULL WHEN p % 29 = 0 THEN '' ELSE {_after('480 + 6 * q')} END",
+    "pickTimeDeparted": f"if(p % 31 = 0, NULL, {_after('480 + 6 * q + 13 * n')})",
+    "dropWindowFrom": _after("1440 * n + 540"),
+    "dropWindowTo": _after("1440 * n + 1020"),
+    "dropTimeArrived": f"""CASE WHEN p % 19 = 0 THEN NULL WHEN p % 17 = 0 THEN ''
+        ELSE {_after('1440 * n + 540 + 12 * q')} END""",
+    "dropTimeDeparted": f"""CASE WHEN p % 19 = 0 THEN NULL WHEN p % 17 = 0 THEN ''
+        ELSE {_after('1440 * n + 540 + 12 * q + 17 * n')} END""",
+    "dropDateArrived": "if(p % 2 = 0, date_format(d + make_dt_interval(int(n)), 'MM/dd/yyyy'), '')",
+    "loadBookedTime": _after("-2880 + 445"),
+    "pickupDelayCode": """CASE WHEN q < 30 OR p % 4 = 2 THEN NULL WHEN p % 4 = 0 THEN 'Shipper Delay'
+        WHEN p % 4 = 1 THEN '' ELSE 'Weather' END""",
+    "deliveryDelayCode": """CASE WHEN q < 35 OR p % 4 = 0 THEN NULL WHEN p % 4 = 1 THEN 'Receiver Delay'
+        WHEN p % 4 = 2 THEN '' ELSE 'Traffic' END""",
+    "equipment": """CASE p % 5 WHEN 0 THEN '53-ft Trailer' WHEN 1 THEN '53-ft Reefer' WHEN 2 THEN '26-ft Straight Truck'
+        WHEN 3 THEN 'Cargo Van /w Lift Gate' ELSE 'Reefer Straight box truck' END""",
+    "revenueAllocationNumber": "CASE WHEN n = 1 AND p % 7 = 0 THEN 0 WHEN p % 59 = 0 THEN -price ELSE price END",
+    "costAllocationNumber": "if(p % 53 = 0, NULL, price * (disc + CAST('0.80' AS DECIMAL(4, 2))))",
+    "pieces": "if(p % 47 = 0, 0, q)",
+}
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of a few files; a large one has splits enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,175 +96,50 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     the large sides adaptive execution splits skewed join partitions.
     """
 
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-    lines = table("lineitem").select(
-        F.col("l_orderkey").alias("k"),
-        F.col("l_linenumber").cast("bigint").alias("n"),
-        F.col("l_partkey").alias("p"),
-        F.col("l_suppkey").alias("s"),
-        F.col("l_quantity").cast("int").alias("q"),
-        F.col("l_shipdate").alias("d"),
-        F.col("l_extendedprice").cast("decimal(12,2)").alias("price"),
-        F.col("l_discount").cast("decimal(4,2)").alias("disc"),
-    )
-    orders = table("orders").select(
-        F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("ck"), F.col("o_orderstatus").alias("st")
-    )
-    market = lambda name: F.concat(F.lit("M"), F.lpad(_text(name), 2, "0"))
-    suppliers = table("supplier").select(
-        F.col("s_suppkey").alias("s"), F.col("s_name"), market("s_nationkey").alias("sm")
-    )
-    customers = table("customer").select(
-        F.col("c_custkey").alias("ck"), F.col("c_name"), market("c_nationkey").alias("cm")
+    def table(name: str, *columns: str) -> DataFrame:
+        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").selectExpr(*columns)
+
+    lines = table(
+        "lineitem",
+        "l_orderkey AS k",
+        "bigint(l_linenumber) AS n",
+        "l_partkey AS p",
+        "l_suppkey AS s",
+        "int(l_quantity) AS q",
+        "l_shipdate AS d",
+        "CAST(l_extendedprice AS DECIMAL(12, 2)) AS price",
+        "CAST(l_discount AS DECIMAL(4, 2)) AS disc",
     )
-    return lines.join(orders, "k").join(suppliers, "s").join(customers, "ck")
+    orders = table("orders", "o_orderkey AS k", "o_custkey AS ck", "o_orderstatus AS st")
+    suppliers = table("supplier", "s_suppkey AS s", "s_name", "'M' || lpad(string(s_nationkey), 2, '0') AS sm")
+    customers = table("customer", "c_custkey AS ck", "c_name", "'M' || lpad(string(c_nationkey), 2, '0') AS cm")
+    return _spread(lines).join(orders, "k").join(suppliers, "s").join(customers, "ck")
 
 
 def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     use_utc(spark)
-    k, n, p, s, ck, q = (F.col(x) for x in ("k", "n", "p", "s", "ck", "q"))
-    sm, cm, price, st = F.col("sm"), F.col("cm"), F.col("price"), F.col("st")
-    nothing = F.lit(None).cast("string")
-    base = _base(spark, sf_dir).withColumns(
-        {
-            "shipmentType": _cases(
-                ((k % 10 == 5) & (n == 7), S.FTL),
-                (k % 10 < 6, S.LTL),
-                (k % 10 < 9, S.FTL),
-                otherwise=S.PARCEL,
-            ),
-            "pickLocationName": _cases(
-                (p % 10 == 0, F.concat(F.lit("WTCH-"), sm, F.lit("-1"))),
-                (p % 10 == 1, F.concat(F.lit("ACCL-"), sm)),
-                (p % 10 == 2, "SB-NYC-UG"),
-                (p % 10 == 3, "ACME Cross-Dock Chicago"),
-                (p % 10 == 4, nothing),
-                (p % 10 == 5, "SB-ZZZ-1"),
-                otherwise=F.concat(F.lit("Vendor "), p.cast("string")),
-            ),
-        }
+    # Over thirty derived columns make one method too long for the JIT compiler;
+    # beyond this size Spark splits the projection into methods that compile.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    base = _base(spark, sf_dir).selectExpr("*", *(f"{sql} AS {name}" for name, sql in _KEYS.items()))
+    derived = _COLUMNS | {name: name for name in _KEYS}
+    return base.selectExpr(
+        *(f"CAST({derived[f.name]} AS {f.dataType.simpleString()}) AS {f.name}" for f in S.LEGS)
     )
-    headers = _cases(
-        (F.col("shipmentType") == S.FTL, 3), (F.col("shipmentType") == S.PARCEL, 5), otherwise=1
-    )
-
-    def five_digits(value: Column) -> Column:
-        """At least five digits; longer numbers stay whole."""
-        text = value.cast("string")
-        return F.when(value < 100000, F.lpad(text, 5, "0")).otherwise(text)
-
-    leg_key = F.concat((k * 10 + n).cast("string"), five_digits(p), five_digits(s))
-
-    def end_status(divisor: int) -> Column:
-        return _cases((n == 1, nothing), (p % divisor == 0, "Failed"), otherwise=S.SUCCEEDED)
-
-    def with_gaps(value: Column, missing: int, blank: int | None = None) -> Column:
-        pairs = [(p % missing == 0, nothing)]
-        if blank:
-            pairs.append((p % blank == 0, F.lit("")))
-        return _cases(*pairs, otherwise=value)
-
-    def market_or_gap(value: Column) -> Column:
-        return with_gaps(value, 41, 43)
-
-    drop_day = 1440 * n
-    derived = {
-        "orderCode": F.concat(F.lit("P-"), k.cast("string")),
-        "warpId": F.concat(F.lit("S-"), leg_key),
-        "loadId": F.concat(F.lpad(s.cast("string"), 5, "0"), F.lit("-"), F.date_format("d", "yyMM")),
-        "mainShipment": _cases(
-            ((n == 7) & (p % 11 == 0), nothing), (n <= headers, S.HEADER), otherwise=S.LEG
-        ),
-        "shipmentStatus": _cases(
-            (p % 37 == 0, "Removed"),
-            ((st == "F") | ((st == "O") & (k % 2 == 0)), S.COMPLETE),
-            (st == "O", "Pending"),
-            (k % 3 == 0, "Canceled"),
-            otherwise=S.COMPLETE,
-        ),
-        "pickStatus": end_status(13),
-        "dropStatus": end_status(14),
-        "clientName": _cases((ck % 97 == 0, nothing), (ck % 25 == 0, "DoorDash"), otherwise=F.col("c_name")),
-        "carrierName": _cases((s % 10 == 0, "Accelerated USA Inc"), otherwise=F.col("s_name")),
-        "carrierSaleRep": F.concat(F.lit("Rep "), (s % 7).cast("string")),
-        "startMarket": market_or_gap(sm),
-        "endMarket": market_or_gap(F.when(n == 4, sm).otherwise(cm)),
-        "dropLocationName": _cases(
-            (n == 5, F.col("pickLocationName")),
-            (s % 8 == 0, F.concat(F.lit("WTCH-"), cm, F.lit("-2"))),
-            (s % 8 == 1, "GoBolt NYC Cross-Dock"),
-            (s % 8 == 2, nothing),
-            (s % 8 == 3, F.concat(F.lit("DoorDash "), cm)),
-            otherwise=F.concat(F.lit("Dock "), ck.cast("string")),
-        ),
-        "pickCity": F.concat(F.lit("City "), (s % 50).cast("string")),
-        "pickState": F.concat(F.lit("S"), (s % 9).cast("string")),
-        "dropCity": F.concat(F.lit("City "), (ck % 50).cast("string")),
-        "dropState": F.concat(F.lit("S"), (ck % 9).cast("string")),
-        "pickWindowFrom": _cases(
-            (p % 97 == 0, S.INVALID_DATE), (p % 101 == 0, nothing), otherwise=_after(480)
-        ),
-        "pickWindowTo": _after(720),
-        "pickTimeArrived": with_gaps(_after(480 + 6 * q), 23, 29),
-        "pickTimeDeparted": with_gaps(_after((480 + 6 * q + 13 * n).cast("int")), 31),
-        "dropWindowFrom": _after((drop_day + 540).cast("int")),
-        "dropWindowTo": _after((drop_day + 1020).cast("int")),
-        "dropTimeArrived": with_gaps(_after((drop_day + 540 + 12 * q).cast("int")), 19, 17),
-        "dropTimeDeparted": with_gaps(_after((drop_day + 540 + 12 * q + 17 * n).cast("int")), 19, 17),
-        "dropDateArrived": F.when(
-            p % 2 == 0, F.date_format(F.col("d") + F.make_dt_interval(n.cast("int")), "MM/dd/yyyy")
-        ).otherwise(""),
-        "loadBookedTime": _after(-2880 + 445),
-        "pickupDelayCode": _cases(
-            ((q < 30) | (p % 4 == 2), nothing),
-            (p % 4 == 0, "Shipper Delay"),
-            (p % 4 == 1, ""),
-            otherwise="Weather",
-        ),
-        "deliveryDelayCode": _cases(
-            ((q < 35) | (p % 4 == 0), nothing),
-            (p % 4 == 1, "Receiver Delay"),
-            (p % 4 == 2, ""),
-            otherwise="Traffic",
-        ),
-        "equipment": _cases(
-            (p % 5 == 0, "53-ft Trailer"),
-            (p % 5 == 1, "53-ft Reefer"),
-            (p % 5 == 2, "26-ft Straight Truck"),
-            (p % 5 == 3, "Cargo Van /w Lift Gate"),
-            otherwise="Reefer Straight box truck",
-        ),
-        "revenueAllocationNumber": _cases(
-            ((n == 1) & (p % 7 == 0), F.lit(0).cast("decimal(12,2)")),
-            (p % 59 == 0, -price),
-            otherwise=price,
-        ),
-        "costAllocationNumber": F.when(
-            p % 53 != 0, price * (F.col("disc") + F.lit("0.80").cast("decimal(4,2)"))
-        ),
-        "pieces": F.when(p % 47 == 0, 0).otherwise(q),
-    }
-    table = base.withColumns(derived)
-    return table.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in S.LEGS))
 
 
 def routes(legs_df: DataFrame) -> DataFrame:
     """One row per load; loads of every sixth supplier are left out on purpose."""
-    supplier = F.substring("loadId", 1, 5).cast("int")
+    supplier = "int(substring(loadId, 1, 5))"
     totals = (
-        legs_df.where(supplier % 6 != 0)
+        legs_df.where(f"{supplier} % 6 <> 0")
         .groupBy("loadId")
-        .agg(
-            F.sum("pieces").alias("palletCount"),
-            F.sum("costAllocationNumber").cast("decimal(28,2)").cast("string").alias("cost"),
-        )
+        .agg(F.sum("pieces").alias("palletCount"), F.sum("costAllocationNumber").alias("cost"))
     )
-    return totals.select(
-        F.col("loadId").alias("routeId"),
+    return totals.selectExpr(
+        "loadId AS routeId",
         "palletCount",
-        F.when(supplier % 11 == 0, "n/a").otherwise(F.col("cost")).alias("transitCost"),
+        f"if({supplier} % 11 = 0, 'n/a', string(CAST(cost AS DECIMAL(28, 2)))) AS transitCost",
     )
 
 
@@ -218,44 +148,29 @@ def route_codes(legs_df: DataFrame) -> DataFrame:
 
     One row per leg rather than one per load, so that no array grows with the data.
     """
-    codes = F.to_json(F.array(F.col("warpId"), F.concat("warpId", F.lit("0"))))
-    return legs_df.select(F.col("loadId").alias("routeId"), codes.alias("shipmentCodes"))
+    return legs_df.selectExpr("loadId AS routeId", "to_json(array(warpId, warpId || '0')) AS shipmentCodes")
 
 
 def orders_fin(legs_df: DataFrame) -> DataFrame:
     """Order-level money as text; headers of multi-row LTL orders carry none."""
-    by_role = legs_df.select(
-        "orderCode",
-        "clientName",
-        "shipmentType",
-        "shipmentStatus",
-        "revenueAllocationNumber",
-        "costAllocationNumber",
-        F.to_date(parse_timestamp(F.col("loadBookedTime"))).alias("booked"),
-        (
-            (F.col("shipmentType") == S.LTL) & (F.coalesce("mainShipment", F.lit(S.HEADER)) == S.HEADER)
-        ).alias("is_copy"),
-    )
-    revenue = F.col("revenueAllocationNumber")
-    per_order = by_role.groupBy("orderCode").agg(
+    is_copy = f"shipmentType = '{S.LTL}' AND coalesce(mainShipment, '{S.HEADER}') = '{S.HEADER}'"
+    booked = F.to_date(parse_timestamp(F.col("loadBookedTime")))
+    per_order = legs_df.groupBy("orderCode").agg(
         F.count(F.lit(1)).alias("cnt"),
         F.max("clientName").alias("customerName"),
         F.max("shipmentType").alias("shipmentType"),
         F.max("shipmentStatus").alias("status"),
-        F.sum(revenue).alias("everything"),
-        F.sum(F.when(F.col("is_copy"), 0).otherwise(revenue)).alias("without_copies"),
+        F.sum("revenueAllocationNumber").alias("everything"),
+        F.expr(f"sum(if({is_copy}, 0, revenueAllocationNumber))").alias("without_copies"),
         F.sum("costAllocationNumber").alias("cost"),
-        F.min("booked").alias("first_booked"),
+        F.min(booked).alias("first_booked"),
     )
-    money = lambda c: c.cast("decimal(28,2)").cast("string")
-    return per_order.select(
-        F.col("orderCode").alias("code"),
+    return per_order.selectExpr(
+        "orderCode AS code",
         "customerName",
         "shipmentType",
         "status",
-        money(F.when(F.col("cnt") > 1, F.col("without_copies")).otherwise(F.col("everything"))).alias(
-            "revenueAllocation"
-        ),
-        money(F.col("cost")).alias("costAllocation"),
-        F.date_format("first_booked", "yyyy-MM-dd").alias("createdAt"),
+        "string(CAST(if(cnt > 1, without_copies, everything) AS DECIMAL(28, 2))) AS revenueAllocation",
+        "string(CAST(cost AS DECIMAL(28, 2))) AS costAllocation",
+        "date_format(first_booked, 'yyyy-MM-dd') AS createdAt",
     )
