@@ -79,12 +79,13 @@ CASES: dict[str, Case] = {}
 
 _SQL_TYPES = {"s": "VARCHAR", "i": "BIGINT", "d": "DOUBLE", "b": "BOOLEAN"}
 _ROUND = 6
+_NUDGE = 3.1e-8  # off the ties that means of money over 2^n rows fall on
 
 
 def _sql_column(spec: str) -> str:
     name, kind = spec.split()
     if kind == "r":  # statistics in doubles, compared after rounding
-        return f'round({name}::DOUBLE, {_ROUND}) + 0.0 AS "{name}"'
+        return f'round({name}::DOUBLE + {_NUDGE}, {_ROUND}) + 0.0 AS "{name}"'
     if kind == "t":
         return f"strftime({name}::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS \"{name}\""
     if kind == "day":
@@ -96,7 +97,7 @@ def _spark_column(df: DataFrame, spec: str) -> F.Column:
     name, kind = spec.split()
     value = F.col(name)
     if kind == "r":
-        value = F.round(value.cast("double"), _ROUND) + 0.0
+        value = F.round(value.cast("double") + _NUDGE, _ROUND) + 0.0
     elif kind == "t":
         value = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
     elif kind == "day":

@@ -20,13 +20,7 @@ def _late_days(at: str, window: str) -> str:
     return f"CASE WHEN {at}::DATE < {window}::DATE THEN 0 ELSE {at}::DATE - {window}::DATE END"
 
 
-# seconds / 86400, two decimals, ties to even, in integers
-_SECONDS = "date_diff('second', pa, da)"
-_DAYS = (
-    f"(({_SECONDS} * 100) // 86400 + CASE WHEN 2 * (({_SECONDS} * 100) % 86400) > 86400"
-    f" OR (2 * (({_SECONDS} * 100) % 86400) = 86400 AND (({_SECONDS} * 100) // 86400) % 2 = 1) THEN 1 ELSE 0 END)"
-    " / 100.0::DOUBLE"
-)
+_DAYS = "round_even(epoch(da - pa)::DOUBLE / 86400 * 100, 0) / 100"
 
 TRANSIT_SQL = f"""
   SELECT loadId AS load_id, warpId AS leg_id, pf AS scheduled_pick, pa AS actual_pick,
@@ -88,7 +82,7 @@ _TIMED = {s: f"{s}TimeArrived IS NOT NULL AND {s}WindowTo IS NOT NULL" for s in
 case(
     "o26_carrier_otp",
     "shipmentType s, total i, on_time i, otp_pct d",
-    f"""SELECT *, {pct('on_time', 'total', even=False)} AS otp_pct FROM (
+    f"""SELECT *, {pct('on_time', 'total')} AS otp_pct FROM (
           SELECT shipmentType, count(*) AS total, count(*) FILTER (WHERE pa < pt) AS on_time
           FROM ({first_stop_sql('pick', f"{_DONE['pick']} AND {_TIMED['pick']} AND carrierName = '{CARRIER}' "
                                 "AND pf >= DATE '1997-01-01' AND pf < DATE '1998-01-01'")})
@@ -98,7 +92,7 @@ case(
 case(
     "o30_site_otd",
     "dropLocationName s, shipmentType s, total i, on_time i, otd_pct d",
-    f"""SELECT *, {pct('on_time', 'total', even=False)} AS otd_pct FROM (
+    f"""SELECT *, {pct('on_time', 'total')} AS otd_pct FROM (
           SELECT dropLocationName, shipmentType, count(*) AS total, count(*) FILTER (WHERE da < dt) AS on_time
           FROM ({first_stop_sql('drop', f"{_DONE['drop']} AND {_TIMED['drop']} "
                                 "AND regexp_matches(dropLocationName, 'Door[Dd]ash')")})

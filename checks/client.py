@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.base import CLIENT, FIRST, LAST, Tables, case
-from checks.sql import DIFFERENT_PLACES, ON_TIME_DROP, ON_TIME_PICK, headers, pct, pct0
+from checks.sql import DIFFERENT_PLACES, ON_TIME_DROP, ON_TIME_PICK, headers, printed, printed0
 from lanewise.plans import client as C
 from lanewise.sources.reports import number_rows, with_headings
 
@@ -18,7 +18,7 @@ SUMMARY_SQL = f"""
   FROM ({headers(FIRST, LAST)}) WHERE clientName IS NOT NULL GROUP BY clientName
 """
 RATED_SQL = f"""
-  SELECT *, {pct0('otp_on_time', 'otp_total')} AS otp_rate, {pct0('otd_on_time', 'otd_total')} AS otd_rate
+  SELECT *, {printed0('otp_on_time', 'otp_total')} AS otp_rate, {printed0('otd_on_time', 'otd_total')} AS otd_rate
   FROM ({SUMMARY_SQL})
 """
 SUMMARY_COLUMNS = (
@@ -48,7 +48,7 @@ case(
     "o05_client_kpis",
     "clients i, shipments i, otp_rate d, otd_rate d",
     f"""SELECT count(*) AS clients, sum(shipments) AS shipments,
-        {pct('sum(otp_on_time)', 'sum(otp_total)')} AS otp_rate, {pct('sum(otd_on_time)', 'sum(otd_total)')} AS otd_rate
+        {printed('sum(otp_on_time)', 'sum(otp_total)')} AS otp_rate, {printed('sum(otd_on_time)', 'sum(otd_total)')} AS otd_rate
         FROM ({RATED_SQL})""",
 )(lambda x: C.client_kpis(summary(x)))
 
@@ -150,8 +150,8 @@ _KPI_COUNTS = """
 case(
     "o07_client_detail_kpis",
     "shipments i, otp_on_time i, otp_late i, otd_on_time i, otd_late i, otp_rate d, otd_rate d",
-    f"""SELECT *, {pct('otp_on_time', 'otp_on_time + otp_late')} AS otp_rate,
-        {pct('otd_on_time', 'otd_on_time + otd_late')} AS otd_rate
+    f"""SELECT *, {printed('otp_on_time', 'otp_on_time + otp_late')} AS otp_rate,
+        {printed('otd_on_time', 'otd_on_time + otd_late')} AS otd_rate
         FROM (SELECT {_KPI_COUNTS} FROM ({detail_sql()}))""",
 )(lambda x: C.client_detail_kpis(detail(x)))
 

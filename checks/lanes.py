@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.base import FIRST, LAST, Tables, case
-from checks.sql import pct, pct0
+from checks.sql import printed0, table0
 from lanewise.operators import orders as R
 from lanewise.plans import lanes as L
 
@@ -43,7 +43,7 @@ _MONEY = """count(DISTINCT orderCode) AS order_count, sum(coalesce(rev, 0)) AS t
 
 def lane_sql(kind: str, compat: str = "corrected", extra: str = "true") -> str:
     return f"""
-  SELECT *, {pct0('crossdock_cost', 'total_cost')} AS crossdock_cost_pct, {pct0('total_profit', 'total_revenue')} AS margin_pct
+  SELECT *, {table0('crossdock_cost', 'total_cost')} AS crossdock_cost_pct, {table0('total_profit', 'total_revenue')} AS margin_pct
   FROM (SELECT startMarket || ' → ' || endMarket AS lane, startMarket AS start_market, endMarket AS end_market, {_MONEY}
         FROM ({rows_sql(f"{DELIVERED} AND {HAS_LANE} AND {extra}", kind, compat)}) GROUP BY startMarket, endMarket)
 """
@@ -77,7 +77,7 @@ case(
 case(
     "o12_lane_kpis",
     "total_revenue d, total_cost d, total_profit d, crossdock_cost d, crossdock_cost_pct d",
-    f"""SELECT *, CASE WHEN total_cost > 0 THEN {pct('crossdock_cost', 'total_cost')} ELSE 0 END AS crossdock_cost_pct
+    f"""SELECT *, CASE WHEN total_cost > 0 THEN {printed0('crossdock_cost', 'total_cost')} ELSE 0 END AS crossdock_cost_pct
         FROM (SELECT sum(total_revenue) AS total_revenue, sum(total_cost) AS total_cost, sum(total_profit) AS total_profit,
               sum(crossdock_cost) AS crossdock_cost FROM ({lane_sql('All')}))""",
 )(lambda x: L.lane_kpis(L.profit_by_lane(x.legs, FIRST, LAST)))
@@ -123,7 +123,7 @@ case(
 case(
     "o14_drill_down_kpis",
     "orders i, rows i, total_revenue d, total_cost d, total_profit d, crossdock_cost d, crossdock_cost_pct d",
-    f"""SELECT *, CASE WHEN total_cost > 0 THEN {pct('crossdock_cost', 'total_cost')} ELSE 0 END AS crossdock_cost_pct
+    f"""SELECT *, CASE WHEN total_cost > 0 THEN {printed0('crossdock_cost', 'total_cost')} ELSE 0 END AS crossdock_cost_pct
         FROM (SELECT count(DISTINCT order_code) AS orders, count(*) AS rows, sum(revenue) AS total_revenue,
               sum(cost) AS total_cost, sum(profit) AS total_profit,
               sum(CASE crossdock WHEN 'Yes' THEN cost ELSE 0 END) AS crossdock_cost
@@ -135,7 +135,7 @@ case(
 def within_sql(kind: str, crossdock: bool = True, compat: str = "corrected") -> str:
     counted = "true" if crossdock else "pickLocationName <> dropLocationName"
     return f"""
-  SELECT *, {pct0('total_profit', 'total_revenue')} AS margin_pct
+  SELECT *, {printed0('total_profit', 'total_revenue')} AS margin_pct
   FROM (SELECT startMarket AS market, {_MONEY}
         FROM (SELECT * FROM ({rows_sql(f"{DELIVERED} AND {SAME_MARKET}", kind, compat)}) WHERE {counted})
         GROUP BY startMarket)

@@ -19,7 +19,7 @@ def last_month(column: str) -> str:
 case(
     "o27_customer_otd_by_lane_equipment",
     "lane s, start_market s, end_market s, equipment s, shipment_type s, total_deliveries i, on_time i, otd_pct d",
-    f"""SELECT *, {pct('on_time', 'total_deliveries', even=False)} AS otd_pct FROM (
+    f"""SELECT *, {pct('on_time', 'total_deliveries')} AS otd_pct FROM (
           SELECT startMarket || ' → ' || endMarket AS lane, startMarket AS start_market, endMarket AS end_market, equipment,
             shipmentType AS shipment_type, count(*) AS total_deliveries, count(*) FILTER (WHERE da < dt) AS on_time
           FROM t WHERE clientName = '{CLIENT}' AND mainShipment = 'YES' AND shipmentStatus = 'Complete'
@@ -32,7 +32,7 @@ _ORDER_MONEY = """count(DISTINCT {code}) AS order_count, sum({r}) AS total_reven
     sum({r} - {c}) AS total_profit"""
 _FROM_ORDERS = _ORDER_MONEY.format(code="code", r="revenue", c="cost")
 _FROM_LEGS = _ORDER_MONEY.format(code="orderCode", r="rev", c="cost")
-_MARGIN = f"{pct('total_profit', 'total_revenue', even=False)} AS margin_pct"
+_MARGIN = f"{pct('total_profit', 'total_revenue')} AS margin_pct"
 _MONEY_COLUMNS = "order_count i, total_revenue d, total_cost d, total_profit d"
 
 case(

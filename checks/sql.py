@@ -3,25 +3,36 @@
 from __future__ import annotations
 
 
-def pct(n: str, d: str, places: int = 1, even: bool = True) -> str:
-    """100·n/d in exact integer arithmetic, NULL for d = 0.
+def pct(n: str, d: str, places: int = 1) -> str:
+    """100·n/d in exact integer arithmetic, ties away from zero, NULL for d = 0.
 
-    ``n`` and ``d`` have at most four decimals. Ties go to the even digit or
-    away from zero.
+    ``n`` and ``d`` have at most four decimals.
     """
     scale = 100 * 10**places
     a = f"(abs(({n})::DECIMAL(24,4)) * 10000)::HUGEINT * {scale}"
     b = f"(abs(({d})::DECIMAL(24,4)) * 10000)::HUGEINT"
-    up = f"2 * (({a}) % ({b})) > ({b})"
-    tie = f"2 * (({a}) % ({b})) = ({b})" + (f" AND (({a}) // ({b})) % 2 = 1" if even else "")
     return (
         f"CASE WHEN ({d}) <> 0 THEN (sign({n}) * sign({d}))::BIGINT"
-        f" * (({a}) // ({b}) + CASE WHEN {up} OR ({tie}) THEN 1 ELSE 0 END)::BIGINT / {10**places}.0::DOUBLE END"
+        f" * ((2 * {a} + {b}) // (2 * {b}))::BIGINT / {10**places}.0::DOUBLE END"
     )
 
 
-def pct0(n: str, d: str, places: int = 1) -> str:
-    return f"coalesce({pct(n, d, places)}, 0)"
+def _times_100(n: str, d: str) -> str:
+    return f"(({n})::DOUBLE / nullif(({d})::DOUBLE, 0) * 100)"
+
+
+def printed(n: str, d: str) -> str:
+    """100·n/d in doubles, printed with one decimal and read back."""
+    return f"format('{{:.1f}}', {_times_100(n, d)})::DOUBLE + 0.0"
+
+
+def printed0(n: str, d: str) -> str:
+    return f"coalesce({printed(n, d)}, 0)"
+
+
+def table0(n: str, d: str) -> str:
+    """100·n/d in doubles, ten times the value rounded half to even."""
+    return f"coalesce(round_even({_times_100(n, d)} * 10, 0) / 10 + 0.0, 0)"
 
 
 ON_TIME_PICK = "coalesce(pickTimeArrived, '') <> '' AND pa <= pt"

@@ -40,21 +40,43 @@ def profit(raw: bool = False) -> Column:
 
 
 # ---- ratios -------------------------------------------------------------------------
-def percent(numerator: Column, denominator: Column, places: int = 1, even: bool = True) -> Column:
-    """Exact decimal percentage, NULL where the denominator is 0 or NULL.
-
-    Ties go to the even digit, or away from zero with ``even=False``.
-    """
+# Reports round in three ways, and ties show the difference: SQL ROUND works on
+# decimals, a printed ``.1f`` on the exact binary value, a rounded table column
+# on ten times the value.
+def percent(numerator: Column, denominator: Column, places: int = 1) -> Column:
+    """Decimal percentage as SQL ROUND has it, NULL without a denominator."""
     scaled = F.try_divide(
         numerator.cast("decimal(22,4)") * F.lit(100).cast("decimal(3,0)"),
         denominator.cast("decimal(22,4)"),
     )
-    return (F.bround if even else F.round)(scaled, places)
+    return F.round(scaled, places)
+
+
+def _double_percent(numerator: Column, denominator: Column) -> Column:
+    return F.try_divide(numerator.cast("double"), denominator.cast("double")) * 100
+
+
+def printed_tenths(value: Column) -> Column:
+    """A double as ``.1f`` prints it: nearest tenth of the exact binary value.
 
+    With j the tenths below, 20·value - (2j + 1) tells the side of the midpoint.
+    Added up as 16·value - (2j + 1) + 4·value no step of it is rounded.
+    """
+    size = F.abs(value)
+    below = F.floor(size * 10).cast("double")
+    side = (size * 16 - (below * 2 + 1)) + size * 4
+    up = (side > 0) | ((side == 0) & (below % 2 == 1))
+    return F.signum(value) * F.when(up, below + 1).otherwise(below) / 10
+
+
+def printed_percent(numerator: Column, denominator: Column) -> Column:
+    """One decimal as printed, NULL without a denominator."""
+    return printed_tenths(_double_percent(numerator, denominator))
 
-def safe_percent(numerator: Column, denominator: Column, places: int = 1) -> Column:
-    """As ``percent``, with 0 where there is nothing to divide by."""
-    return F.coalesce(percent(numerator, denominator, places), F.lit(0).cast("decimal(3,0)"))
+
+def table_percent(numerator: Column, denominator: Column) -> Column:
+    """One decimal as in a rounded table column, 0 without a denominator."""
+    return F.coalesce(F.rint(_double_percent(numerator, denominator) * 10) / 10, F.lit(0.0))
 
 
 def ratio_or_zero(numerator: Column, denominator: Column, scale: float = 1.0) -> Column:
@@ -63,9 +85,5 @@ def ratio_or_zero(numerator: Column, denominator: Column, scale: float = 1.0) ->
     return F.coalesce(quotient * F.lit(float(scale)) if scale != 1.0 else quotient, F.lit(0.0))
 
 
-def margin_percent(profit_sum: Column, revenue_sum: Column, places: int = 1) -> Column:
-    return percent(profit_sum, revenue_sum, places, even=False)
-
-
 def weighted_average(value: Column, weight: Column) -> Column:
     return F.try_divide(F.sum(value * weight), F.sum(F.when(value.isNotNull(), weight)))

@@ -59,9 +59,9 @@ def dwell_hours(side: str) -> Column:
 
 
 def elapsed_days(start: Column, end: Column) -> Column:
-    """Days as a fraction, 2 decimals, ties to even."""
-    seconds = F.timestamp_diff("SECOND", start, end).cast("decimal(20,0)")
-    return F.bround(seconds / F.lit(86400).cast("decimal(6,0)"), 2)
+    """Days as a fraction, 2 decimals as in a rounded table column."""
+    seconds = F.timestamp_diff("SECOND", start, end).cast("double")
+    return F.rint(seconds / 86400 * 100) / 100
 
 
 def days_late(actual: Column, scheduled: Column) -> Column:

@@ -69,7 +69,7 @@ def _rates(stops: DataFrame, *by: str, name: str) -> DataFrame:
     totals = stops.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total"), count_if(F.col("on_time")).alias("on_time")
     )
-    return totals.withColumn(name, percent(F.col("on_time"), F.col("total"), even=False))
+    return totals.withColumn(name, percent(F.col("on_time"), F.col("total")))
 
 
 def _with_times(legs: DataFrame, side: str) -> DataFrame:

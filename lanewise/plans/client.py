@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.functions.labels import LATE, ON_TIME, blank_to, code_if_late, code_or_none, rate_band, window_status
-from lanewise.functions.money import count_if, percent, safe_percent
+from lanewise.functions.money import count_if, printed_percent
 from lanewise.functions.places import window_label
 from lanewise.functions.predicates import (
     Day,
@@ -36,6 +36,10 @@ def client_headers(legs: DataFrame, first: Day, last: Day) -> DataFrame:
     )
 
 
+def _rate_or_zero(kind: str) -> Column:
+    return F.coalesce(printed_percent(F.col(f"{kind}_on_time"), F.col(f"{kind}_total")), F.lit(0.0))
+
+
 def client_otp_otd_summary(legs: DataFrame, first: Day, last: Day) -> DataFrame:
     """On-time pickups and deliveries per client; one shuffle on the client."""
 
@@ -53,8 +57,8 @@ def client_otp_otd_summary(legs: DataFrame, first: Day, last: Day) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("shipments"), *counts("pick", "otp"), *counts("drop", "otd"))
         .withColumns(
             {
-                "otp_rate": safe_percent(F.col("otp_on_time"), F.col("otp_total")),
-                "otd_rate": safe_percent(F.col("otd_on_time"), F.col("otd_total")),
+                "otp_rate": _rate_or_zero("otp"),
+                "otd_rate": _rate_or_zero("otd"),
             }
         )
     )
@@ -87,8 +91,8 @@ def client_kpis(shown: DataFrame) -> DataFrame:
     return totals.select(
         "clients",
         "shipments",
-        percent(F.col("otp_on_time"), F.col("otp_total")).alias("otp_rate"),
-        percent(F.col("otd_on_time"), F.col("otd_total")).alias("otd_rate"),
+        printed_percent(F.col("otp_on_time"), F.col("otp_total")).alias("otp_rate"),
+        printed_percent(F.col("otd_on_time"), F.col("otd_total")).alias("otd_rate"),
     )
 
 
@@ -133,7 +137,7 @@ def client_detail_kpis(detail: DataFrame) -> DataFrame:
     totals = detail.agg(F.count(F.lit(1)).alias("shipments"), *_status_counts("otp"), *_status_counts("otd"))
     return totals.withColumns(
         {
-            f"{kind}_rate": percent(F.col(f"{kind}_on_time"), F.col(f"{kind}_on_time") + F.col(f"{kind}_late"))
+            f"{kind}_rate": printed_percent(F.col(f"{kind}_on_time"), F.col(f"{kind}_on_time") + F.col(f"{kind}_late"))
             for kind in ("otp", "otd")
         }
     )

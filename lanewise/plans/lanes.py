@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise import schema as S
-from lanewise.functions.money import COST, REVENUE, profit, safe_percent
+from lanewise.functions.money import COST, REVENUE, printed_percent, profit, table_percent
 from lanewise.functions.places import crossdock_label, lane_label
 from lanewise.functions.predicates import (
     Day,
@@ -54,15 +54,19 @@ def profit_by_lane(
         F.col("cost").alias("total_cost"),
         "total_profit",
         F.col("xd_cost").alias("crossdock_cost"),
-        safe_percent(F.col("xd_cost"), F.col("cost")).alias("crossdock_cost_pct"),
-        safe_percent(F.col("total_profit"), F.col("revenue")).alias("margin_pct"),
+        table_percent(F.col("xd_cost"), F.col("cost")).alias("crossdock_cost_pct"),
+        table_percent(F.col("total_profit"), F.col("revenue")).alias("margin_pct"),
     ).orderBy(F.desc("total_profit"), "lane")
 
 
+def _crossdock_share() -> Column:
+    share = printed_percent(F.col("crossdock_cost"), F.col("total_cost"))
+    return F.when(F.col("total_cost") > 0, share).otherwise(0.0)
+
+
 def lane_kpis(lanes: DataFrame) -> DataFrame:
     totals = lanes.agg(*(F.sum(c).alias(c) for c in ("total_revenue", "total_cost", "total_profit", "crossdock_cost")))
-    share = F.when(F.col("total_cost") > 0, safe_percent(F.col("crossdock_cost"), F.col("total_cost"))).otherwise(0)
-    return totals.withColumn("crossdock_cost_pct", share)
+    return totals.withColumn("crossdock_cost_pct", _crossdock_share())
 
 
 def drill_down(
@@ -118,8 +122,7 @@ def drill_down_kpis(rows: DataFrame) -> DataFrame:
         F.sum("profit").alias("total_profit"),
         F.sum(handling).alias("crossdock_cost"),
     )
-    share = F.when(F.col("total_cost") > 0, safe_percent(F.col("crossdock_cost"), F.col("total_cost"))).otherwise(0)
-    return totals.withColumn("crossdock_cost_pct", share)
+    return totals.withColumn("crossdock_cost_pct", _crossdock_share())
 
 
 def profit_within_market(
@@ -147,7 +150,7 @@ def profit_within_market(
         "total_profit",
         F.col("xd_cost").alias("crossdock_cost"),
         F.col("xd_revenue").alias("crossdock_revenue"),
-        safe_percent(F.col("total_profit"), F.col("revenue")).alias("margin_pct"),
+        F.coalesce(printed_percent(F.col("total_profit"), F.col("revenue")), F.lit(0.0)).alias("margin_pct"),
     ).orderBy(F.asc("total_profit"), "market")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise import schema as S
-from lanewise.functions.money import COST, REVENUE, count_if, margin_percent, percent
+from lanewise.functions.money import COST, REVENUE, count_if, percent
 from lanewise.functions.places import lane_label
 from lanewise.functions.predicates import (
     Day,
@@ -51,7 +51,7 @@ def customer_otd_by_lane_equipment(legs: DataFrame, client: str, as_of: Day) ->
             F.col("shipmentType").alias("shipment_type"),
             "total_deliveries",
             "on_time",
-            percent(F.col("on_time"), F.col("total_deliveries"), even=False).alias("otd_pct"),
+            percent(F.col("on_time"), F.col("total_deliveries")).alias("otd_pct"),
         )
         .orderBy(F.desc("total_deliveries"), "start_market", "end_market", "equipment", "shipment_type")
     )
@@ -68,7 +68,7 @@ def _order_money(revenue: Column, cost: Column, order: Column) -> list[Column]:
 
 
 def _margin() -> Column:
-    return margin_percent(F.col("total_profit"), F.col("total_revenue")).alias("margin_pct")
+    return percent(F.col("total_profit"), F.col("total_revenue")).alias("margin_pct")
 
 
 def customer_profit_orders(orders: DataFrame, customer: str, as_of: Day) -> DataFrame:
