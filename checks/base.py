@@ -30,12 +30,12 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    _open: ClassVar[dict[tuple[int, str], Tables]] = {}
+    _open: ClassVar[dict[tuple[str, int, str], Tables]] = {}
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Tables:
         """Plans are shared between queries of a session; no data is kept."""
-        key = (id(spark), sf_dir)
+        key = (spark.sparkContext.applicationId, id(spark), sf_dir)
         if key not in cls._open:
             cls._open[key] = cls(spark, sf_dir)
         return cls._open[key]
