@@ -197,46 +197,32 @@ def financial_totals(
     rows = legs.where(F.col("orderCode").isNotNull())
     if shipment_type == S.LTL:
         rows = rows.where(is_ltl())
-    role = {"all": F.lit(True), "no": is_leg(), "yes": is_main()}
+    # Each row is either chosen outright, or an LTL row that counts only when it
+    # stands alone, or neither.
+    chosen = _chosen_without_counts(shipment_type)
+    if_alone = is_ltl() & ~F.coalesce(is_leg(), F.lit(False))
     cells = rows.groupBy("orderCode", "shipmentType", *by).agg(
         F.count(F.lit(1)).alias("present"),
-        *(
-            F.sum(F.when(counted & which, value).otherwise(0)).alias(f"{name}_{tag}")
-            for tag, which in role.items()
-            for name, value in measures.items()
-        ),
+        *(F.sum(F.when(counted & chosen, value).otherwise(0)).alias(m) for m, value in measures.items()),
+        *(F.sum(F.when(counted & if_alone, value).otherwise(0)).alias(f"{m}_alone") for m, value in measures.items()),
     )
-    # One shuffle by order serves both windows and the per-order regrouping.
+    # One shuffle by order serves the windows and the regrouping per order.
     same_type = Window.partitionBy("orderCode", "shipmentType")
     cells = cells.repartition("orderCode").withColumn("type_rows", F.sum("present").over(same_type))
     if compat == "reference" and shipment_type == S.ALL_TYPES:
+        # A row meets every type group of its order, a lone one every single-row group.
         order = Window.partitionBy("orderCode")
         opens_group = F.row_number().over(same_type.orderBy(*by)) == 1
-        one_row, more_rows = F.col("type_rows") == 1, F.col("type_rows") > 1
         cells = cells.withColumn("opens", opens_group).withColumns(
             {
-                "groups": F.sum(F.when(F.col("opens"), 1).otherwise(0)).over(order),
-                "single": F.sum(F.when(F.col("opens") & one_row, 1).otherwise(0)).over(order),
-                "several": F.sum(F.when(F.col("opens") & more_rows, 1).otherwise(0)).over(order),
+                "times": F.count_if("opens").over(order),
+                "times_alone": F.count_if(F.col("opens") & (F.col("type_rows") == 1)).over(order),
             }
         )
-        weights = {
-            "all": F.when(is_ftl(), F.col("groups")).when(is_ltl(), F.col("single")).otherwise(0),
-            "no": F.when(is_ltl(), F.col("several")).otherwise(0),
-            "yes": F.when(is_other(), F.col("groups")).otherwise(0),
-        }
     else:
-        lone = F.col("type_rows") == 1
-        weights = {
-            "all": F.when(is_ftl() | (is_ltl() & lone), 1).otherwise(0),
-            "no": F.when(is_ltl() & ~lone, 1).otherwise(0),
-            "yes": F.when(is_other(), 1).otherwise(0),
-        }
-
-    def selected(name: str) -> Column:
-        return sum((F.col(f"{name}_{tag}") * weight for tag, weight in weights.items()), F.lit(0))
-
-    per_order = cells.groupBy("orderCode", *by).agg(*(F.sum(selected(m)).alias(m) for m in measures))
+        cells = cells.withColumns({"times": F.lit(1), "times_alone": F.when(F.col("type_rows") == 1, 1).otherwise(0)})
+    selected = {m: F.col(m) * F.col("times") + F.col(f"{m}_alone") * F.col("times_alone") for m in measures}
+    per_order = cells.groupBy("orderCode", *by).agg(*(F.sum(value).alias(m) for m, value in selected.items()))
     return (
         per_order.where("rows > 0")
         .groupBy(*by)
