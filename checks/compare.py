@@ -32,13 +32,11 @@ def _canonical(rows: Iterable) -> Counter:
     return Counter(tuple(value(v) for v in row) for row in rows)
 
 
-def compare(spark, con, sf_dir: str, name: str) -> str | None:
-    """None when equal, else what differs."""
-    case = CASES[name]
-    df = case.build(Tables.of(spark, sf_dir))
+def difference(df, con, sql: str) -> str | None:
+    """None when the frame and the SQL give the same rows, else what differs."""
     columns = sorted(df.columns)
     ours = df.select(*(f"`{c}`" for c in columns)).collect()
-    relation = con.execute(case.sql)
+    relation = con.execute(sql)
     names = [d[0] for d in relation.description]
     if sorted(names) != columns:
         return f"columns {columns} != {sorted(names)}"
@@ -51,3 +49,8 @@ def compare(spark, con, sf_dir: str, name: str) -> str | None:
         f"{len(ours)} rows against {len(theirs)}; only ours {list((a - b).items())[:3]}; "
         f"only SQL {list((b - a).items())[:3]}; columns {columns}"
     )
+
+
+def compare(spark, con, sf_dir: str, name: str) -> str | None:
+    case = CASES[name]
+    return difference(case.build(Tables.of(spark, sf_dir)), con, case.sql)

@@ -259,5 +259,5 @@ case(
 case(
     "j13_route_membership",
     "routeId s, warpId s, orderCode s",
-    "SELECT loadId AS routeId, warpId, orderCode FROM legs",
+    "SELECT r.loadId AS routeId, warpId, l.orderCode FROM legs AS r JOIN legs AS l USING (warpId)",
 )(lambda x: J.route_membership(star_schema.route_codes(x.legs), x.legs, ["orderCode"]))

@@ -54,20 +54,27 @@ def stop_key(side: str) -> Column:
 def flag_dedup(legs: DataFrame) -> DataFrame:
     """Mark the first row per stop on every row; rows without a key share one.
 
-    The kept leg ids are aggregated and joined back by leg id. That key is
-    unique, so the join is even however the stops are distributed.
+    The kept rows are aggregated and joined back by leg id, which is as good as
+    unique, so the join is even however the stops are distributed. Key and time
+    are compared as well, in case an id does occur twice.
     """
-
-    def kept(side: str, flag: str) -> DataFrame:
-        return (
+    flagged = legs
+    for side, flag in (("pick", "keep_for_pickup"), ("drop", "keep_for_delivery")):
+        kept = (
             legs.groupBy(stop_key(side).alias("_key"))
             .agg(_earliest(side, []).alias("_first"))
-            .select(F.col("_first").getField("_id").alias("warpId"), F.lit(True).alias(flag))
+            .select("_key", F.col("_first._at").alias("_at"), F.col("_first._id").alias("_id"))
+        )
+        same_row = (
+            (F.col("warpId") == F.col("_id"))
+            & stop_key(side).eqNullSafe(F.col("_key"))
+            & F.col(f"{side}_arrived_ts").eqNullSafe(F.col("_at"))
+        )
+        flagged = (
+            flagged.join(kept, same_row, "left")
+            .withColumn(flag, F.col("_id").isNotNull())
+            .drop("_key", "_at", "_id")
         )
-
-    flagged = legs
-    for side, flag in (("pick", "keep_for_pickup"), ("drop", "keep_for_delivery")):
-        flagged = flagged.join(kept(side, flag), "warpId", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
     return flagged
 
 

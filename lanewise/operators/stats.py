@@ -138,14 +138,11 @@ def metric_stats(
     if approximate:
         return moments
     quantiles = exact_quantiles(df, metric, by, width=width)
-    if not by:
-        # Two one-row frames, joined on a constant so no cross join is planned.
-        keyed = moments.withColumn("_one", F.lit(1)).join(quantiles.withColumn("_one", F.lit(1)), "_one", "left")
-        return keyed.drop("_one")
-    # Group names may be NULL; a struct of them compares NULL with NULL as equal.
-    key = F.struct(*by).alias("_group")
-    matched = moments.select(key, "*").join(quantiles.select(key, *map(quantile_name, QUANTILES)), "_group", "left")
-    return matched.drop("_group")
+    # Both frames have one row per group; laid on top of each other and reduced,
+    # groups with a NULL name meet too, and no join is needed for a single group.
+    stacked = moments.unionByName(exact_quantiles(df, metric, by, width=width), allowMissingColumns=True)
+    measured = [c for c in stacked.columns if c not in by]
+    return stacked.groupBy(*by).agg(*(F.max(c).alias(c) for c in measured))
 
 
 def rolling_avg(df: DataFrame, metric: str, n: int, period: str, entity: Sequence[str]) -> DataFrame:

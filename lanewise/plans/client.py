@@ -143,14 +143,14 @@ def client_detail_kpis(detail: DataFrame) -> DataFrame:
     )
 
 
-def otp_otd_trend(detail: DataFrame, first: Day, last: Day, grain: str | None = None) -> DataFrame:
-    """Rates per period; periods without any measurable shipment are left out."""
-    period = period_start(F.col("pick_from_ts"), grain or grain_for(first, last))
+def _by_period(detail: DataFrame, first: Day, last: Day, grain: str | None) -> DataFrame:
+    """Shipments and rates of every period; a rate without data is NULL."""
 
     def rate(kind: str) -> Column:
         on_time, late = F.col(f"{kind}_on_time").cast("double"), F.col(f"{kind}_late").cast("double")
         return F.try_divide(on_time, on_time + late) * 100
 
+    period = period_start(F.col("pick_from_ts"), grain or grain_for(first, last))
     return (
         detail.groupBy(period.alias("period"))
         .agg(F.count(F.lit(1)).alias("shipments"), *_status_counts("otp"), *_status_counts("otd"))
@@ -161,24 +161,31 @@ def otp_otd_trend(detail: DataFrame, first: Day, last: Day, grain: str | None =
             rate("otd").alias("otd_rate"),
             "shipments",
         )
-        .where(F.col("otp_rate").isNotNull() & F.col("otd_rate").isNotNull())
-        .orderBy("period")
     )
 
 
+def _measured() -> Column:
+    return F.col("otp_rate").isNotNull() & F.col("otd_rate").isNotNull()
+
+
+def otp_otd_trend(detail: DataFrame, first: Day, last: Day, grain: str | None = None) -> DataFrame:
+    """Rates per period; periods without any measurable shipment are left out."""
+    return _by_period(detail, first, last, grain).where(_measured()).orderBy("period")
+
+
 def trend_status(detail: DataFrame, first: Day, last: Day, grain: str | None = None) -> DataFrame:
     """Whether the trend rests on enough shipments and periods."""
-    shipments = detail.agg(F.count(F.lit(1)).alias("shipments"), F.lit(1).alias("_one"))
-    periods = otp_otd_trend(detail, first, last, grain).agg(
-        F.count(F.lit(1)).alias("periods"), F.lit(1).alias("_one")
-    )
     status = (
         F.when(F.col("shipments") == 0, "empty")
         .when(F.col("shipments") < MIN_SHIPMENTS, "few_shipments")
         .when(F.col("periods") < MIN_PERIODS, "few_periods")
         .otherwise("ok")
     )
-    return shipments.join(periods, "_one").select("shipments", "periods", status.alias("status"))
+    return (
+        _by_period(detail, first, last, grain)
+        .agg(F.coalesce(F.sum("shipments"), F.lit(0)).alias("shipments"), count_if(_measured()).alias("periods"))
+        .withColumn("status", status)
+    )
 
 
 def delay_breakdown(detail: DataFrame, side: str, impute_carrier: bool = False) -> DataFrame:
