@@ -15,6 +15,7 @@ from lanewise.functions import places as G
 from lanewise.functions import predicates as P
 from lanewise.functions import times as T
 from lanewise.operators.dedup import inherited_codes
+from lanewise.operators.joins import keep_listed
 from lanewise.operators.skew import attach
 
 
@@ -64,7 +65,7 @@ case(
     """SELECT warpId, clientName FROM legs WHERE clientName IN
        (SELECT c_name FROM customer WHERE c_mktsegment = 'MACHINERY')""",
 )(
-    lambda x: P.keep_listed(
+    lambda x: keep_listed(
         x.legs.select("warpId", "clientName"),
         x.table("customer").where("c_mktsegment = 'MACHINERY'").selectExpr("c_name AS clientName"),
         "clientName",
@@ -101,8 +102,8 @@ case(
     "warpId s, clientName s",
     "SELECT warpId, clientName FROM legs WHERE contains(dropLocationName, 'DoorDash')",
 )(
-    lambda x: x.legs.select("warpId", "clientName").join(
-        x.legs.where(P.is_platform_customer(CLIENT, by="site")).select("warpId"), "warpId", "left_semi"
+    lambda x: keep_listed(
+        x.legs.select("warpId", "clientName"), x.legs.where(P.is_platform_customer(CLIENT, by="site")), "warpId"
     )
 )
 tally("p22_is_xdock_to_xdock", P.is_xdock_to_xdock,

@@ -141,13 +141,9 @@ def in_lanes(labels: Sequence[str] | None) -> Column:
     return _in_list(F.concat(F.col("startMarket"), F.lit(" → "), F.col("endMarket")), labels)
 
 
-def keep_listed(df: DataFrame, listed: DataFrame, name: str) -> DataFrame:
-    """List membership for lists too long for ``isin``: a semi-join on ``name``."""
-    return df.join(listed.select(name).distinct(), name, "left_semi")
-
-
-def is_platform_customer(name: str, by: str = "client", sites: DataFrame | None = None) -> Column:
+def is_platform_customer(name: str, by: str = "client") -> Column:
     """One customer seen as the paying client or as the delivery place.
+    (For a table of its legs use ``keep_listed``.)
 
     Delivery places are matched in two spellings: as given, and with only the
     first letter in upper case.
@@ -157,7 +153,7 @@ def is_platform_customer(name: str, by: str = "client", sites: DataFrame | None
     if by == "site":
         place = F.col("dropLocationName")
         return place.contains(name) | place.contains(name.capitalize())
-    raise ValueError("by must be 'client' or 'site'; for a table of legs use keep_listed")
+    raise ValueError("by must be 'client' or 'site'")
 
 
 # ---- time windows -----------------------------------------------------------

@@ -27,6 +27,11 @@ def legs_of(legs: DataFrame, orders: DataFrame) -> DataFrame:
     return attach(legs, orders.select("orderCode").distinct(), "orderCode", "left_semi")
 
 
+def keep_listed(legs: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is in a list too long for ``isin``."""
+    return attach(legs, listed.select(key).distinct(), key, "left_semi")
+
+
 def with_order_counts(legs: DataFrame, counts: DataFrame) -> DataFrame:
     """Legs with the row counts of their order; legs without an order vanish."""
     return attach(legs, counts, "orderCode", "inner")

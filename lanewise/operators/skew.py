@@ -8,21 +8,29 @@ from pyspark.sql import functions as F
 # A key above this share of the rows is hot; there are at most 1/share of them,
 # so the list of hot keys has a fixed size whatever the data.
 HOT_SHARE = 1 / 500
-_TRACKED = 8192
+_TRACKED = 2048
+_GROUPS = 64
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     """One row with the array of keys above ``share`` of the rows.
 
-    A frequent-items sketch finds them in one pass, combined map-side. It only
-    decides how rows are spread, so its error cannot change a result.
+    Frequent-items sketches find them in one pass, combined map-side. They are
+    merged in groups of tasks first, so no single task reads a sketch from every
+    map task. The list only decides how rows are spread: its error cannot
+    change a result.
     """
     most = int(1 / share) + 1
-    top = df.agg(
+    sketches = df.groupBy((F.spark_partition_id() % _GROUPS).alias("tasks")).agg(
         F.expr(f"approx_top_k(`{key}`, {most}, {_TRACKED})").alias("top"), F.count(F.lit(1)).alias("rows")
     )
-    frequent = F.filter("top", lambda item: item["count"] > F.col("rows") * share)
-    return top.select(F.transform(frequent, lambda item: item["item"]).alias("keys"))
+    candidates = sketches.agg(F.flatten(F.collect_list("top")).alias("top"), F.sum("rows").alias("rows"))
+    counts = (
+        candidates.select("rows", F.explode("top").alias("entry"))
+        .groupBy("rows", F.col("entry.item").alias("item"))
+        .agg(F.sum("entry.count").alias("count"))
+    )
+    return counts.where(F.col("count") > F.col("rows") * share).agg(F.collect_list("item").alias("keys"))
 
 
 def attach(
