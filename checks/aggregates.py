@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import CLIENT, FIRST, LAST, Tables, case
+from checks.base import CLIENT, FIRST, LAST, Tables, also, case
 from checks.client import RATED_SQL, SUMMARY_COLUMNS, summary
 from checks.lanes import rows_sql
 from checks.sql import pct
@@ -48,45 +48,40 @@ case(
         F.count_distinct("orderCode").alias("orders"), F.count(F.lit(1)).alias("legs"), F.sum(rev()).alias("revenue")
     )
 )
-case(
-    "a04_a06_sums",
-    "startMarket s, cost d, crossdock_cost d, crossdock_revenue d, positive_revenue d",
-    """SELECT startMarket, sum(coalesce(cost, 0)) AS cost,
-         sum(if(pickLocationName = dropLocationName, coalesce(cost, 0), 0)) AS crossdock_cost,
-         sum(if(pickLocationName = dropLocationName, coalesce(rev, 0), 0)) AS crossdock_revenue,
-         sum(greatest(coalesce(rev, 0), 0)) AS positive_revenue FROM t GROUP BY 1""",
-)(
-    lambda x: x.legs.groupBy("startMarket").agg(
-        M.sum0(cost()).alias("cost"),
-        M.crossdock_sum(cost()).alias("crossdock_cost"),
-        M.sum_if(rev(), crossdock_leg()).alias("crossdock_revenue"),
-        M.sum_pos(rev()).alias("positive_revenue"),
+for _name, _sql, _sum in (
+    ("a04_sum0", "sum(coalesce(cost, 0))", lambda: M.sum0(cost())),
+    ("a05_sum_if_cost", "sum(if(pickLocationName = dropLocationName, coalesce(cost, 0), 0))", lambda: M.crossdock_sum(cost())),
+    ("a05_sum_if_revenue", "sum(if(pickLocationName = dropLocationName, coalesce(rev, 0), 0))",
+     lambda: M.sum_if(rev(), crossdock_leg())),
+    ("a06_sum_pos", "sum(greatest(coalesce(rev, 0), 0))", lambda: M.sum_pos(rev())),
+):
+    case(_name, "startMarket s, total d", f"SELECT startMarket, {_sql} AS total FROM t GROUP BY 1")(
+        lambda x, total=_sum: x.legs.groupBy("startMarket").agg(total().alias("total"))
     )
-)
 case(
     "a08_filter_after_aggregate",
     "clientName s, rows i",
     "SELECT clientName, count(*) AS rows FROM t GROUP BY 1 HAVING count(*) > 50",
 )(lambda x: ST.distribution(x.legs, "clientName").withColumnRenamed("count", "rows").where("rows > 50"))
 case(
-    "a09_a10_ratios",
-    "shipmentType s, on_time_pct d, margin_pct d",
-    f"""SELECT shipmentType, {pct('on_time', 'n')} AS on_time_pct, {pct('profit', 'revenue')} AS margin_pct
-        FROM (SELECT shipmentType, count(*) AS n, count(*) FILTER (WHERE pa < pt) AS on_time, sum(rev - cost) AS profit,
-              sum(rev) AS revenue FROM t GROUP BY 1)""",
+    "a09_ratio_of_sums",
+    "shipmentType s, on_time_pct d",
+    f"""SELECT shipmentType, {pct('on_time', 'n')} AS on_time_pct
+        FROM (SELECT shipmentType, count(*) AS n, count(*) FILTER (WHERE pa < pt) AS on_time FROM t GROUP BY 1)""",
 )(
     lambda x: x.legs.groupBy("shipmentType")
-    .agg(
-        F.count(F.lit(1)).alias("n"),
-        M.count_if(in_time("pick", False)).alias("on_time"),
-        F.sum(M.profit(raw=True)).alias("profit"),
-        F.sum(rev()).alias("revenue"),
-    )
-    .select(
-        "shipmentType",
-        M.percent(F.col("on_time"), F.col("n")).alias("on_time_pct"),
-        M.percent(F.col("profit"), F.col("revenue")).alias("margin_pct"),
-    )
+    .agg(F.count(F.lit(1)).alias("n"), M.count_if(in_time("pick", False)).alias("on_time"))
+    .select("shipmentType", M.percent(F.col("on_time"), F.col("n")).alias("on_time_pct"))
+)
+case(
+    "a10_margin_pct",
+    "clientName s, margin_pct d",
+    f"""SELECT clientName, {pct('profit', 'revenue')} AS margin_pct
+        FROM (SELECT clientName, sum(rev - cost) AS profit, sum(rev) AS revenue FROM t GROUP BY 1)""",
+)(
+    lambda x: x.legs.groupBy("clientName")
+    .agg(F.sum(M.profit(raw=True)).alias("profit"), F.sum(rev()).alias("revenue"))
+    .select("clientName", M.percent(F.col("profit"), F.col("revenue")).alias("margin_pct"))
 )
 case(
     "a12_value_counts",
@@ -176,7 +171,7 @@ case(
 
 # ---- distributions and quality ---------------------------------------------------------
 case(
-    "a19_k06_completeness",
+    "a19_completeness",
     "shipmentType s, total i, missing_pickTimeArrived i, missing_dropTimeArrived i, missing_revenueAllocationNumber i",
     """SELECT shipmentType, count(*) AS total, count(*) - count(pickTimeArrived) AS missing_pickTimeArrived,
          count(*) - count(dropTimeArrived) AS missing_dropTimeArrived,
@@ -331,3 +326,9 @@ case(
     .groupBy("shipmentType")
     .agg(F.count(F.lit(1)).alias("rows"), F.sum(rev()).alias("revenue"))
 )
+
+# ---- queries that stand for two inventory items -----------------------------------------
+also("k06_completeness", "a19_completeness")
+also("o36_rolling_avg", "w06_rolling_avg")
+also("o36_period_change", "w07_period_change")
+also("o36_metric_corr", "a18_metric_corr")

@@ -131,6 +131,11 @@ def case(name: str, columns: str, sql: str | None):
     return register
 
 
+def also(name: str, known: str) -> None:
+    """A query that answers a second inventory item as well."""
+    CASES[name] = CASES[known]
+
+
 # The sample tables for the SQL side: raw legs, typed legs, loads and orders.
 SAMPLE_SQL = """
 b AS (

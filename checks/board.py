@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.base import YEAR, Tables, case
+from checks.base import YEAR, Tables, also, case
 from checks.sql import MARKET, ONE_XDOCK, quarter
 from lanewise.plans import board as B
 
@@ -117,3 +117,7 @@ case(
         if(cpp_slope > 0, 'up', 'down') || if(cpp_r2 >= 0.5, ' steady', ' unsteady') AS cpp_quadrant
         FROM ({TRENDS_SQL})""",
 )(lambda x: B.trend_quadrants(B.market_trends(pnl(x))))
+
+also("j07_merge_pnl", "o19_ltl_market_quarter_corrected")
+also("a07_two_level_sum", "o18_ltl_market_quarter_cost_corrected")
+also("t07_quarter_order", "o21_market_quarterly")

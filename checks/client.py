@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.base import CLIENT, FIRST, LAST, Tables, case
+from checks.base import CLIENT, FIRST, LAST, Tables, also, case
 from checks.sql import DIFFERENT_PLACES, ON_TIME_DROP, ON_TIME_PICK, headers, printed, printed0
 from lanewise.plans import client as C
 from lanewise.sources.reports import number_rows, with_headings
@@ -204,3 +204,5 @@ case(
     f"""SELECT coalesce(nullif(drop_delay_code, ''), 'Carrier Failure') AS delay_code, count(*) AS count
         FROM ({detail_sql()}) WHERE otd_status = 'Late' GROUP BY 1""",
 )(lambda x: C.delay_breakdown(detail(x), "drop", impute_carrier=True))
+
+also("a13_rate_by_period", "o08_otp_otd_trend_month")

@@ -69,38 +69,45 @@ def exact_quantiles(
             }
         )
     )
-    wanted = F.array(
-        *(
-            F.struct(F.lit(float(p)).alias("p"), F.lit(edge).alias("edge"))
-            for p in probabilities
-            for edge in ("low", "high")
-        )
+
+    def position(p: float) -> Column:
+        return (F.col("total") - 1) * F.lit(float(p))
+
+    ranks = F.array(
+        *(F.struct(F.lit(i).alias("p"), F.lit(0).alias("side"), F.floor(position(p)).alias("rank"))
+          for i, p in enumerate(probabilities)),
+        *(F.struct(F.lit(i).alias("p"), F.lit(1).alias("side"), F.ceil(position(p)).alias("rank"))
+          for i, p in enumerate(probabilities)),
+    )
+
+    def within(first: Column, size: Column):
+        return lambda want: (want["rank"] >= first) & (want["rank"] < first + size)
+
+    needed = buckets.withColumn("ranks", F.filter(ranks, within(F.col("start"), F.col("n")))).where(
+        F.size("ranks") > 0
     )
-    at = (F.col("total") - 1) * F.col("want.p")
-    ranks = (
-        buckets.withColumn("want", F.explode(wanted))
-        .withColumn("at", at)
-        .withColumn("rank", F.when(F.col("want.edge") == "low", F.floor("at")).otherwise(F.ceil("at")))
-        .where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("n")))
-        .select("group", "bucket", "start", "want.p", "want.edge", "at", "rank")
+    inside = Window.partitionBy("group", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    hits = (
+        counts.join(needed.drop("n"), ["group", "bucket"])
+        .withColumn("first", F.col("start") + F.sum("n").over(inside) - F.col("n"))
+        .withColumn("hit", F.explode(F.filter("ranks", within(F.col("first"), F.col("n")))))
     )
-    needed = ranks.groupBy("group", "bucket").agg(F.first("start").alias("start"))
-    inside = Window.partitionBy("group", "bucket").orderBy("value")
-    spans = (
-        counts.join(needed, ["group", "bucket"])
-        .withColumn("end", F.col("start") + F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .select("group", "bucket", "value", (F.col("end") - F.col("n")).alias("begin"), "end")
+
+    def edge(i: int, side: int) -> Column:
+        return F.max(F.when((F.col("hit.p") == i) & (F.col("hit.side") == side), F.col("value")))
+
+    edges = hits.groupBy("group").agg(
+        F.max("total").alias("total"),
+        *(edge(i, side).alias(f"edge_{i}_{side}") for i in range(len(probabilities)) for side in (0, 1)),
     )
-    found = ranks.drop("start").join(spans, ["group", "bucket"]).where("rank >= begin and rank < end")
-    edges = found.groupBy("group", "p").agg(
-        F.max(F.when(F.col("edge") == "low", F.col("value"))).alias("low"),
-        F.max(F.when(F.col("edge") == "high", F.col("value"))).alias("high"),
-        F.max(F.col("at") - F.floor("at")).alias("part"),
+
+    def quantile(i: int, p: float) -> Column:
+        low, high = F.col(f"edge_{i}_0"), F.col(f"edge_{i}_1")
+        return (low + (high - low) * (position(p) - F.floor(position(p)))).alias(quantile_name(p))
+
+    return edges.select(
+        *(F.col("group").getField(b).alias(b) for b in by), *(quantile(i, p) for i, p in enumerate(probabilities))
     )
-    value = F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
-    return edges.groupBy("group").agg(
-        *(F.max(F.when(F.col("p") == float(p), value)).alias(quantile_name(p)) for p in probabilities)
-    ).select(*(F.col("group").getField(b).alias(b) for b in by), *(quantile_name(p) for p in probabilities))
 
 
 def quantile_name(p: float) -> str:

@@ -17,6 +17,8 @@ def local_session(cores: int | str = "*", app: str = "lanewise", **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # Recording the Python line of every Column costs more than building it.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("LANEWISE_DRIVER_MEMORY", "8g"))
     )
     for key, value in conf.items():

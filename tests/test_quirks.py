@@ -256,3 +256,10 @@ def test_accessorials(spark):
     )
     rows = {r["charge"]: (float(r["total"]), r["orders"]) for r in questions.accessorials(orders, ["liftgate-delivery", "detention"]).collect()}
     assert rows == {"liftgate-delivery": (10.5, 1), "detention": (5.0, 2)}
+
+
+def test_case_insensitive_names_are_opt_in(make_legs):
+    legs = make_legs({"dropLocationName": "DOORDASH LAX"}, {"dropLocationName": "Doordash DTX"}, {"dropLocationName": "x"})
+    assert legs.where(P.is_platform_customer("DoorDash", by="site")).count() == 1
+    folded = legs.withColumn("dropLocationName", F.collate("dropLocationName", "UTF8_LCASE"))
+    assert folded.where(P.is_platform_customer("DoorDash", by="site")).count() == 2
