@@ -46,7 +46,8 @@ def attach(
     Left rows of a hot key are spread over salts by their own id, and the right
     rows of those few keys are repeated once per salt. Rows without a key match
     nothing and are spread as well. Salts come from the row, not from a random
-    number, so a task that is run again makes the same choice.
+    number, so a task that is run again makes the same choice. Finding the hot
+    keys reads ``left`` once more, but only its key and filter columns.
     """
     spark = left.sparkSession
     salts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8), 1024)

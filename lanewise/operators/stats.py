@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanewise.functions.money import weighted_average
 from lanewise.functions.times import period_start
 
 # fixed values: the percentiles of the statistics pack
@@ -129,8 +130,7 @@ def metric_stats(
     value = metric.cast("double")
     weighted = []
     if weight is not None:
-        w = weight.cast("double")
-        weighted = [F.try_divide(F.sum(value * w), F.sum(F.when(value.isNotNull(), w))).alias("weighted_mean")]
+        weighted = [weighted_average(value, weight.cast("double")).alias("weighted_mean")]
     sketches = [
         F.percentile_approx(value, float(p), 10000).alias(quantile_name(p)) for p in QUANTILES if approximate
     ]

@@ -6,6 +6,8 @@ form because some rules match on the text and reports print it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(18, 4)
@@ -15,6 +17,11 @@ def _fields(names: str, kind: T.DataType) -> list[T.StructField]:
     return [T.StructField(n, kind, True) for n in names.split()]
 
 
+def with_text(schema: T.StructType, names: Sequence[str]) -> T.StructType:
+    """The schema with further text columns, such as street addresses."""
+    return T.StructType(schema.fields + [T.StructField(n, T.StringType(), True) for n in names])
+
+
 LEGS = T.StructType(
     _fields(
         "orderCode warpId loadId shipmentType mainShipment shipmentStatus pickStatus dropStatus "

@@ -43,9 +43,9 @@ def stage_legs(legs: DataFrame, path: str, mode: str = "overwrite") -> None:
     )
 
 
-def load_staged_legs(spark: SparkSession, path: str) -> DataFrame:
+def load_staged_legs(spark: SparkSession, path: str, extra: Sequence[str] = ()) -> DataFrame:
     use_utc(spark)
-    return spark.read.schema(S.STAGED_LEGS).parquet(path)
+    return spark.read.schema(S.with_text(S.STAGED_LEGS, extra)).parquet(path)
 
 
 def coerce_numeric(df: DataFrame, columns: Sequence[str], kind: str = "double", fill: float | None = 0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,9 +54,10 @@ def read_jdbc(spark: SparkSession, schema: T.StructType, **options) -> DataFrame
     return raw.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
 
 
-def load_legs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def load_legs(spark: SparkSession, path: str, fmt: str = "parquet", extra: Sequence[str] = ()) -> DataFrame:
+    """The leg columns the operators use; ``extra`` names further text columns."""
     use_utc(spark)
-    return read_files(spark, path, S.LEGS, fmt)
+    return read_files(spark, path, S.with_text(S.LEGS, extra), fmt)
 
 
 def load_routes(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

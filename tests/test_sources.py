@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanewise import schema as S
+from lanewise.functions.places import lane_label
 from lanewise.plans import client
 from lanewise.sources import choices, reports, tables
 from lanewise.sources.staging import (
@@ -98,3 +99,12 @@ def test_option_lists(make_legs):
     assert [r[0] for r in choices.distinct_customers(legs, limit=1).collect()] == ["a"]
     assert [r[0] for r in choices.distinct_lanes(legs, "b").collect()] == []
     assert [r[0] for r in choices.distinct_lanes(legs).collect()] == ["LAX → EWR"]
+
+
+def test_further_text_columns_survive_staging(make_legs, tmp_path, spark):
+    extra = ["pickAddress", "dropAddress"]
+    wide = make_legs({}).select(*S.LEGS.names, F.lit("1 A St").alias("pickAddress"), F.lit("2 B St").alias("dropAddress"))
+    wide.write.parquet(str(tmp_path / "legs"))
+    stage_legs(tables.load_legs(spark, str(tmp_path / "legs"), extra=extra), str(tmp_path / "staged"))
+    legs = load_staged_legs(spark, str(tmp_path / "staged"), extra)
+    assert legs.select(lane_label("address")).first()[0] == "1 A St → 2 B St"
