@@ -30,7 +30,7 @@ def test_same_rows(spark, con, name):
 
 
 def test_entry_and_registry(spark):
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql()) == set(CASES)
+    assert set(CASES) <= set(entry_point.oracle_sql()) <= set(entry_point.queries())
     flagship = entry_point.entry(spark)
     assert flagship.columns[0] == "lane"
     assert flagship.count() > 0
