@@ -22,11 +22,14 @@ from lanewise.llm.common import BROADCAST_ROWS, keep_ids, staged
 def shingle_hashes(text: Column, size: int) -> Column:
     """64-bit hashes of the ``size``-word shingles of a text in lower case; fewer words make one, none none."""
     words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    width = F.least(F.size(words), F.lit(size))
-    last = F.size(words) - width + 1
-    return F.when(
-        F.size(words) > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(words, i, width)))
-    ).otherwise(F.array().cast("array<bigint>"))
+
+    def of_words(w: Column) -> Column:
+        width = F.least(F.size(w), F.lit(size))
+        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.xxhash64(F.slice(w, i, width)))
+        return F.when(F.size(w) > 0, hashes).otherwise(F.array().cast("array<bigint>"))
+
+    # As a lambda's argument the words are cut once for a text, not once for each shingle.
+    return F.flatten(F.transform(F.array(words), of_words))
 
 
 def _small(df: DataFrame) -> DataFrame:

@@ -87,19 +87,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def _shingles(size: int, lower: str) -> str:
-    words = f"list_filter(regexp_split_to_array(coalesce({lower}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
-    return f"""CASE WHEN len({words}) = 0 THEN []::VARCHAR[]
-      WHEN len({words}) < {size} THEN [array_to_string({words}, ' ')]
-      ELSE list_transform(range(1, len({words}) - {size - 2}), lambda i: array_to_string(({words})[i:i + {size - 1}], ' ')) END"""
+def _shingles(name: str, table_name: str, key: str, lower: str, size: int) -> str:
+    """CTEs that end in ``name`` (key, h): the distinct shingles of a table's texts."""
+    ahead = " || ".join(["word", *(f"' ' || lead(word, {i}) OVER pos" for i in range(1, size))])
+    return f"""
+{name}_words AS (
+  SELECT {key}, unnest(list) AS word, generate_subscripts(list, 1) AS place FROM (
+    SELECT {key}, list_filter(regexp_split_to_array(coalesce({lower}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS list
+    FROM {table_name})
+),
+{name}_all AS (SELECT {key}, {ahead} AS h FROM {name}_words WINDOW pos AS (PARTITION BY {key} ORDER BY place)),
+{name}_short AS (SELECT {key}, string_agg(word, ' ' ORDER BY place) AS h FROM {name}_words GROUP BY {key} HAVING count(*) < {size}),
+{name} AS MATERIALIZED (
+  SELECT DISTINCT {key}, h FROM {name}_all WHERE h IS NOT NULL UNION SELECT {key}, h FROM {name}_short
+)"""
 
 
 _AZ = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = f"""
-WITH RECURSIVE s AS MATERIALIZED (
-  SELECT doc_id, unnest(list_distinct({_shingles(4, _AZ)})) AS h FROM documents
-),
+WITH RECURSIVE {_shingles("s", "documents", "doc_id", _AZ, 4)},
 n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
 links AS MATERIALIZED (
@@ -164,8 +171,8 @@ SELECT page_id::BIGINT AS page_id, host, path, rule,
 """
 
 OP8_SQL = f"""
-WITH d AS (SELECT DISTINCT doc_id, unnest({_shingles(5, "lower(text)")}) AS h FROM documents),
-i AS MATERIALIZED (SELECT DISTINCT item_id, unnest({_shingles(5, "lower(text)")}) AS h FROM benchmark),
+WITH {_shingles("d", "documents", "doc_id", "lower(text)", 5)},
+{_shingles("i", "benchmark", "item_id", "lower(text)", 5)},
 n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id)
 SELECT d.doc_id::BIGINT AS doc_id, i.item_id::BIGINT AS item_id, count(*)::BIGINT AS n_shared, any_value(n.n)::BIGINT AS n_item
 FROM d JOIN i USING (h) JOIN n USING (item_id) GROUP BY d.doc_id, i.item_id HAVING 100 * count(*) >= 80 * any_value(n.n)

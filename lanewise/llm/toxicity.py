@@ -134,11 +134,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: int = 1, divis
     are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(docs, labels, held_out, divisor))
+    trained = train(docs, labels, held_out, divisor)
+    sent = spark.sparkContext.broadcast((trained.weights, trained.squares, trained.bias))  # 8 MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*sent.value)
         for batch in batches:
-            scores = [score(model.value, t) for t in batch.column(2).to_pylist()]
+            scores = [score(model, t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"]
             )
