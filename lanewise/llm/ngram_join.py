@@ -9,7 +9,8 @@ as a whole:
   ``2u(100-share)/(100+share)`` n-grams, u being the upper size of the class of
   the larger one. With more blocks than that, some block of the two rows is
   equal. Only rows that share an equal, non-empty block are multiplied; this
-  bound loses no link. Rows with too many empty blocks also meet on the
+  bound loses no link. With some blocks more than needed, documents can leave
+  the few values that very many share (a common passage alone in a block). Rows with too many empty blocks also meet on the
   smallest hashes, of which two linked rows always share one among the first
   ``n - ceil(share * n / 100) + 1``.
 * Overlap counts of such a pair are summed block by block; the pair is dropped
@@ -41,8 +42,9 @@ from lanewise.llm.common import WordHashes, connected, keep_ids, mix, shingles,
 _FLUSH = 1_500_000
 _MASK = (1 << 64) - 1
 _PART, _CLASS, _PREFIX = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
-_EMITTED = "bucket int, sigs binary, nodes binary, many binary, ids binary, known binary, sizes binary, prints binary"
-_FOUND = "sig long, node long, doc_id long, n int, f1 long, f2 long"
+_EMITTED = "bucket int, sigs binary, nodes binary, many binary, ids binary, known binary, sizes binary, slacks binary, prints binary"
+_FOUND = "sig long, node long, doc_id long, n int, slack int, f1 long, f2 long"
+_HOT = 16  # rows that share a block value; in more, documents that can spare it leave it
 
 
 class Bounds:
@@ -75,25 +77,28 @@ class Bounds:
         out, j = [], int(np.searchsorted(self.uppers, n))
         while True:
             most = self.differ(2 * self.uppers[j])
-            spare = 2 + most * 6 // 100 if most else 0
+            spare = 3 + most * 10 // 100 if most else 0
             out.append((j, most + 1 + spare, spare))
             j += 1
             if n * 100 < self.share * (self.uppers[j - 1] + 1):
                 return out
 
 
-def signatures(h: np.ndarray, bounds: Bounds) -> np.ndarray:
-    """What a set (sorted hashes) shows in its blocks: linked sets have one value in common."""
-    n, out, sparse = len(h), [], False
+def signatures(h: np.ndarray, bounds: Bounds) -> tuple[np.ndarray, int]:
+    """What a set (sorted hashes) shows in its blocks, and how many of these values it can spare.
+
+    Linked sets have more values in common than either of them can spare.
+    """
+    n, out, slack = len(h), [], 1 << 30
     mixed, high = mix(h), h >> np.uint64(32)
     for j, blocks, spare in bounds.classes(n):
         block = (high * np.uint64(blocks)) >> np.uint64(32)
         at = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1))
-        sparse |= blocks - len(at) > spare
+        slack = min(slack, spare - (blocks - len(at)))
         out.append(mix(np.add.reduceat(mixed, at) + block[at] * _PART + np.uint64(j * int(_CLASS) & _MASK)))
-    if sparse:
+    if slack < 0:
         out.append(mix(h[: bounds.prefix(n)] + _PREFIX))
-    return np.concatenate(out)
+    return np.concatenate(out), max(slack, 0)
 
 
 def _emit(size: int, share: int, buckets: int):
@@ -132,7 +137,7 @@ def _emit(size: int, share: int, buckets: int):
             return rows(out)
 
         for k, batch in enumerate(batches):
-            ids, known, sizes, prints = [], [], [], []
+            ids, known, sizes, slacks, prints = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = shingles(split_words(text), size, hashes)
                 mark = xxhash.xxh3_128_digest(h.tobytes())
@@ -140,10 +145,13 @@ def _emit(size: int, share: int, buckets: int):
                 known.append(doc is not None)
                 sizes.append(len(h))
                 prints.append(mark)
-                if doc is None or not len(h) or mark in seen:
+                slacks.append(0)
+                if doc is None or not len(h):
+                    continue
+                s, slacks[-1] = signatures(h, bounds)
+                if mark in seen:
                     continue
                 seen.add(mark)
-                s = signatures(h, bounds)
                 sigs.append(s)
                 nodes.append(np.full(len(s), doc, np.int64))
                 waiting += len(s)
@@ -156,6 +164,7 @@ def _emit(size: int, share: int, buckets: int):
                     "ids": [np.array(ids, np.int64).tobytes()],
                     "known": [np.array(known, np.uint8).tobytes()],
                     "sizes": [np.array(sizes, np.int32).tobytes()],
+                    "slacks": [np.array(slacks, np.int32).tobytes()],
                     "prints": [b"".join(prints)],
                 }
             )
@@ -168,7 +177,7 @@ def _emit(size: int, share: int, buckets: int):
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket of block values: the rows that share one with another row."""
     names = [c.split()[0] for c in _FOUND.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
     def rows(length: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -191,6 +200,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     len(ids),
                     doc_id=pa.array(ids, mask=known == 0),
                     n=np.frombuffer(row["sizes"], np.int32),
+                    slack=np.frombuffer(row["slacks"], np.int32),
                     f1=prints[:, 0],
                     f2=prints[:, 1],
                 )
@@ -289,20 +299,28 @@ def ngram_components(docs: DataFrame, size: int = 5, share: int = 80, id_col: st
         "blocks",
     )
 
-    listed = found.where("sig is null").select("doc_id", "n", "f1", "f2")
+    listed = found.where("sig is null").select("doc_id", "n", "slack", "f1", "f2")
     real = listed.where("n > 0 and doc_id is not null")
     first = real.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     # An id on several rows is one document: all its sets belong to one node.
-    sets = staged(real.join(first, ["f1", "f2"]).select("doc_id", "rep", "n").distinct(), "sets")
+    sets = staged(real.join(first, ["f1", "f2"]).select("doc_id", "rep", "n", "slack").distinct(), "sets")
     again = sets.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
 
-    meets = (
+    meets = staged(
         found.where("sig is not null")
         .select("sig", F.col("node").alias("doc_id"))
         .join(sets, "doc_id")
-        .select("sig", F.col("rep").alias("node"), "n")
-        .distinct()
+        .select("sig", F.col("rep").alias("node"), "n", "slack")
+        .distinct(),
+        "met",
     )
+    # A text that many documents hold fills a few blocks of each on its own. Documents that can spare all
+    # their hot values leave them: two linked ones still have another in common.
+    hot = meets.groupBy("sig").agg(F.count("*").alias("rows")).where(F.col("rows") > _HOT).select("sig")
+    hot_rows = meets.join(hot, "sig", "left_semi")
+    leaving = hot_rows.groupBy("node").agg(F.count("*").alias("hot"), F.min("slack").alias("least")).where("hot <= least").select("node")
+    gone = hot_rows.join(leaving, "node", "left_semi").select("sig", "node")
+    meets = meets.join(gone, ["sig", "node"], "left_anti").select("sig", "node", "n").distinct()
     group = meets.groupBy("sig").agg(
         F.count("*").alias("rows"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("all")
     ).where("lo < hi")
