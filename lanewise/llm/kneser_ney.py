@@ -34,6 +34,7 @@ from lanewise.llm.common import WordHashes, mix, mounted, shared_folder, split_w
 END = b"\n"  # no word has white space in it
 _CHUNK = 1_500_000  # tokens counted at a time
 _LOOKUP = 600_000  # tokens scored at a time
+_RANGE_WORDS = 50_000  # words whose predecessor counts travel in one piece
 _SHIFT = np.uint64(32)
 
 
@@ -51,6 +52,7 @@ class Model:
 
     def __post_init__(self) -> None:
         self.starts = np.concatenate(([0], np.cumsum(self.sizes))).astype(np.int64)
+        self.ranges = self.starts[:-1] // _RANGE_WORDS
 
     @property
     def words(self) -> int:
@@ -262,7 +264,7 @@ def train(texts: DataFrame) -> Model:
             else:
                 hot = [[w, *(int(np.count_nonzero(first[level] == w)) for level in levels)] for w in np.unique(first).tolist()]
             second, k = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
-            found = list(_pieces(np.searchsorted(model.starts, second.astype(np.int64), "right") - 1))
+            found = list(_pieces(model.ranges[np.searchsorted(model.starts, second.astype(np.int64), "right") - 1]))
             rows = [(w, second[lo:hi].astype(np.uint32).tobytes(), k[lo:hi].astype(np.uint32).tobytes()) for w, lo, hi in found]
             columns = list(zip(*rows, strict=True)) or [[], [], []]
             empty = [None] * (len(rows) - 1)
@@ -295,10 +297,11 @@ def train(texts: DataFrame) -> Model:
         def unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
             return np.frombuffer(row["keys"], np.uint32).astype(np.int64), np.frombuffer(row["counts"], np.uint32).astype(np.int64)
 
-        for b, (w, k) in _merge_by_bucket(batches, unpack).items():
-            values = np.zeros(sizes[b], np.uint32)
-            values[w - model.starts[b]] = k
-            _save(folder, f"before-{b}", values)
+        for w, k in _merge_by_bucket(batches, unpack).values():
+            for b, lo, hi in _pieces(np.searchsorted(model.starts, w, "right") - 1):
+                values = np.zeros(sizes[b], np.uint32)
+                values[w[lo:hi] - model.starts[b]] = k[lo:hi]
+                _save(folder, f"before-{b}", values)
             yield pa.RecordBatch.from_arrays([pa.array([[*_of_counts(k), int(np.count_nonzero(k >= 3))]])], ["totals"])
 
     before = (
