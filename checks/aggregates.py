@@ -307,11 +307,11 @@ case(
 case(
     "s10_distinct_customers",
     "clientName s",
-    "SELECT DISTINCT clientName FROM legs WHERE clientName <> '' ORDER BY clientName LIMIT 500",
+    "SELECT DISTINCT clientName FROM legs WHERE clientName <> '' ORDER BY clientName",
 )(lambda x: choices.distinct_customers(x.legs))
 _LANES = "SELECT DISTINCT startMarket || ' → ' || endMarket AS lane FROM legs WHERE startMarket <> '' AND endMarket <> ''"
-case("s10_distinct_lanes", "lane s", f"{_LANES} ORDER BY lane LIMIT 2500")(lambda x: choices.distinct_lanes(x.legs))
-case("u01_lanes_of_customer", "lane s", f"{_LANES} AND clientName = '{CLIENT}' ORDER BY lane LIMIT 2500")(
+case("s10_distinct_lanes", "lane s", f"{_LANES} ORDER BY lane")(lambda x: choices.distinct_lanes(x.legs))
+case("u01_lanes_of_customer", "lane s", f"{_LANES} AND clientName = '{CLIENT}' ORDER BY lane")(
     lambda x: choices.distinct_lanes(x.legs, CLIENT)
 )
 case(

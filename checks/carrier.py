@@ -89,6 +89,16 @@ case(
           GROUP BY 1)""",
 )(lambda x: C.carrier_otp(x.legs, CARRIER, FIRST, "1998-01-01"))
 
+case(
+    "o26_carrier_otd",
+    "shipmentType s, total i, on_time i, otd_pct d",
+    f"""SELECT *, {pct('on_time', 'total')} AS otd_pct FROM (
+          SELECT shipmentType, count(*) AS total, count(*) FILTER (WHERE da < dt) AS on_time
+          FROM ({first_stop_sql('drop', f"{_DONE['drop']} AND {_TIMED['drop']} AND carrierName = '{CARRIER}' "
+                                "AND df >= DATE '1997-01-01' AND df < DATE '1998-01-01'")})
+          GROUP BY 1)""",
+)(lambda x: C.carrier_otd(x.legs, CARRIER, FIRST, "1998-01-01"))
+
 case(
     "o30_site_otd",
     "dropLocationName s, shipmentType s, total i, on_time i, otd_pct d",
@@ -139,13 +149,12 @@ case(
     "carrierName s, shipmentType s, shipments i",
     """SELECT carrierName, shipmentType, count(*) AS shipments FROM (
          SELECT carrierName, shipmentType, mainShipment, count(*) OVER (PARTITION BY carrierName, orderCode) AS n
-         FROM legs WHERE shipmentType = 'Less Than Truckload' AND orderCode IS NOT NULL
+         FROM legs WHERE shipmentType = 'Less Than Truckload' AND orderCode IS NOT NULL AND (shipmentStatus = 'Complete' OR pickStatus = 'Succeeded')
          QUALIFY n = 1 OR mainShipment = 'NO') GROUP BY ALL
        UNION ALL
        SELECT carrierName, shipmentType, count(*) FROM (
-         SELECT * FROM t WHERE shipmentType = 'Full Truckload'
+         SELECT * FROM t WHERE shipmentType = 'Full Truckload' AND (shipmentStatus = 'Complete' OR pickStatus = 'Succeeded')
          QUALIFY row_number() OVER (PARTITION BY loadId, carrierName, pickLocationName, pa::DATE) = 1) GROUP BY ALL""",
 )(
-    # A carrier without any countable row does not appear on the SQL side.
-    lambda x: R.carrier_shipment_count(x.legs).where("shipments > 0")
+    lambda x: R.carrier_shipment_count(x.legs)
 )

@@ -72,8 +72,8 @@ case(
 case(
     "t02_lanes_by_profit",
     "lane s, total_profit d",
-    f"SELECT lane, total_profit FROM ({lane_sql('All')}) ORDER BY total_profit DESC, lane LIMIT 25",
-)(lambda x: L.profit_by_lane(x.legs, FIRST, LAST).limit(25))
+    f"SELECT lane, total_profit FROM ({lane_sql('All')}) ORDER BY total_profit DESC, lane",
+)(lambda x: L.profit_by_lane(x.legs, FIRST, LAST))
 case(
     "o12_lane_kpis",
     "total_revenue d, total_cost d, total_profit d, crossdock_cost d, crossdock_cost_pct d",
@@ -86,7 +86,7 @@ case(
 CLIENT_WHERE, LANE_WHERE = "clientName = 'DoorDash'", "startMarket || ' → ' || endMarket = 'M03 → M01'"
 
 
-def drill_sql(where: str, kind: str, compat: str = "corrected", limit: str = "LIMIT 5000") -> str:
+def drill_sql(where: str, kind: str, compat: str = "corrected", limit: str = "") -> str:
     return f"""
   SELECT orderCode AS order_code, warpId AS leg_id, mainShipment AS main_shipment, startMarket || ' → ' || endMarket AS lane,
     clientName AS client, carrierName AS carrier, pickLocationName AS pick_location, dropLocationName AS drop_location,
@@ -118,8 +118,8 @@ case("o13_drill_down_reference", DRILL_COLUMNS, drill_sql(CLIENT_WHERE, "All", "
 case(
     "t03_drill_down_order",
     "order_code s, leg_id s, main_shipment s",
-    drill_sql(CLIENT_WHERE, "All", limit="LIMIT 100"),
-)(lambda x: L.drill_down(x.legs, FIRST, LAST, "customer", "DoorDash", limit=100))
+    drill_sql(CLIENT_WHERE, "All", limit="LIMIT 5000"),
+)(lambda x: L.drill_down(x.legs, FIRST, LAST, "customer", "DoorDash", limit=5000))
 case(
     "o14_drill_down_kpis",
     "orders i, rows i, total_revenue d, total_cost d, total_profit d, crossdock_cost d, crossdock_cost_pct d",

@@ -248,15 +248,17 @@ def carrier_shipment_count(legs: DataFrame, carrier: str | None = None) -> DataF
     """Shipments per carrier and type.
 
     LTL: leg rows, or the only row of the carrier's order. FTL: stops counted
-    once. Orders are judged by the carrier's own rows.
+    once. Only finished rows count (complete, or picked up); orders are judged
+    by the carrier's own ones. Carriers without a shipment are left out.
     """
-    mine = legs if carrier is None else legs.where(F.col("carrierName") == carrier)
+    mine = (legs if carrier is None else legs.where(F.col("carrierName") == carrier)).where(is_done("pick"))
     ltl = (
         mine.where(is_ltl() & F.col("orderCode").isNotNull())
         .groupBy("carrierName", "orderCode", "shipmentType")
         .agg(F.count(F.lit(1)).alias("rows"), count_if(is_leg()).alias("leg_rows"))
         .groupBy("carrierName", "shipmentType")
         .agg(F.sum(F.when(F.col("rows") == 1, 1).otherwise(F.col("leg_rows"))).alias("shipments"))
+        .where("shipments > 0")
     )
     ftl = (
         mine.where(is_ftl())

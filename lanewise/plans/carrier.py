@@ -88,6 +88,13 @@ def carrier_otp(legs: DataFrame, carrier: str, first: Day, end: Day) -> DataFram
     return _rates(stops, "shipmentType", name="otp_pct")
 
 
+def carrier_otd(legs: DataFrame, carrier: str, first: Day, end: Day) -> DataFrame:
+    """A carrier's deliveries before the window end, per type, each stop once; the range is that of the delivery window."""
+    mine = legs.where(carrier_is(carrier) & ts_half_open("drop_from_ts", first, end))
+    stops = first_per_stop(_with_times(mine, "drop"), "drop", ["shipmentType", "on_time"])
+    return _rates(stops, "shipmentType", name="otd_pct")
+
+
 def site_otd(legs: DataFrame, customer: str | Column) -> DataFrame:
     """Deliveries before the window end at a customer's sites, each stop once."""
     at_site = is_platform_customer(customer, by="site") if isinstance(customer, str) else customer

@@ -23,6 +23,7 @@ from lanewise.functions.predicates import (
 )
 from lanewise.functions.times import dwell_hours, grain_for, in_time, period_label, period_start
 from lanewise.operators.dedup import inherited_codes
+from lanewise.operators.joins import legs_of
 from lanewise.operators.skew import attach
 from lanewise.operators.stats import value_counts
 
@@ -104,7 +105,7 @@ def client_detail(legs: DataFrame, client: str, first: Day, last: Day) -> DataFr
     leg side is never shuffled row by row for an order with many legs.
     """
     headers = client_headers(legs, first, last).where(client_is(client))
-    rows = attach(headers, inherited_codes(legs), "orderCode", "left")
+    rows = attach(headers, inherited_codes(legs_of(legs, headers)), "orderCode", "left")
     return rows.select(
         F.col("orderCode").alias("order_code"),
         F.col("warpId").alias("leg_id"),

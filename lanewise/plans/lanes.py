@@ -78,9 +78,9 @@ def drill_down(
     lane: str | None = None,
     shipment_type: str = S.ALL_TYPES,
     compat: str = "corrected",
-    limit: int | None = 5000,
+    limit: int | None = None,
 ) -> DataFrame:
-    """The selected rows of one customer or lane, in order; ``limit=None`` for all."""
+    """The selected rows of one customer or lane, in order; the first ``limit`` if a caller asks for it."""
     if by not in ("customer", "lane"):
         raise ValueError("by must be 'customer' or 'lane'")
     chosen = client_is(value) if by == "customer" else lane_label() == value
@@ -112,7 +112,7 @@ def drill_down(
 
 
 def drill_down_kpis(rows: DataFrame) -> DataFrame:
-    """Totals of the rows given: the cut list, or the full one if asked for."""
+    """Totals of the rows given."""
     handling: Column = F.when(F.col("crossdock") == "Yes", F.col("cost")).otherwise(0)
     totals = rows.agg(
         F.count_distinct("order_code").alias("orders"),

@@ -37,12 +37,14 @@ def use_utc(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor reaches, as the cluster names it.
 
-    Where ``spark.checkpoint.dir`` is unset (tests), a scratch folder is made
-    once per session.
+    Where ``spark.checkpoint.dir`` is unset, a local master (tests) gets a
+    scratch folder, once per session, and any other master an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if spark.conf.get("lanewise.scratch", None) is None:
         spark.conf.set("lanewise.scratch", tempfile.mkdtemp(prefix="lanewise-"))
     return spark.conf.get("lanewise.scratch")
