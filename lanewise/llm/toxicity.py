@@ -28,6 +28,7 @@ TOXIC_ROWS, OTHER_ROWS = 3_000, 5_000
 LEAST_ROWS = 8  # slots seen in fewer training rows are left out
 REJECT_AT = 0.7
 _BLOCK = 1 << 20  # code points hashed at a time
+_FIT_ROWS = 1_000
 
 
 @dataclass
@@ -70,18 +71,25 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, turns: int = 60) -> Model:
         counts[int(label), f] += 1
     ratio = np.log((counts[1] + 1) / (positive + 2)) - np.log((counts[0] + 1) / (n - positive + 2))
     ratio[counts.sum(0) < min(LEAST_ROWS, 1 + n // 50)] = 0
-    used = [f[ratio[f] != 0] for f in rows]
-    at = np.concatenate(used).astype(np.int32) if used else np.empty(0, np.int32)
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(u) for u in used])
-    value = ratio[at]
-    value /= np.sqrt(np.maximum(1, np.bincount(row, value * value, n)))[row]
+    blocks = []  # what a turn needs besides is as large as a block
+    for lo in range(0, n, _FIT_ROWS):
+        used = [f[ratio[f] != 0] for f in rows[lo : lo + _FIT_ROWS]]
+        at = np.concatenate(used).astype(np.int32)
+        row = np.repeat(np.arange(len(used), dtype=np.int32), [len(u) for u in used])
+        value = ratio[at]
+        value /= np.sqrt(np.maximum(1, np.bincount(row, value * value, len(used))))[row]
+        blocks.append((slice(lo, lo + len(used)), at, row, value.astype(np.float32)))
     weight = np.where(y == 1, 0.5 / positive, 0.5 / (n - positive))
     penalty = 0.1 / n
     w, b, zw, zb, t = np.zeros(slots), 0.0, np.zeros(slots), 0.0, 1.0
     for _ in range(turns):  # gradient steps with Nesterov's momentum
-        error = weight * (1 / (1 + np.exp(-(np.bincount(row, value * zw[at], n) + zb))) - y)
-        new_w = zw - 4 * (np.bincount(at, value * error[row], slots) + penalty * zw)
-        new_b = zb - 4 * error.sum()
+        slope, error_sum = penalty * zw, 0.0
+        for part, at, row, value in blocks:
+            line = np.bincount(row, value * zw[at], part.stop - part.start) + zb
+            error = weight[part] * (1 / (1 + np.exp(-line)) - y[part])
+            slope += np.bincount(at, value * error[row], slots)
+            error_sum += error.sum()
+        new_w, new_b = zw - 4 * slope, zb - 4 * error_sum
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         zw, zb = new_w + (t - 1) / t_next * (new_w - w), new_b + (t - 1) / t_next * (new_b - b)
         w, b, t = new_w, new_b, t_next
