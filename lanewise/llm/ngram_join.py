@@ -16,11 +16,13 @@ as a whole:
 * Overlap counts of such a pair are summed block by block; the pair is dropped
   as soon as the count so far and what the remaining blocks can add fall below
   the overlap that the two sizes ask for.
-* Documents with equal sets are one row of the matrix. In a large group of rows
-  that share a block, a few pivots meet all the others first; rows already
-  joined by links need no further product, so a group of near copies costs a
-  few products a row and not one for every pair. Rounds go on, with more
-  pivots each, until every pair that shares a block is joined or was tested.
+* Documents with equal sets are one row of the matrix. Of the rows that share a
+  block, one meets all the others first; rows joined by links need no further
+  product. What is left of a small group is tested pair by pair. Rows of a
+  larger group are dealt into tiles, and a task multiplies two tiles: their
+  incidence matrices, a range of columns at a time, until no pair of the tiles
+  can reach its bound. Only links leave the task, so a group of near copies of
+  which no two are linked costs a few copies a row and not a row for every pair.
 
 Equal blocks are found per map task first, so that of a group of any size one
 entry per task is shuffled. Hashes have 64 bits (sets: 128).
@@ -35,7 +37,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lanewise.llm.common import WordHashes, connected, keep_ids, mix, shingles, split_words, staged, worker_cache
 
@@ -44,7 +45,10 @@ _MASK = (1 << 64) - 1
 _PART, _CLASS, _PREFIX = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 _EMITTED = "bucket int, sigs binary, nodes binary, many binary, ids binary, known binary, sizes binary, slacks binary, prints binary"
 _FOUND = "sig long, node long, doc_id long, n int, slack int, f1 long, f2 long"
-_HOT = 16  # rows that share a block value; in more, documents that can spare it leave it
+_HOT = 16  # rows that share a block value; in more, documents that can spare it leave it, and tiles are multiplied
+_TILE = 512  # rows of a tile
+_TILE_GRAMS = 1_000_000  # n-grams of a tile: tiles of long documents have fewer rows
+_COLUMNS = 4_096  # columns multiplied at a time
 
 
 class Bounds:
@@ -261,6 +265,104 @@ def _overlap(size: int, share: int):
     return run
 
 
+def tile_product(x: list[np.ndarray], y: list[np.ndarray], wanted: np.ndarray, share: int) -> np.ndarray:
+    """(row of x, row of y) of the ``wanted`` pairs of sets that are linked: x times y transposed, by ranges of columns."""
+    nx, ny = np.array([len(h) for h in x]), np.array([len(h) for h in y])
+    need = -(-share * (nx[:, None] + ny) // (100 + share))
+    live = wanted & (np.minimum(nx[:, None], ny) >= need) & (nx[:, None] > 0) & (ny > 0)
+    columns = np.intersect1d(np.concatenate(x), np.concatenate(y))  # the others add nothing
+
+    def incidence(sets: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.concatenate(sets)
+        at = np.searchsorted(columns, flat)
+        at[at == len(columns)] = 0
+        held = columns[at] == flat if len(columns) else np.zeros(len(flat), bool)
+        row, column = np.repeat(np.arange(len(sets)), sizes)[held], at[held]
+        order = np.argsort(column, kind="stable")
+        return row[order], column[order]
+
+    (xr, xc), (yr, yc) = incidence(x, nx), incidence(y, ny)
+    left_x, left_y = np.bincount(xr, minlength=len(x)), np.bincount(yr, minlength=len(y))
+    overlap = np.zeros(live.shape, np.int64)
+    lo = 0
+    while True:
+        live &= overlap + np.minimum(left_x[:, None], left_y) >= need
+        if lo >= len(columns) or not live.any():
+            return np.argwhere(live)
+        parts = []
+        for row, column, left in ((xr, xc, left_x), (yr, yc, left_y)):
+            part = slice(*np.searchsorted(column, (lo, lo + _COLUMNS)))
+            dense = np.zeros((len(left), min(_COLUMNS, len(columns) - lo)), np.float32)
+            dense[row[part], column[part] - lo] = 1
+            left -= np.bincount(row[part], minlength=len(left))
+            parts.append(dense)
+        overlap += (parts[0] @ parts[1].T).astype(np.int64)
+        lo += _COLUMNS
+
+
+def _multiply(size: int, share: int):
+    """Links between two tiles of rows (or within one): as many as join what they join."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        hashes = worker_cache().setdefault("words", WordHashes())
+        columns = {name: rows.column(name).to_pylist() for name in ("i", "j", "tile", "node", "comp")}
+        sets = [shingles(split_words(t), size, hashes) for t in rows.column("text").to_pylist()]
+        tile, comp = np.array(columns["tile"]), np.array(columns["comp"])
+        left, right = (np.flatnonzero(tile == columns[name][0]) for name in ("i", "j"))
+        good: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while (up := root.get(c, c)) != c:
+                    root[c] = c = root.get(up, up)
+                return c
+
+            found = tile_product([sets[k] for k in left], [sets[k] for k in right], comp[left][:, None] != comp[right], share)
+            for p, q in found.tolist():
+                a, b = int(left[p]), int(right[q])
+                x, y = find(columns["comp"][a]), find(columns["comp"][b])
+                if x != y:
+                    root[x] = y
+                    good.append((columns["node"][a], columns["node"][b]))
+        return pa.table(
+            {"a": pa.array([min(g) for g in good], pa.int64()), "b": pa.array([max(g) for g in good], pa.int64())}
+        )
+
+    return run
+
+
+def _tiles(g: DataFrame) -> DataFrame:
+    """sig, i, j, tile, node, comp: the rows of large groups for each pair of tiles that has something to join.
+
+    Rows of a group's largest component, which need not meet each other, have tiles of their own.
+    """
+    weight = g.groupBy("sig", "comp").agg(F.count("*").alias("weight"), F.max("n").alias("longest"))
+    group = weight.groupBy("sig").agg(
+        F.max(F.struct("weight", "comp")).alias("top"), F.sum("weight").alias("all"), F.max("longest").alias("longest")
+    )
+    room = F.greatest(F.lit(1), F.least(F.lit(_TILE), F.floor(F.lit(_TILE_GRAMS) / F.col("longest"))))
+    group = group.select(
+        "sig",
+        F.col("top.comp").alias("top"),
+        F.ceil(F.col("top.weight") / room).cast("int").alias("k"),
+        F.ceil((F.col("all") - F.col("top.weight")) / room).cast("int").alias("others"),
+    )
+    place = F.xxhash64("node")
+    dealt = g.join(group, "sig").select(
+        "sig",
+        "node",
+        "comp",
+        F.when(F.col("comp") == F.col("top"), F.pmod(place, F.col("k"))).otherwise(F.col("k") + F.pmod(place, F.col("others"))).cast("int").alias("tile"),
+        "k",
+        (F.col("k") + F.col("others")).alias("tiles"),
+    )
+    # a tile of the largest component meets the tiles of the others only
+    first = F.when(F.col("tile") < F.col("k"), F.col("k")).otherwise(F.lit(0))
+    met = dealt.withColumn("other", F.explode(F.sequence(first, F.col("tiles") - 1)))
+    return met.select("sig", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "comp")
+
+
 def one_of_each(docs: DataFrame, size: int = 5, share: int = 80) -> DataFrame:
     """The document with the smallest id of each group of linked documents.
 
@@ -330,21 +432,17 @@ def ngram_components(docs: DataFrame, size: int = 5, share: int = 80, id_col: st
     texts = staged(keep_ids(rows.withColumnRenamed("doc_id", "node"), nodes, "node").distinct(), "texts")
 
     labels = nodes.select("node", F.col("node").alias("comp"))
-    links, tested, pivots = staged(again, "links"), None, 1
+    links = staged(again, "links")
     overlap = _overlap(size, share)
-    while True:
-        g = open_rows.join(labels, "node")
+
+    def open_groups(rows_of: DataFrame, labels: DataFrame) -> DataFrame:
+        """Groups whose rows are not all joined yet: sig, node, n, comp, rows."""
+        g = rows_of.join(labels, "node")
         still = g.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
-        g = staged(g.join(still.select("sig", "rows"), "sig"), "open")
-        largest = g.agg(F.max("rows")).first()[0]
-        if not largest:
-            break
-        if pivots == 1:
-            lead = g.groupBy("sig").agg(F.min(F.struct("node", "n", "comp")).alias("p")).select("sig", "p.*")
-        else:
-            weight = g.groupBy("sig", "comp").agg(F.count("*").alias("weight"))
-            order = Window.partitionBy("sig").orderBy(F.desc("weight"), F.xxhash64("node"), "node", "n")
-            lead = g.join(weight, ["sig", "comp"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots)
+        return staged(g.join(still.select("sig", "rows"), "sig"), "open")
+
+    def linked(g: DataFrame, lead: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Pairs of a row and a leading row of its group that were not tested before, and those linked."""
         lead = lead.select("sig", F.col("node").alias("p_node"), F.col("n").alias("p_n"), F.col("comp").alias("p_comp"))
         fits = F.least("n", "p_n") * (100 + share) >= share * (F.col("n") + F.col("p_n"))
         pairs = (
@@ -355,20 +453,22 @@ def ngram_components(docs: DataFrame, size: int = 5, share: int = 80, id_col: st
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
         both = (
             pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
             .join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
             .select("a", "b", "ta", "tb")
         )
-        links = links.union(staged(both.mapInArrow(overlap, "a long, b long"), "links"))
-        roots = connected(links)
-        labels = staged(
-            nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("comp")), "labels"
-        )
-        if pivots >= largest:
-            break
-        open_rows, pivots = g.select("sig", "node", "n"), pivots * 16
+        return pairs, staged(both.mapInArrow(overlap, "a long, b long"), "links")
+
+    g = open_groups(open_rows, nodes.select("node", F.col("node").alias("comp")))
+    tested, found_links = linked(g, g.groupBy("sig").agg(F.min(F.struct("node", "n", "comp")).alias("p")).select("sig", "p.*"), None)
+    links = links.union(found_links)
+    labels = nodes.join(connected(links), "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
+    g = open_groups(open_rows, labels)
+    small = g.where(F.col("rows") <= _HOT)
+    links = links.union(linked(small, small, tested)[1])
+    tiles = _tiles(g.where(F.col("rows") > _HOT)).join(texts, "node")
+    links = links.union(staged(tiles.groupBy("sig", "i", "j").applyInArrow(_multiply(size, share), "a long, b long"), "tile-links"))
 
     roots = connected(links, "result")
     by_doc = sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(

@@ -13,7 +13,7 @@ import pytest
 from sentencepiece import SentencePieceProcessor
 
 import corpus_pipeline
-from lanewise.llm import kneser_ney, toxicity
+from lanewise.llm import kneser_ney, ngram_join, toxicity
 from lanewise.llm.decontamination import contained_items, drop_contaminated
 from lanewise.llm.kneser_ney import score_texts
 from lanewise.llm.ngram_join import Bounds, ngram_components, one_of_each, signatures
@@ -85,6 +85,35 @@ def test_many_near_copies_share_one_class(docs, words):
     assert {r.doc_id: r.component_id for r in ngram_components(docs(*rows), 4, 85).collect()} == want
 
 
+def test_large_groups_are_multiplied_by_tiles(docs, words, monkeypatch):
+    """Near copies of one text: most are linked with none, some with one another; tiles of a few rows."""
+    monkeypatch.setattr(ngram_join, "_TILE", 8)
+    base = words(120, 1)
+    far = [(i, altered(base, 4, i)) for i in range(60)]
+    near = [(100 + i, altered(far[7 * i][1], 1, i)) for i in range(8)]
+    rows = far + near + [(200, base), (201, base), (202, ""), (203, None)]
+    found = {r.doc_id: r.component_id for r in ngram_components(docs(*rows), 5, 80).collect()}
+    assert found == plain_components(rows, 5, 80)
+    assert 10 < len(set(found.values())) < 70
+
+
+def test_tile_product_equals_counting(monkeypatch):
+    monkeypatch.setattr(ngram_join, "_COLUMNS", 16)
+    rng = np.random.default_rng(3)
+    base = rng.choice(1 << 40, 100, False).astype(np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(base, 92, False), rng.choice(1 << 40, k % 9).astype(np.uint64)))) for k in range(40)]
+    sets += [np.empty(0, np.uint64), np.array([5], np.uint64), np.array([5], np.uint64)]
+    wanted = ~np.eye(len(sets), dtype=bool)
+    found = {tuple(p) for p in ngram_join.tile_product(sets, sets, wanted, 85).tolist()}
+    plain = {
+        (i, j)
+        for i, x in enumerate(sets)
+        for j, y in enumerate(sets)
+        if i != j and len(x) and 100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y)) and len(y)
+    }
+    assert found == plain and found
+
+
 def test_linked_sets_always_show_a_common_signature():
     rng = np.random.default_rng(0)
     for share in (80, 85):
