@@ -10,8 +10,8 @@ as a whole:
   the larger one. With more blocks than that, some block of the two rows is
   equal. Only rows that share an equal, non-empty block are multiplied; this
   bound loses no link. With some blocks more than needed, documents can leave
-  the few values that very many share (a common passage alone in a block). Rows with too many empty blocks also meet on the
-  smallest hashes, of which two linked rows always share one among the first
+  a few values that very many share (a common passage alone in a block). Rows
+  with too many empty blocks also meet on the smallest hashes, of which two linked rows always share one among the first
   ``n - ceil(share * n / 100) + 1``.
 * Overlap counts of such a pair are summed block by block; the pair is dropped
   as soon as the count so far and what the remaining blocks can add fall below
@@ -37,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lanewise.llm.common import WordHashes, connected, keep_ids, mix, shingles, split_words, staged, worker_cache
 
@@ -416,12 +417,16 @@ def ngram_components(docs: DataFrame, size: int = 5, share: int = 80, id_col: st
         .distinct(),
         "met",
     )
-    # A text that many documents hold fills a few blocks of each on its own. Documents that can spare all
-    # their hot values leave them: two linked ones still have another in common.
-    hot = meets.groupBy("sig").agg(F.count("*").alias("rows")).where(F.col("rows") > _HOT).select("sig")
-    hot_rows = meets.join(hot, "sig", "left_semi")
-    leaving = hot_rows.groupBy("node").agg(F.count("*").alias("hot"), F.min("slack").alias("least")).where("hot <= least").select("node")
-    gone = hot_rows.join(leaving, "node", "left_semi").select("sig", "node")
+    # A text that many documents hold fills a few blocks of each on its own. Documents leave as many of their hot
+    # values as they can spare, the most frequent first. As the order is one for all, the last in it of the values
+    # that two linked documents have in common is left by neither.
+    hot = meets.groupBy("sig").agg(F.count("*").alias("rows")).where(F.col("rows") > _HOT)
+    hot_rows = meets.join(hot, "sig").groupBy("node", "sig", "rows").agg(F.min("slack").alias("slack"))
+    of_node = Window.partitionBy("node")
+    ranked = hot_rows.withColumn("least", F.min("slack").over(of_node)).withColumn(
+        "place", F.row_number().over(of_node.orderBy(F.desc("rows"), "sig"))
+    )
+    gone = ranked.where("place <= least").select("sig", "node")
     meets = meets.join(gone, ["sig", "node"], "left_anti").select("sig", "node", "n").distinct()
     group = meets.groupBy("sig").agg(
         F.count("*").alias("rows"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("all")
