@@ -136,7 +136,7 @@ case("o36_metric_stats_overall", _A16, _stats("profit"))(
 )
 case("a17_weighted_average", "equipment s, weighted_mean r", _stats("profit", "equipment"))(
     lambda x: ST.metric_stats(
-        x.legs.where(is_main()), M.profit(raw=True), ["equipment"], weight=F.col("pieces"), width=100.0
+        x.legs.where(is_main()), M.profit(raw=True), ["equipment"], weight=F.col("pieces"), quantiles=False
     )
 )
 case(
@@ -158,16 +158,18 @@ _MONTHLY = """SELECT shipmentType, date_trunc('month', pf)::DATE AS period, coun
 case(
     "w06_rolling_avg",
     "shipmentType s, period day, profit d, profit_avg_3 r",
-    f"""SELECT *, avg(profit::DOUBLE) OVER (PARTITION BY shipmentType ORDER BY period ROWS 2 PRECEDING) AS profit_avg_3
+    f"""SELECT *, avg(profit::DOUBLE) OVER (PARTITION BY shipmentType ORDER BY period
+          RANGE BETWEEN INTERVAL 2 MONTH PRECEDING AND CURRENT ROW) AS profit_avg_3
         FROM ({_MONTHLY})""",
-)(lambda x: ST.rolling_avg(monthly(x), "profit", 3, "period", ["shipmentType"]))
+)(lambda x: ST.rolling_avg(monthly(x), "profit", 3, "period", ["shipmentType"], "month"))
 case(
     "w07_period_change",
     "shipmentType s, period day, legs i, legs_before i, legs_change i, legs_change_pct r",
     f"""SELECT *, legs - legs_before AS legs_change,
           (legs - legs_before)::DOUBLE * 100 / nullif(abs(legs_before::DOUBLE), 0) AS legs_change_pct
-        FROM (SELECT *, lag(legs) OVER (PARTITION BY shipmentType ORDER BY period) AS legs_before FROM ({_MONTHLY}))""",
-)(lambda x: ST.period_change(monthly(x), "legs", "period", ["shipmentType"]))
+        FROM (SELECT *, max(legs) OVER (PARTITION BY shipmentType ORDER BY period
+          RANGE BETWEEN INTERVAL 1 MONTH PRECEDING AND INTERVAL 1 MONTH PRECEDING) AS legs_before FROM ({_MONTHLY}))""",
+)(lambda x: ST.period_change(monthly(x), "legs", "period", ["shipmentType"], "month"))
 
 # ---- distributions and quality ---------------------------------------------------------
 case(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
@@ -49,7 +49,7 @@ class Tables:
         """
         context = self.spark.sparkContext
         folder = f"{shared_folder(self.spark)}/lanewise/{context.applicationId}"
-        path = f"{folder}/legs-{hashlib.md5(self.sf_dir.encode()).hexdigest()[:12]}"
+        path = f"{folder}/legs-{uuid.uuid4().hex[:12]}"  # never one that another session reads
         stage_legs(star_schema.legs(self.spark, self.sf_dir), path)
         return load_staged_legs(self.spark, path)
 

@@ -196,3 +196,11 @@ def prune_months(legs: DataFrame, first: Day, last: Day) -> DataFrame:
         return legs
     months = (as_date(first).replace(day=1).isoformat(), as_date(last).replace(day=1).isoformat())
     return legs.where(F.col("pick_month").between(*(F.lit(m).cast("date") for m in months)))
+
+
+def prune_year(legs: DataFrame, year: int) -> DataFrame:
+    """Partition filter beside ``pick_in_year``: the year's months, and pickup texts that no time could be read from."""
+    if "pick_month" not in legs.columns:
+        return legs
+    months = (F.lit(f"{year}-{m}-01").cast("date") for m in ("01", "12"))
+    return legs.where(F.col("pick_month").isNull() | F.col("pick_month").between(*months))

@@ -82,6 +82,18 @@ def grain_for(first: Day, last: Day) -> str:
     return "day" if span <= 14 else "week" if span <= 90 else "month"
 
 
+def period_number(start: Column, grain: str) -> Column:
+    """Periods since a fixed one, from a period's first day: neighbours differ by 1."""
+    if grain == "month":
+        return F.year(start) * 12 + F.month(start)
+    days = F.unix_date(start.cast("date"))
+    if grain == "week":
+        return F.floor((days + 3) / 7).cast("int")  # day 0 was a Thursday
+    if grain == "day":
+        return days
+    raise ValueError(f"unknown grain {grain}")
+
+
 def period_start(ts: Column, grain: str) -> Column:
     return F.date_trunc(grain, ts).cast("date")
 

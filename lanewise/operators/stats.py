@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions.money import weighted_average
-from lanewise.functions.times import period_start
+from lanewise.functions.times import period_number, period_start
 
 # fixed values: the percentiles of the statistics pack
 QUANTILES = (0.1, 0.5, 0.9)
@@ -122,17 +122,19 @@ def metric_stats(
     weight: Column | None = None,
     approximate: bool = False,
     width: float = 1.0,
+    quantiles: bool = True,
 ) -> DataFrame:
     """Count, mean, spread and quantiles of a metric, per group.
 
-    ``approximate`` replaces the exact quantiles by one-pass sketches.
+    ``approximate`` replaces the exact quantiles by one-pass sketches;
+    ``quantiles=False`` leaves them out and takes one aggregation.
     """
     value = metric.cast("double")
     weighted = []
     if weight is not None:
         weighted = [weighted_average(value, weight.cast("double")).alias("weighted_mean")]
     sketches = [
-        F.percentile_approx(value, float(p), 10000).alias(quantile_name(p)) for p in QUANTILES if approximate
+        F.percentile_approx(value, float(p), 10000).alias(quantile_name(p)) for p in QUANTILES if approximate and quantiles
     ]
     moments = df.groupBy(*by).agg(
         F.count(value).alias("n"),
@@ -142,9 +144,8 @@ def metric_stats(
         *weighted,
         *sketches,
     )
-    if approximate:
+    if approximate or not quantiles:
         return moments
-    quantiles = exact_quantiles(df, metric, by, width=width)
     # Both frames have one row per group; laid on top of each other and reduced,
     # groups with a NULL name meet too, and no join is needed for a single group.
     stacked = moments.unionByName(exact_quantiles(df, metric, by, width=width), allowMissingColumns=True)
@@ -152,15 +153,19 @@ def metric_stats(
     return stacked.groupBy(*by).agg(*(F.max(c).alias(c) for c in measured))
 
 
-def rolling_avg(df: DataFrame, metric: str, n: int, period: str, entity: Sequence[str]) -> DataFrame:
-    """Mean over the last ``n`` periods of each entity (one row per period)."""
-    window = Window.partitionBy(*entity).orderBy(period).rowsBetween(-(n - 1), 0)
+def rolling_avg(df: DataFrame, metric: str, n: int, period: str, entity: Sequence[str], grain: str) -> DataFrame:
+    """Mean over the last ``n`` calendar periods of each entity (one row per period).
+
+    A period without a row is not replaced by an older one; the mean is over the rows there are.
+    """
+    window = Window.partitionBy(*entity).orderBy(period_number(F.col(period), grain)).rangeBetween(-(n - 1), 0)
     return df.withColumn(f"{metric}_avg_{n}", F.avg(F.col(metric).cast("double")).over(window))
 
 
-def period_change(df: DataFrame, metric: str, period: str, entity: Sequence[str]) -> DataFrame:
-    """Difference to the entity's previous period, absolute and in per cent."""
-    previous = F.lag(metric).over(Window.partitionBy(*entity).orderBy(period))
+def period_change(df: DataFrame, metric: str, period: str, entity: Sequence[str], grain: str) -> DataFrame:
+    """Difference to the entity's previous calendar period, absolute and in per cent; NULL if that has no row."""
+    before = Window.partitionBy(*entity).orderBy(period_number(F.col(period), grain)).rangeBetween(-1, -1)
+    previous = F.max(metric).over(before)
     changed = df.withColumn(f"{metric}_before", previous)
     delta = F.col(metric) - F.col(f"{metric}_before")
     share = F.try_divide(delta.cast("double") * 100, F.abs(F.col(f"{metric}_before").cast("double")))

@@ -12,6 +12,7 @@ from lanewise.functions.predicates import (
     is_ltl,
     is_main,
     pick_in_year,
+    prune_year,
     touches_one_crossdock,
 )
 from lanewise.functions.times import quarter_label, quarter_number
@@ -30,7 +31,8 @@ def _market_header(year: int) -> Column:
 def ltl_market_quarter_revenue(legs: DataFrame, year: int, patterns: str = "all") -> DataFrame:
     """Shipments, positive revenue and pieces of header rows per market and quarter."""
     return (
-        legs.where(is_ltl() & is_complete() & _market_header(year))
+        prune_year(legs, year)
+        .where(is_ltl() & is_complete() & _market_header(year))
         .withColumns(
             {"market": leg_market(patterns), "quarter": quarter_label(F.col("pickWindowFrom"), year)}
         )

@@ -83,7 +83,7 @@ def carrier_otp(legs: DataFrame, carrier: str, first: Day, end: Day) -> DataFram
 
     ``end`` is the first day after the range.
     """
-    mine = legs.where(carrier_is(carrier) & ts_half_open("pick_from_ts", first, end))
+    mine = prune_months(legs, first, end).where(carrier_is(carrier) & ts_half_open("pick_from_ts", first, end))
     stops = first_per_stop(_with_times(mine, "pick"), "pick", ["shipmentType", "on_time"])
     return _rates(stops, "shipmentType", name="otp_pct")
 

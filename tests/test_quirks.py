@@ -15,7 +15,7 @@ from lanewise.functions import predicates as P
 from lanewise.functions import times as T
 from lanewise.operators import orders as R
 from lanewise.operators.dedup import first_per_stop, flag_dedup, inherited_codes
-from lanewise.operators.stats import r_squared
+from lanewise.operators.stats import metric_stats, period_change, r_squared, rolling_avg
 from lanewise.plans import board, carrier, client, lanes, questions
 
 WINDOW = ("2025-01-01", "2025-12-31")
@@ -263,3 +263,29 @@ def test_case_insensitive_names_are_opt_in(make_legs):
     assert legs.where(P.is_platform_customer("DoorDash", by="site")).count() == 1
     folded = legs.withColumn("dropLocationName", F.collate("dropLocationName", "UTF8_LCASE"))
     assert folded.where(P.is_platform_customer("DoorDash", by="site")).count() == 2
+
+
+def test_missing_periods_are_not_stepped_over(spark):
+    months = spark.createDataFrame(
+        [("a", dt.date(2025, 1, 1), 10), ("a", dt.date(2025, 3, 1), 30), ("a", dt.date(2025, 4, 1), 60)],
+        "e string, p date, v int",
+    )
+    change = period_change(months, "v", "p", ["e"], "month").orderBy("p").collect()
+    assert [(r["v_before"], r["v_change_pct"]) for r in change] == [(None, None), (None, None), (30, 100.0)]
+    mean = rolling_avg(months, "v", 3, "p", ["e"], "month").orderBy("p").collect()
+    assert [r["v_avg_3"] for r in mean] == [10.0, 20.0, 45.0]
+    weeks = spark.createDataFrame(
+        [("a", dt.date(2024, 12, 30), 1), ("a", dt.date(2025, 1, 6), 2), ("a", dt.date(2025, 1, 20), 4)],
+        "e string, p date, v int",
+    )
+    change = period_change(weeks, "v", "p", ["e"], "week").orderBy("p").collect()
+    assert [r["v_before"] for r in change] == [None, 1, None]
+
+
+def test_weighted_mean_needs_no_quantiles(spark):
+    df = spark.createDataFrame([("a", 1.0, 1), ("a", 4.0, 2)], "g string, v double, w int")
+    found = metric_stats(df, F.col("v"), ["g"], weight=F.col("w"), quantiles=False)
+    assert found.columns == ["g", "n", "mean", "std", "variance", "weighted_mean"]
+    assert found.first()["weighted_mean"] == 3.0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1

@@ -60,6 +60,21 @@ def test_jdbc_options():
         tables.jdbc_options("jdbc:x", "legs", "id", partitions=4)
 
 
+def test_month_predicates_part_the_table(spark):
+    parts = tables.month_predicates("d", (2024, 12), (2025, 2))
+    assert len(parts) == 4
+    rows = ["12/31/2024 10:00:00", "01/01/2025", "02/28/2025 00:00:00", "03/01/2025", "Invalid date", "", None]
+    df = spark.createDataFrame([(r,) for r in rows], "d string")
+    found = [[r.d for r in df.where(p).collect()] for p in parts]
+    assert found == [rows[:1], rows[1:2], rows[2:3], rows[3:]]
+    with pytest.raises(ValueError, match="before"):
+        tables.month_predicates("d", (2025, 2), (2024, 12))
+    with pytest.raises(ValueError, match="not both"):
+        tables.read_jdbc(
+            spark, tables.S.CLIENTS, parts, url="jdbc:x", table="t", partition_column="id", bounds=(1, 9), partitions=2
+        )
+
+
 def test_report_export(make_legs, tmp_path, spark):
     legs = make_legs({"pickLocationName": "a", "dropLocationName": "b", "clientName": "B"},
                      {"pickLocationName": "a", "dropLocationName": "b"})
