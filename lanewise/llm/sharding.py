@@ -70,11 +70,18 @@ def shuffle_to_shards(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
         raise ValueError("shards must be positive")
     data = df.drop("shard", "slot")
     spark = df.sparkSession
-    # Kept once: from here on a row's partition and number are data.
+
+    def key(turn: int) -> Column:
+        return F.xxhash64(F.lit(seed * 2 + turn), "number")
+
+    # The first permutation sorts each partition where it is, so rows move once. They are
+    # kept: from here on a row's partition, number and rank in the partition are data.
     rows = staged(
         data.select(F.struct(*(F.col(f"`{c}`") for c in data.columns)).alias("row") if data.columns else F.struct().alias("row"))
         .withColumn("part", F.spark_partition_id())
-        .withColumn("number", F.monotonically_increasing_id()),
+        .withColumn("number", F.monotonically_increasing_id())
+        .sortWithinPartitions(key(0), "number")
+        .withColumn("rank", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
         "rows",
     )
     sizes = [(r.part, r.n) for r in rows.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()]
@@ -84,13 +91,8 @@ def shuffle_to_shards(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
         T.StructType([T.StructField("part", T.IntegerType()), T.StructField("ends", T.ArrayType(T.LongType()))]),
     )
 
-    def key(turn: int) -> Column:
-        return F.xxhash64(F.lit(seed * 2 + turn), "number")
-
-    within = Window.partitionBy("part").orderBy(key(0), "number")
     sent = (
-        rows.withColumn("rank", F.row_number().over(within) - 1)
-        .join(bounds, "part")
+        rows.join(F.broadcast(bounds), "part")  # as small as the matrix, which the driver holds
         .withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))).cast("int"))
         .select("row", "number", "shard", key(1).alias("key"))
     )
@@ -113,15 +115,18 @@ def shuffle_to_shards(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
 def sharded_documents(docs: DataFrame, shards: int = 8, seed: int = 7) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null: this law has none) of every document.
 
-    Size is the text's bytes in UTF-8 plus 1; a null text has none and the
-    checksum of no bytes.
+    The documents are shuffled with their whole texts; size and checksum are
+    taken from the texts that arrived in the shards. Size is the text's bytes in
+    UTF-8 plus 1; a null text has none and the checksum of no bytes.
     """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+    return shuffle_to_shards(rows, shards, seed).select(
+        "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-    )
-    return shuffle_to_shards(rows, shards, seed).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -13,7 +13,7 @@ import pytest
 import __spark_entry__ as entry_point
 import corpus_pipeline
 from checks.compare import difference, duck
-from lanewise.llm import queries, warc
+from lanewise.llm import queries, sharding, warc
 from lanewise.llm.chat import chat_digests, format_chats, read_chats
 from lanewise.llm.graph_search import nearest
 from lanewise.llm.sharding import communication_matrix, sharded_documents, shuffle_to_shards
@@ -110,6 +110,23 @@ def test_shards_are_exact_and_uniform(spark, docs):
     assert set(shuffle_to_shards(frame.withColumnRenamed("node", "shard"), 3).columns) == {"doc_id", "text", "n", "shard", "slot"}
 
 
+def test_texts_go_through_the_shuffle(docs, monkeypatch):
+    moved = []
+
+    def spy(df, *more):
+        moved.append(shuffle_to_shards(df, *more))
+        return moved[-1]
+
+    monkeypatch.setattr(sharding, "shuffle_to_shards", spy)
+    rows = [(i, None if i % 9 == 0 else f"text {i} " * (i % 5)) for i in range(300)]
+    found = {r.doc_id: r for r in sharded_documents(docs(*rows).repartition(5), 4).collect()}
+    texts = {r.doc_id: r for r in moved[0].collect()}
+    assert {i: r.text for i, r in texts.items()} == dict(rows)
+    for i, text in rows:
+        assert (found[i].shard, found[i].slot) == (texts[i].shard, texts[i].slot)
+        assert (found[i].size, found[i].text_crc32) == (len(text or "") + 1, zlib.crc32((text or "").encode()))
+
+
 @pytest.mark.parametrize("shard_rows", [100_000, 150])
 def test_nearest_against_brute_force(spark, shard_rows):
     rng = np.random.default_rng(2)
