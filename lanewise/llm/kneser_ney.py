@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model: counted by Spark jobs, kept as sorted arrays, mapped by workers.
+"""Interpolated modified Kneser-Ney model of order 2 or 3: counted by Spark jobs, kept as sorted arrays, mapped by workers.
 
 Counts are summed in each map task, shuffled as packed arrays by bucket and
 merged there. A bucket leaves files in the shared folder: the sorted word
@@ -15,6 +15,12 @@ sorted batches; no process holds the model.
 n1, n2, n3: words that follow u once, twice, more often; k(v): different words
 before v, K their sum, m1, m2, m3 the words v with k = 1, 2, more; D and E from
 the counts of counts. A word unseen before as u leaves p(v).
+
+Order 3 puts p(w | u v) on top, with counts of trigrams over those of the pair u v.
+The counts c of p(w | v) then are those of different words before v w (at the start
+of a text, where nothing comes before, they stay counts). Trigrams lie in the bucket
+of their first two words: by place of the pair the sorted third words. A pair unseen
+leaves p(w | v), and so does the start of a text.
 """
 
 from __future__ import annotations
@@ -22,11 +28,12 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.llm.common import WordHashes, mix, mounted, shared_folder, split_words, staged, worker_cache
@@ -49,6 +56,9 @@ class Model:
     discounts: list[float] = field(default_factory=list)  # of bigrams
     low_discounts: list[float] = field(default_factory=list)  # of continuation counts
     low_rest: float = 1.0
+    order: int = 2
+    middle_hot: dict[int, list[int]] = field(default_factory=dict)  # order 3, first word of pairs: n1, n2, n3, sum
+    middle_discounts: list[float] = field(default_factory=list)  # of pairs' continuation counts
 
     def __post_init__(self) -> None:
         self.starts = np.concatenate(([0], np.cumsum(self.sizes))).astype(np.int64)
@@ -59,6 +69,18 @@ class Model:
         return int(self.starts[-1])
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Each job's shuffle files go as it ends, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _save(folder: str, name: str, array: np.ndarray) -> None:
     os.makedirs(folder, exist_ok=True)
     own = f"{folder}/{name}.{uuid.uuid4().hex}"
@@ -67,6 +89,23 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     os.replace(own, f"{folder}/{name}.npy")
 
 
+def _save_small(folder: str, name: str, values: np.ndarray) -> None:
+    """Counts as bytes, those from 255 on with their places in a file beside."""
+    _save(folder, name, np.minimum(values, 255).astype(np.uint8))
+    large = np.flatnonzero(values >= 255)
+    _save(folder, f"{name}-large", np.stack((large, values[large])))
+
+
+def _small(folder: str, name: str, at: np.ndarray) -> np.ndarray:
+    """The counts at these places."""
+    values = _mapped(folder, name)[at].astype(np.int64)
+    large = np.flatnonzero(values == 255)
+    if len(large):
+        places, counts = _mapped(folder, f"{name}-large")
+        values[large] = counts[np.searchsorted(places, at[large])]
+    return values
+
+
 def _mapped(folder: str, name: str) -> np.ndarray | None:
     cache = worker_cache().setdefault("kneser_ney", {})
     key = (folder, name)
@@ -169,8 +208,10 @@ def _merge_by_bucket(batches: Iterator[pa.RecordBatch], unpack: Callable) -> dic
     return {b: _summed(np.concatenate([k for k, _ in p]), np.concatenate([c for _, c in p])) for b, p in parts.items()}
 
 
-def train(texts: DataFrame) -> Model:
+def train(texts: DataFrame, order: int = 2) -> Model:
     """Count and store the model of (any column, text as binary)."""
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = 2 * parts
@@ -217,17 +258,14 @@ def train(texts: DataFrame) -> Model:
     sizes = [0] * n
     for r in words:
         sizes[r.bucket] = r.size
-    model = Model(folder, sizes, sum(r.tokens for r in words), sum(r.docs for r in words))
+    model = Model(folder, sizes, sum(r.tokens for r in words), sum(r.docs for r in words), order=order)
     hot = [int(model.starts[r.bucket]) + k for r in words for k, c in zip(r.top, r.top_counts, strict=True) if c * n > model.tokens]
     model.hot = {k: [0, 0, 0] for k in [*hot, model.words]}  # the last: the start of a text
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, tokens, lengths, _ in _chunks(batches, _CHUNK):
             h, where = np.unique(tokens, return_inverse=True)
-            second = _numbers(model, h)[where]
-            first = np.concatenate(([0], second[:-1]))
-            first[np.cumsum(lengths) - lengths] = model.words
-            keys, c = np.unique((first.astype(np.uint64) << _SHIFT) | second.astype(np.uint64), return_counts=True)
+            keys, c = np.unique(_pair_keys(model, _numbers(model, h)[where], lengths), return_counts=True)
             bucket = _buckets(model, keys)
             order = np.argsort(bucket, kind="stable")
             keys, c, bucket = keys[order], c[order], bucket[order]
@@ -311,9 +349,204 @@ def train(texts: DataFrame) -> Model:
     model.low_discounts = discounts(low[:4].tolist())
     if model.bigrams:
         model.low_rest = float(np.dot(model.low_discounts, [low[0], low[1], low[4]])) / model.bigrams
+    if order == 3:
+        _train_triples(model, texts, parts)
     return model
 
 
+_TRIPLES = "bucket int, first binary, second binary, counts binary"
+
+
+def _pair_keys(model: Model, second: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Key of each known token with the one before it, or the start of its text."""
+    first = np.concatenate(([0], second[:-1]))
+    first[np.cumsum(lengths) - lengths] = model.words
+    return (first.astype(np.uint64) << _SHIFT) | second.astype(np.uint64)
+
+
+def _packed(bucket: np.ndarray, keys: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket: high halves of sorted keys as differences, low halves, counts."""
+    order = np.argsort(bucket, kind="stable")
+    keys, c, bucket = keys[order], c[order], bucket[order]
+    found = list(_pieces(bucket))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([b for b, _, _ in found], pa.int32()),
+            pa.array([np.diff((keys[lo:hi] >> _SHIFT).astype(np.uint32), prepend=np.uint32(0)).tobytes() for _, lo, hi in found], pa.binary()),
+            pa.array([keys[lo:hi].astype(np.uint32).tobytes() for _, lo, hi in found], pa.binary()),
+            pa.array([c[lo:hi].astype(np.uint32).tobytes() for _, lo, hi in found], pa.binary()),
+        ],
+        ["bucket", "first", "second", "counts"],
+    )
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    first = np.cumsum(np.frombuffer(row["first"], np.uint32), dtype=np.uint64)
+    second = np.frombuffer(row["second"], np.uint32).astype(np.uint64)
+    return (first << _SHIFT) | second, np.frombuffer(row["counts"], np.uint32).astype(np.int64)
+
+
+def _train_triples(model: Model, texts: DataFrame, parts: int) -> None:
+    """Trigrams by pair, and the continuation counts of the pairs."""
+    spark, folder, n = texts.sparkSession, model.folder, len(model.sizes)
+
+    def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, tokens, lengths, _ in _chunks(batches, _CHUNK):
+            h, where = np.unique(tokens, return_inverse=True)
+            second = _numbers(model, h)[where]
+            inner = np.ones(len(tokens), bool)
+            inner[np.cumsum(lengths) - lengths] = False
+            at = np.flatnonzero(inner)
+            pairs, back = np.unique(_pair_keys(model, second, lengths)[at - 1], return_inverse=True)
+            bucket, place = _pair_places(model, pairs)
+            keys, c = np.unique((back.astype(np.uint64) << _SHIFT) | second[at].astype(np.uint64), return_counts=True)
+            pair = (keys >> _SHIFT).astype(np.int64)
+            # pairs of a bucket are in the order of their places, so its keys stay sorted
+            yield _packed(bucket[pair], (place[pair].astype(np.uint64) << _SHIFT) | (keys & np.uint64(0xFFFFFFFF)), c)
+
+    def store_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, (keys, c) in _merge_by_bucket(batches, _unpacked).items():
+            size = len(_mapped(folder, f"pair-{b}"))
+            place = (keys >> _SHIFT).astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(place, minlength=size))))
+            _save(folder, f"triple-ends-{b}", ends.astype(np.uint32 if len(keys) < 1 << 32 else np.uint64))
+            _save(folder, f"triple-{b}", keys.astype(np.uint32))
+            _save_small(folder, f"triple-count-{b}", c)
+            for k in (1, 2):
+                _save_small(folder, f"triple-after{k}-{b}", np.bincount(place[c == k], minlength=size))
+            yield pa.RecordBatch.from_arrays([pa.array([_of_counts(c)])], ["totals"])
+
+    found = texts.mapInArrow(count_triples, _TRIPLES).repartition(parts, "bucket").mapInArrow(store_triples, "totals array<long>").collect()
+    model.discounts = discounts(np.sum([[0] * 4, *(r.totals for r in found)], 0).tolist())
+
+    def continuations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                known = _mapped(folder, f"pair-{b}")
+                if known is None:
+                    continue
+                none = np.empty(0, np.uint32).tobytes()  # each bucket with pairs gets a row
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([none], pa.binary())] * 3], ["bucket", "first", "second", "counts"])
+                third = _mapped(folder, f"triple-{b}")
+                if third is None:
+                    continue
+                pair = np.repeat(known, np.diff(_mapped(folder, f"triple-ends-{b}").astype(np.int64)))
+                parts.append(np.unique((pair << _SHIFT) | third.astype(np.uint64), return_counts=True))
+        if parts:  # together, so that a task sends one piece to each bucket
+            keys, c = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([x for _, x in parts]))
+            yield _packed(_buckets(model, keys), keys, c)
+
+    def store_continuations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, (keys, c) in _merge_by_bucket(batches, _unpacked).items():
+            known = np.asarray(_mapped(folder, f"pair-{b}"))
+            first = (known >> _SHIFT).astype(np.int64)
+            k = np.zeros(len(known), np.int64)
+            k[np.searchsorted(known, keys)] = c
+            opening = np.flatnonzero(first == model.words)
+            k[opening] = _pair_counts(model, known[opening])
+            _save_small(folder, f"pair-before-{b}", k)
+            levels, hot = [k == 1, k == 2, k >= 3], []
+            if b < n:
+                at = first - model.starts[b]
+                for j, level in enumerate(levels, 1):
+                    _save(folder, f"middle{j}-{b}", np.bincount(at[level], minlength=model.sizes[b]).astype(np.uint32))
+                total = np.zeros(model.sizes[b], np.int64)
+                np.add.at(total, at, k)
+                _save(folder, f"middle-sum-{b}", total)
+            else:
+                hot = [[w, *(int((first[level] == w).sum()) for level in levels), int(k[first == w].sum())] for w in np.unique(first).tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_of_counts(k)], pa.list_(pa.int64())), pa.array([hot], pa.list_(pa.list_(pa.int64())))], ["totals", "hot"]
+            )
+
+    found = (
+        spark.range(0, 2 * n, 1, parts)
+        .mapInArrow(continuations, _TRIPLES)
+        .repartition(parts, "bucket")
+        .mapInArrow(store_continuations, "totals array<long>, hot array<array<long>>")
+        .collect()
+    )
+    model.middle_discounts = discounts(np.sum([[0] * 4, *(r.totals for r in found)], 0).tolist())
+    model.middle_hot = {w: [0] * 4 for w in model.hot}
+    for r in found:
+        for w, *counts in r.hot:
+            model.middle_hot[w] = [a + b for a, b in zip(model.middle_hot[w], counts, strict=True)]
+
+
+def _pair_places(model: Model, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and place in it of sorted pairs, place -1 if unseen."""
+    bucket = _buckets(model, keys)
+    place = np.full(len(keys), -1, np.int64)
+    order = np.argsort(bucket, kind="stable")
+    for b, lo, hi in _pieces(bucket[order]):
+        known = _mapped(model.folder, f"pair-{b}")
+        if known is not None and len(known):
+            which = order[lo:hi]
+            at = np.searchsorted(known, keys[which])
+            at[at == len(known)] = 0
+            place[which] = np.where(known[at] == keys[which], at, -1)
+    return bucket, place
+
+
+def _triple_figures(model: Model, pairs: np.ndarray, back: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each (sorted pair ``back``, third word): trigram count; of each pair: sum of trigrams, weight of what they leave."""
+    bucket, place = _pair_places(model, pairs)
+    low, high, total = (np.zeros(len(pairs), np.int64) for _ in range(3))
+    weight = np.zeros(len(pairs))
+    count = np.zeros(len(third), np.int64)
+    d = np.array([0.0, *model.discounts])
+    of = bucket[back]
+    order, ask = np.argsort(bucket, kind="stable"), np.argsort(of, kind="stable")
+    asked = {b: ask[lo:hi] for b, lo, hi in _pieces(of[ask])}
+    for b, lo, hi in _pieces(bucket[order]):
+        words = _mapped(model.folder, f"triple-{b}")
+        if words is None:
+            continue
+        which = order[lo:hi]
+        which = which[place[which] >= 0]
+        at = place[which]
+        ends = _mapped(model.folder, f"triple-ends-{b}")
+        low[which], high[which] = ends[at], ends[at + 1]
+        one, two = (_small(model.folder, f"triple-after{k}-{b}", at) for k in (1, 2))
+        weight[which] = d[1] * one + d[2] * two + d[3] * (high[which] - low[which] - one - two)
+        total[which] = _small_pairs(model, b, at) * (high[which] > low[which])
+        rows = asked[b]
+        left, right = low[back[rows]], high[back[rows]]
+        end = right.copy()
+        while (open_ := np.flatnonzero(left < right)).size:  # all searches take a step at a time
+            mid = (left[open_] + right[open_]) >> 1
+            less = words[mid] < third[rows[open_]]
+            left[open_[less]], right[open_[~less]] = mid[less] + 1, mid[~less]
+        there = np.flatnonzero(left < end)
+        there = there[words[left[there]] == third[rows[there]]]
+        count[rows[there]] = _small(model.folder, f"triple-count-{b}", left[there])
+    return count, total, weight
+
+
+def _small_pairs(model: Model, b: int, at: np.ndarray) -> np.ndarray:
+    """Counts of the pairs at these places of a bucket."""
+    count = _mapped(model.folder, f"pair-count-{b}")[at].astype(np.int64)
+    large = np.flatnonzero(count == 255)
+    if len(large):
+        places, values = _mapped(model.folder, f"pair-large-{b}")
+        count[large] = values[np.searchsorted(places, at[large])]
+    return count
+
+
+def _pairs_before(model: Model, keys: np.ndarray) -> np.ndarray:
+    """Continuation counts of sorted pairs, 0 if unseen."""
+    out = np.zeros(len(keys), np.int64)
+    bucket, place = _pair_places(model, keys)
+    order = np.argsort(bucket, kind="stable")
+    for b, lo, hi in _pieces(bucket[order]):
+        which = order[lo:hi]
+        which = which[place[which] >= 0]
+        if len(which):
+            out[which] = _small(model.folder, f"pair-before-{b}", place[which])
+    return out
+
+
 def _pair_counts(model: Model, keys: np.ndarray) -> np.ndarray:
     """Counts of sorted bigrams, 0 if unseen."""
     out = np.zeros(len(keys), np.int64)
@@ -342,36 +575,56 @@ def token_scores(model: Model, tokens: np.ndarray, lengths: np.ndarray) -> tuple
     seen = np.flatnonzero(number >= 0)
     order = seen[np.argsort(number[seen], kind="stable")]
     figures = {name: np.zeros(len(h), np.int64) for name in ("count", "before", "after1", "after2", "after3")}
+    if model.order == 3:
+        figures |= {name: np.zeros(len(h), np.int64) for name in ("middle1", "middle2", "middle3", "middle-sum")}
     for name, values in figures.items():
         values[order] = _figures(model, name, number[order])
     for w, after in model.hot.items():
         for k, value in enumerate(after, 1):
             figures[f"after{k}"][number == w] = value
-    d, e = np.array([0.0, *model.discounts]), np.array([0.0, *model.low_discounts])
+    for w, after in model.middle_hot.items():
+        for name, value in zip(("middle1", "middle2", "middle3", "middle-sum"), after, strict=True):
+            figures[name][number == w] = value
+    d, e = np.array([0.0, *(model.middle_discounts if model.order == 3 else model.discounts)]), np.array([0.0, *model.low_discounts])
     k = figures["before"]
     low = model.low_rest / (model.words + 1) + (np.maximum(k - e[np.minimum(k, 3)], 0) / model.bigrams if model.bigrams else 0)
-    rest = sum(d[j] * figures[f"after{j}"] for j in (1, 2, 3))
+    after, uses_of = ("middle", "middle-sum") if model.order == 3 else ("after", "count")
+    rest = sum(d[j] * figures[f"{after}{j}"] for j in (1, 2, 3))
 
     second = number[where]
     starts = np.cumsum(lengths) - lengths
-    first, uses, weight = (np.concatenate(([0], x[where][:-1])) for x in (number, figures["count"], rest))
+    first, uses, weight = (np.concatenate(([0], x[where][:-1])) for x in (number, figures[uses_of], rest))
     first[starts], uses[starts] = model.words, model.docs
-    weight[starts] = float(np.dot(d[1:], model.hot[model.words]))
+    weight[starts] = float(np.dot(d[1:], (model.middle_hot if model.order == 3 else model.hot)[model.words][:3]))
     count = np.zeros(len(tokens), np.int64)
     both = np.flatnonzero((first >= 0) & (second >= 0) & (uses > 0))
     if len(both):
         keys, back = np.unique((first[both].astype(np.uint64) << _SHIFT) | second[both].astype(np.uint64), return_inverse=True)
-        count[both] = _pair_counts(model, keys)[back]
+        count[both] = (_pairs_before if model.order == 3 else _pair_counts)(model, keys)[back]
     lower = low[where]
     use = np.maximum(uses, 1)
     p = np.where((uses > 0) & (first >= 0), np.maximum(count - d[np.minimum(count, 3)], 0) / use + weight / use * lower, lower)
+    if model.order == 3:
+        inner = np.ones(len(tokens), bool)
+        inner[starts] = False
+        at = np.flatnonzero(inner)
+        at = at[(first[at - 1] >= 0) & (second[at - 1] >= 0)]  # the pair's words are known
+        if len(at):
+            pairs, back = np.unique((first[at - 1].astype(np.uint64) << _SHIFT) | second[at - 1].astype(np.uint64), return_inverse=True)
+            count, total, left = _triple_figures(model, pairs, back, second[at])
+            d = np.array([0.0, *model.discounts])
+            total, left = total[back], left[back]
+            use = np.maximum(total, 1)
+            p[at] = np.where(total > 0, np.maximum(count - d[np.minimum(count, 3)], 0) / use + left / use * p[at], p[at])
     return figures["count"][where], np.log10(p)
 
 
-def score_texts(docs: DataFrame, training: str = "crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 7 <> 2") -> DataFrame:
+def score_texts(
+    docs: DataFrame, training: str = "crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 7 <> 2", order: int = 2
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row.
 
-    The model learns from the rows where ``training`` is true. Null and empty
+    The model of ``order`` 2 or 3 learns from the rows where ``training`` is true. Null and empty
     texts are one end token. A null id counts as an empty one in the split and
     stays null. Without training rows every token is unknown and has
     probability 1. Repeated rows are counted and scored each; further columns
@@ -381,7 +634,8 @@ def score_texts(docs: DataFrame, training: str = "crc32(cast(coalesce(cast(doc_i
         F.struct(F.col("doc_id").cast("long").alias("doc_id"), (~F.expr(training)).alias("held_out")).alias("row"),
         F.col("text").cast("binary").alias("text"),
     )
-    model = train(rows.where("not row.held_out"))
+    with _shuffles_dropped(docs.sparkSession):
+        model = train(rows.where("not row.held_out"), order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kept, tokens, lengths, _ in _chunks(batches, _LOOKUP):

@@ -53,7 +53,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(table(spark, sf_dir, "documents"))
+    return score_texts(table(spark, sf_dir, "documents"), order=3)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -276,3 +277,49 @@ def test_scores_equal_a_model_of_dicts(docs, words, monkeypatch):
         assert r.score == pytest.approx(score(t), rel=1e-9)
     outside = [r for r in found if r.held_out and r.n_tokens > 20]
     assert sum(r.score for r in outside) > sum(r.base_score for r in outside)
+
+
+def plain_trigrams(texts: list[list[str]]):
+    """Interpolated modified Kneser-Ney over trigrams, with dicts; pairs at the start of a text keep their counts."""
+    tri, opening = Counter(), Counter(t[0] for t in texts)
+    for t in texts:
+        tri.update(zip(["<s>", *t[:-2]], t[:-1], t[1:], strict=False))  # a text of one token has none
+    bi = Counter((v, w) for _, v, w in tri)
+    bi.update({("<s>", w): c for w, c in opening.items()})
+    before, v = Counter(w for _, w in bi), len({w for t in texts for w in t})
+    level = lambda values: [sum(x == k for x in values) for k in (1, 2, 3, 4)]
+    d3, d2, d1 = (kneser_ney.discounts(level(x.values())) for x in (tri, bi, before))
+    uses, left = Counter(), Counter()
+    for counts, d in ((tri, d3), (bi, d2)):
+        for (*context, _), c in counts.items():
+            uses[tuple(context)] += c
+            left[tuple(context)] += d[min(c, 3) - 1]
+    less = lambda c, d: max(c - d[min(c, 3) - 1], 0) if c else 0
+    rest = sum(d1[min(k, 3) - 1] for k in before.values()) / len(bi)
+
+    def score(text: list[str]) -> float:
+        total = 0.0
+        for i, w in enumerate(text):
+            p = less(before[w], d1) / len(bi) + rest / (v + 1)
+            past = ["<s>", *text[:i]]
+            for context, counts, d in ((tuple(past[-1:]), bi, d2), (tuple(past[-2:]), tri, d3)):
+                if uses[context] and (counts is bi or i):
+                    p = less(counts[*context, w], d) / uses[context] + left[context] / uses[context] * p
+            total += math.log10(p)
+        return total
+
+    return score
+
+
+def test_order_3_equals_a_model_of_dicts(docs, words, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "_CHUNK", 700)
+    monkeypatch.setattr(kneser_ney, "_LOOKUP", 500)
+    rows = [(i, words(60 + i, i, 40) + " the the of the" * (i % 9) + " RARE" * (i % 2)) for i in range(120)]
+    rows += [(500, None), (501, ""), (502, "unheard of words the"), (503, "the " * 900), (503, "the " * 900), (None, "the of")]
+    found = score_texts(docs(*rows), order=3).collect()
+    cut = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(ASCII)), "\n"]
+    score = plain_trigrams([cut(t) for i, t in rows if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2])
+    text_of = dict(rows)
+    assert len(found) == len(rows)
+    for r in found:
+        assert r.score == pytest.approx(score(cut(text_of[r.doc_id])), rel=1e-9)
