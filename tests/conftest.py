@@ -50,7 +50,3 @@ def make_legs(spark):
         return normalize_legs(spark.createDataFrame(records, S.LEGS))
 
     return build
-
-
-def money(revenue, cost, flag="NO", **rest) -> dict:
-    return {"revenueAllocationNumber": revenue, "costAllocationNumber": cost, "mainShipment": flag, **rest}

@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import money
+from legs import money
 from lanewise import schema as S
 from lanewise.functions.money import COST, REVENUE
 from lanewise.functions.places import market_of

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import money
+from legs import money
 from lanewise import schema as S
 from lanewise.functions import money as M
 from lanewise.functions import predicates as P
