@@ -15,6 +15,7 @@ from lanewise.llm.decontamination import contained_items
 from lanewise.llm.graph_search import nearest
 from lanewise.llm.kneser_ney import score_texts
 from lanewise.llm.ngram_join import ngram_components
+from lanewise.llm.periodic_runs import periodic_runs
 from lanewise.llm.sentencepiece_bpe import encode_texts
 from lanewise.llm.sharding import sharded_documents
 from lanewise.llm.toxicity import toxicity_scores
@@ -72,6 +73,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), plant=True, with_texts=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1,
     "op2_sentencepiece": op2,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8,
     "op9_warc": op9,
     "op10_toxicity": op10,
+    "op11_periodic_runs": op11,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -30,3 +30,8 @@ def words():
         return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
 
     return build
+
+
+@pytest.fixture
+def sf_small():
+    return "/root/testdata/sf0.001"
