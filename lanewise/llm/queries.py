@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lanewise.llm import url_filter
+from lanewise.llm.best_fit import pack_documents
 from lanewise.llm.chat import chat_digests
 from lanewise.llm.common import table
 from lanewise.llm.decontamination import contained_items
@@ -24,6 +26,15 @@ from lanewise.llm.warc import archive_pages
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
 
+def tokenizer_file(name: str) -> str:
+    """A tokenizer file below ``LANEWISE_TOKENIZERS``, or that of the installed ones."""
+    if folder := os.environ.get("LANEWISE_TOKENIZERS"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), size=4, share=85)
 
@@ -77,6 +88,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), plant=True, with_texts=False)
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1,
     "op2_sentencepiece": op2,
@@ -89,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9,
     "op10_toxicity": op10,
     "op11_periodic_runs": op11,
+    "op13_best_fit_packing": op13,
     "pipeline": corpus_pipeline.run,
 }
 
