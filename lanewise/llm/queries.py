@@ -12,6 +12,7 @@ import corpus_pipeline
 from lanewise.llm import url_filter
 from lanewise.llm.best_fit import pack_documents
 from lanewise.llm.chat import chat_digests
+from lanewise.llm.collocations import collocations
 from lanewise.llm.common import table
 from lanewise.llm.decontamination import contained_items
 from lanewise.llm.graph_search import nearest
@@ -88,6 +89,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), plant=True, with_texts=False)
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), with_ids=False)
 
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9,
     "op10_toxicity": op10,
     "op11_periodic_runs": op11,
+    "op12_phrase_collocations": op12,
     "op13_best_fit_packing": op13,
     "pipeline": corpus_pipeline.run,
 }
@@ -215,10 +221,47 @@ SELECT page_id::BIGINT AS page_id, octet_length(encode(html))::BIGINT AS payload
 FROM p JOIN best USING (hex)
 """
 
+OP12_SQL = f"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS id, piece FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_AZ.replace("text", "coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents)
+),
+words AS (
+  SELECT lang, id, unnest(list) AS w, generate_subscripts(list, 1) AS place FROM (
+    SELECT lang, id, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS list FROM pieces)
+),
+ahead AS (SELECT lang, w AS x, lead(w, 1) OVER pos AS y, lead(w, 2) OVER pos AS z FROM words WINDOW pos AS (PARTITION BY id ORDER BY place)),
+one AS MATERIALIZED (SELECT lang, x, count(*) AS f FROM ahead GROUP BY ALL),
+two AS MATERIALIZED (SELECT lang, x, y, count(*) AS f FROM ahead WHERE y IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+three AS MATERIALIZED (SELECT lang, x, y, z, count(*) AS f FROM ahead WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+total AS (SELECT lang, sum(f) AS n FROM one GROUP BY lang),
+longer AS (
+  SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM three UNION ALL SELECT lang, y, z, f FROM three) GROUP BY ALL
+),
+scored AS (
+  SELECT two.lang, two.x || ' ' || two.y AS phrase, two.f AS a, p.f AS l, q.f AS r,
+    (1000000::HUGEINT * two.f * two.f) // (p.f::HUGEINT * q.f) AS score
+  FROM two JOIN one p ON p.lang = two.lang AND p.x = two.x JOIN one q ON q.lang = two.lang AND q.x = two.y
+  LEFT JOIN longer ON longer.lang = two.lang AND longer.x = two.x AND longer.y = two.y
+  WHERE longer.f IS NULL OR 100 * longer.f < 50 * two.f
+  UNION ALL
+  SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM (
+    SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z AS phrase, t.f AS a, o1.f AS l1, b2.f AS r1, b1.f AS l2, o2.f AS r2,
+      (1000000::HUGEINT * t.f * t.f) // (o1.f::HUGEINT * b2.f) AS s1, (1000000::HUGEINT * t.f * t.f) // (b1.f::HUGEINT * o2.f) AS s2
+    FROM three t JOIN one o1 ON o1.lang = t.lang AND o1.x = t.x JOIN two b2 ON b2.lang = t.lang AND b2.x = t.y AND b2.y = t.z
+    JOIN two b1 ON b1.lang = t.lang AND b1.x = t.x AND b1.y = t.y JOIN one o2 ON o2.lang = t.lang AND o2.x = t.z)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a::BIGINT AS a,
+  l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM scored JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op3_chat_formatting": OP3_SQL,
     "op4_url_filters": OP4_SQL,
     "op8_decontamination": OP8_SQL,
     "op9_warc": OP9_SQL,
+    "op12_phrase_collocations": OP12_SQL,
 }
