@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ from lanewise.llm.common import staged, worker_cache
 #: (how many sequences, [(length, how often in each), ...]) of sequences that look alike.
 Pattern = tuple[int, list[tuple[int, int]]]
 
-_REMEMBERED = 400_000
+_REMEMBERED = 600_000
 _REMEMBERED_LENGTH = 64
 
 
@@ -160,13 +161,46 @@ class Places:
 
 
 # ---- tokens -------------------------------------------------------------------
+#: Letters in any reading, and what may follow them without being one.
+_LETTERS, _OTHERS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-@\[-`{-~"
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level tokenizers write bytes: printable ones as themselves, the others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Known(dict):
+    """Ids of a part of a text; parts met before are remembered."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.is_word = re.compile(f" ?[{_LETTERS}]+").fullmatch
+        self.table = _byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        if self.is_word(part):  # nothing to cut in it: straight to the merges
+            ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.table))]
+        else:
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(part) <= _REMEMBERED_LENGTH:
+            if len(self) > _REMEMBERED:
+                self.clear()
+            self[part] = found
+        return found
+
+
 class Tokens:
-    """Ids of the tokenizers library; words met before are remembered.
+    """Ids of the tokenizers library, which encodes each different part of the texts once.
 
     A byte-level tokenizer cuts a text before every blank that another character
-    follows, whatever stands around it, so texts are cut there and each part is
-    encoded alone. Other tokenizers, and texts with a special token's string, are
-    encoded whole.
+    follows, and between a letter and a sign or digit of ASCII, whatever stands
+    around. Texts are cut there and the parts are encoded alone. Other tokenizers,
+    and texts with a special token's string, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -182,24 +216,13 @@ class Tokens:
             and settings["model"].get("type", "BPE") == "BPE"
         )
         self.special = [token["content"] for token in settings.get("added_tokens") or []]
-        self.parts = re.compile(r"(?= \S)").split
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.parts = re.compile(rf"(?= \S)|(?<=[{_LETTERS}])(?=[{_OTHERS}])").split
+        self.known = _Known(self.tokenizer)
 
     def encode(self, text: str) -> np.ndarray:
         if not self.by_parts or any(s in text for s in self.special):
-            return np.frombuffer(self._encode([text])[0], "<u4")
-        parts, known = self.parts(text), self.known
-        if new := [p for p in set(parts) if p not in known]:
-            if len(known) > _REMEMBERED:
-                known = self.known = {}
-                new = list(set(parts))
-            found = dict(zip(new, self._encode(new)))
-            known.update((p, ids) for p, ids in found.items() if len(p) <= _REMEMBERED_LENGTH)
-            return np.frombuffer(b"".join([known[p] if p in known else found[p] for p in parts]), "<u4")
-        return np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4")
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.parts(text))), "<u4")
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:

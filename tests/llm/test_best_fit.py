@@ -100,6 +100,9 @@ def test_tokens_are_those_of_the_library():
         "<|endoftext|> a b", "a <|endoftext|>b", "don 't", "a" * 3000 + " b", "1 2  3   4", "\x00 \x00", " '  ' s", "".join(chr(i) + " " for i in range(1, 3000)),
     ]
     rng = random.Random(1)
+    for letters in ("aZé", "ÿ×÷Àa", "ª²aµ½ºß"):
+        alphabet = letters + " ',.1²·́ʼ\n\u00ad"
+        texts += ["".join(rng.choice(alphabet) for _ in range(30)) for _ in range(2000)]
     alphabet = " \n\t  ab1.'é  \x1c\x85s"
     texts += ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(3000)]
     library, tokens = Tokenizer.from_file(PATH), Tokens(PATH)
