@@ -21,7 +21,7 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from lanewise.llm.common import staged, worker_cache
 #: (how many sequences, [(length, how often in each), ...]) of sequences that look alike.
 Pattern = tuple[int, list[tuple[int, int]]]
 
-_REMEMBERED = 600_000
+_REMEMBERED = 500_000
 _REMEMBERED_LENGTH = 64
 
 
@@ -172,23 +172,20 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class _Known(dict):
-    """Ids of a part of a text; parts met before are remembered."""
+class _Remembered(dict):
+    """Ids of parts of texts as bytes; the parts asked for last are remembered."""
 
-    def __init__(self, tokenizer: Tokenizer):
+    def __init__(self, make: Callable[[str], bytes], most: int):
         super().__init__()
-        self.tokenizer, self.model = tokenizer, tokenizer.model
-        self.is_word = re.compile(f" ?[{_LETTERS}]+").fullmatch
-        self.table = _byte_letters()
+        self.make, self.most = make, most
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        if self.is_word(part):  # nothing to cut in it: straight to the merges
-            ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.table))]
-        else:
-            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        found = struct.pack(f"<{len(ids)}I", *ids)
+        if (found := self.before.get(part)) is None:
+            found = self.make(part)
         if len(part) <= _REMEMBERED_LENGTH:
-            if len(self) > _REMEMBERED:
+            if len(self) >= self.most:
+                self.before = dict(self)
                 self.clear()
             self[part] = found
         return found
@@ -198,13 +195,15 @@ class Tokens:
     """Ids of the tokenizers library, which encodes each different part of the texts once.
 
     A byte-level tokenizer cuts a text before every blank that another character
-    follows, and between a letter and a sign or digit of ASCII, whatever stands
-    around. Texts are cut there and the parts are encoded alone. Other tokenizers,
-    and texts with a special token's string, are encoded whole.
+    follows, between a letter and a sign or digit of ASCII, before a line break
+    and after one that stands alone, whatever is around.
+    Texts are cut there and the parts are encoded alone. Other tokenizers, and
+    texts with a special token's string, are encoded whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.table = self.tokenizer.model, _byte_letters()
         with open(path, encoding="utf-8") as file:
             settings = json.load(file)
         before = settings.get("pre_tokenizer") or {}
@@ -216,13 +215,39 @@ class Tokens:
             and settings["model"].get("type", "BPE") == "BPE"
         )
         self.special = [token["content"] for token in settings.get("added_tokens") or []]
-        self.parts = re.compile(rf"(?= \S)|(?<=[{_LETTERS}])(?=[{_OTHERS}])").split
-        self.known = _Known(self.tokenizer)
+        self.blanks_together = re.compile(r" (?!\S)").search
+        self.words = re.compile(r"(?= \S)").split
+        self.parts = re.compile(rf"(?<=[{_LETTERS}])(?=[{_OTHERS}])|(?<=\S)(?=\n)|(?<=\S\n)(?=\S)").split
+        self.is_word = re.compile(f" ?[{_LETTERS}]+").fullmatch
+        self.of_part = _Remembered(self._part, _REMEMBERED // 2)
+        self.of_word = _Remembered(self._word, _REMEMBERED // 2)
+        self.after_blank = _Remembered(lambda word: self._word(f" {word}"), _REMEMBERED)
+
+    def _letters(self, word: str) -> bytes:
+        """Nothing to cut in it: straight to the merges."""
+        ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.table))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _part(self, part: str) -> bytes:
+        if self.is_word(part):
+            return self._letters(part)
+        ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        if self.is_word(word):
+            return self._letters(word)
+        return b"".join(map(self.of_part.__getitem__, self.parts(word)))
 
     def encode(self, text: str) -> np.ndarray:
         if not self.by_parts or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.frombuffer(b"".join(map(self.known.__getitem__, self.parts(text))), "<u4")
+        if self.blanks_together(text):
+            found = map(self.of_word.__getitem__, self.words(text))
+        else:  # every blank starts a word
+            first, *words = text.split(" ")
+            found = [self.of_word[first], *map(self.after_blank.__getitem__, words)]
+        return np.frombuffer(b"".join(found), "<u4")
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:

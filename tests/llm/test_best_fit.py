@@ -105,6 +105,9 @@ def test_tokens_are_those_of_the_library():
         texts += ["".join(rng.choice(alphabet) for _ in range(30)) for _ in range(2000)]
     alphabet = " \n\t  ab1.'é  \x1c\x85s"
     texts += ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(3000)]
+    alphabet = "ab1.'é\x1c \n\u2028"
+    texts += [" ".join("".join(rng.choice(alphabet) for _ in range(3)) + "x" for _ in range(20)) for _ in range(2000)]
+    texts += ["\n".join("".join(rng.choice("a!1\x1c\x85 ") for _ in range(3)) for _ in range(20)) for _ in range(2000)]
     library, tokens = Tokenizer.from_file(PATH), Tokens(PATH)
     assert tokens.by_parts
     for text in texts:
