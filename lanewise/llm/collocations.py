@@ -2,8 +2,9 @@
 
 Level by level, as in Apriori: a phrase of k words can only be frequent if both
 its parts of k - 1 words are. Candidates of two words are neighbours that pass
-the bits of the frequent words; candidates of more words are places where two
-frequent phrases overlap in all but one word. Each stretch of text says what it
+the bits of the frequent words; candidates of more words are places where a
+frequent phrase is followed, one word on, by one that passes the bits of the
+frequent phrases. Each stretch of text says what it
 saw, at most ``min_count`` of each, and what adds up to ``min_count`` stays: no
 frequent phrase is missed.
 
@@ -28,6 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,14 +37,14 @@ from pyspark.sql.window import Window
 from lanewise.llm.common import BROADCAST_ROWS, mix, staged
 
 #: Candidates in one broadcast trie; more make several tries, and the texts are read once for each.
-TRIE_ROWS = 2_000_000
-#: Bits that say which words may be frequent: a power of two, whatever the vocabulary.
+TRIE_ROWS = 600_000
+#: Bits that say which words, or phrases, may be frequent: a power of two, however many there are.
 WORD_BITS = 1 << 27
 
 _BREAK = b"\xff"  # stands in no UTF-8 text
-_GROUP_BYTES = 4_000_000
-_HELD = 2_000_000  # phrases a task holds before it sums them up
-_KNOWN = 1_000_000
+_GROUP_BYTES = 2_000_000
+_HELD = 1_000_000  # phrases a task holds before it sums them up
+_KNOWN = 300_000
 _BLOCK = 4096
 
 _TABLE = bytearray(range(256))
@@ -82,9 +84,9 @@ class Symbols:
         self.known: dict[str, dict[bytes, int]] = {}
 
     def of(self, lang: str, words: list[bytes]) -> np.ndarray:
+        if sum(map(len, self.known.values())) > _KNOWN:
+            self.known.clear()
         known = self.known.setdefault(lang, {})
-        if len(known) > _KNOWN:
-            known.clear()
         if new := [w for w in set(words) if w not in known]:
             known.update(zip(new, self.make(hash_words(lang, new, self.seed)).tolist()))
         known[_BREAK] = self.nothing
@@ -269,17 +271,40 @@ def count_words(rows: DataFrame, seed: int) -> DataFrame:
 
         for lang, words in _groups(batches):
             counts.setdefault(lang, Counter()).update(words)
-            if sum(map(len, counts.values())) > _KNOWN // 2:
+            if sum(map(len, counts.values())) > _KNOWN:
                 yield from out()
         yield from out()
 
     return rows.mapInArrow(run, "lang string, word string, w long, n long").groupBy("lang", "word", "w").agg(F.sum("n").alias("n"))
 
 
-def word_bits(words: DataFrame) -> np.ndarray:
-    """A bit for every hash of ``words.w``: ``WORD_BITS`` bits, collected as at most 4,096 rows."""
-    at = F.col("w").bitwiseAND(F.lit(WORD_BITS - 1)) + 1
-    parts = words.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+_TURN, _REST = 17, 47  # a turn of 64 bits
+
+
+def _phrase_key(columns: list[Column]) -> Column:
+    """One number for the hashes of a phrase's words, the same as ``_phrase_keys``."""
+    key = columns[0]
+    for c in columns[1:]:
+        key = F.shiftleft(key, _TURN).bitwiseOR(F.shiftrightunsigned(key, _REST)).bitwiseXOR(c)
+    return key
+
+
+def _phrase_keys(columns: list[np.ndarray]) -> np.ndarray:
+    key = columns[0].view(np.uint64)
+    for c in columns[1:]:
+        key = (key << np.uint64(_TURN) | key >> np.uint64(_REST)) ^ c.view(np.uint64)
+    return key.view(np.int64)
+
+
+def _in_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & (WORD_BITS - 1)
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def key_bits(rows: DataFrame, columns: list[str]) -> np.ndarray:
+    """A bit for every row: ``WORD_BITS`` bits, collected as at most 4,096 rows of 4 KB."""
+    at = _phrase_key([F.col(c) for c in columns]).bitwiseAND(F.lit(WORD_BITS - 1)) + 1
+    parts = rows.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     table = np.zeros(WORD_BITS // 8, np.uint8)
     for row in parts.collect():
         table[(row.bucket - 1) * 4096 : row.bucket * 4096] = np.frombuffer(row.bits, np.uint8)
@@ -291,12 +316,11 @@ def pair_candidates(rows: DataFrame, bits: np.ndarray, min_count: int, seed: int
     sent = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held = sent.value, _Held(2, min_count)
+        bits, held = sent.value, _Held(2, min_count)
         symbols = Symbols(lambda h: h, seed, 0)
         for lang, words in _groups(batches):
             h = symbols.of(lang, words)
-            at = h & (WORD_BITS - 1)
-            good = (h != 0) & ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+            good = (h != 0) & _in_bits(bits, h)
             both = np.flatnonzero(good[:-1] & good[1:])
             for columns in held.add([h[both], h[both + 1]]):
                 yield from _batches(columns, ["w1", "w2", "n"])
@@ -313,19 +337,22 @@ def count_phrases(rows: DataFrame, candidates: DataFrame, k: int, min_count: int
     shard = F.pmod(F.xxhash64(*names), F.lit(max(tries, 1)))
     schema = ", ".join(f"{w} long" for w in _names(k + 1)) + ", n long"
     found = rows.sparkSession.createDataFrame([], schema)
+    bits = rows.sparkSession.sparkContext.broadcast(key_bits(candidates, names)) if further and n else None
     for s in range(tries):
         part = candidates.where(shard == s).select(*names).toArrow()  # at most about TRIE_ROWS rows
         table = np.stack([part.column(w).to_numpy() for w in names], axis=1)
-        one = rows.mapInArrow(_counter(rows, table, k, min_count, seed, further, tries == 1), schema)
+        one = rows.mapInArrow(_counter(rows, table, k, min_count, seed, bits), schema)
         one = one.groupBy(*_names(k + 1)).agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
         one = staged(one, f"phrases-{k}")
         found = one if s == 0 else found.union(one)
     return found
 
 
-def _counter(rows: DataFrame, table: np.ndarray, k: int, min_count: int, seed: int, further: bool, alone: bool) -> Callable:
+def _counter(rows: DataFrame, table: np.ndarray, k: int, min_count: int, seed: int, bits: Broadcast | None) -> Callable:
+    """What a task does with one trie; ``bits`` of all candidates, where the next level is asked for."""
     trie = DoubleArray.build(table)
     sent = rows.sparkSession.sparkContext.broadcast((trie.alphabet, trie.base, trie.check))
+    del trie, table
     names = [*_names(k + 1), "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,17 +368,16 @@ def _counter(rows: DataFrame, table: np.ndarray, k: int, min_count: int, seed: i
             if size > _HELD:
                 hits += np.bincount(np.concatenate(waiting), minlength=len(hits))
                 waiting, size = [], 0
-            if further:
+            if bits is not None:
                 h = np.concatenate((hashes_of.of(lang, words), np.zeros(k, np.int64)))
-                starts = np.zeros(len(h), bool)
-                starts[places] = True
-                # With several tries the second phrase may be in another one; its last word then has to be a word.
-                both = places[starts[places + 1]] if alone else places[h[places + k] != 0]
-                for columns in held.add([h[both + i] for i in range(k + 1)]):
+                places = places[h[places + k] != 0]
+                columns = [h[places + i] for i in range(k + 1)]
+                next_too = _in_bits(bits.value, _phrase_keys(columns[1:]))
+                for columns in held.add([c[next_too] for c in columns]):
                     yield from _batches(columns, names)
         if waiting:
             hits += np.bincount(np.concatenate(waiting), minlength=len(hits))
-        if further:
+        if bits is not None:
             yield from _batches(held.rest(), names)
         states = np.flatnonzero(hits)
         for at in range(0, len(states), 200_000):
@@ -443,7 +469,7 @@ def collocations(
             break
     words = every.where(F.col("n") >= min_count)
     totals = every.groupBy("lang").agg(F.sum("n").alias("total"))
-    candidates = staged(pair_candidates(rows, word_bits(words), min_count, seed), "pairs")
+    candidates = staged(pair_candidates(rows, key_bits(words, ["w"]), min_count, seed), "pairs")
     levels: dict[int, DataFrame] = {}
     for k in range(2, longest + 1):
         found = count_phrases(rows, candidates, k, min_count, seed, k < longest)

@@ -110,12 +110,13 @@ def test_double_arrays(seed):
     assert len(np.unique(np.stack([parents, slots - trie.base[parents]]), axis=1).T) == len(slots)
 
 
-def test_word_bits(spark):
+def test_bits(spark):
     hashes = C.hash_words("en", [f"w{i}".encode() for i in range(5000)], 0)
-    table = C.word_bits(spark.createDataFrame([(int(h),) for h in hashes], "w long"))
-    at = hashes & (C.WORD_BITS - 1)
-    assert ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all()
-    assert int(np.unpackbits(table).sum()) == len(np.unique(at))
+    rows = spark.createDataFrame([(int(a), int(b)) for a, b in zip(hashes, hashes[::-1])], "w long, v long")
+    for names, keys in ((["w"], hashes), (["w", "v"], C._phrase_keys([hashes, hashes[::-1].copy()]))):
+        bits = C.key_bits(rows, names)
+        assert C._in_bits(bits, keys).all()
+        assert int(np.unpackbits(bits).sum()) == len(np.unique(keys & (C.WORD_BITS - 1)))
 
 
 def test_equal_hashes_take_another_seed(frame, monkeypatch):
