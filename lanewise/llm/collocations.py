@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 from lanewise.llm.common import BROADCAST_ROWS, mix, staged
 
 #: Candidates in one broadcast trie; more make several tries, and the texts are read once for each.
-TRIE_ROWS = 600_000
+TRIE_ROWS = 1_200_000
 #: Bits that say which words, or phrases, may be frequent: a power of two, however many there are.
 WORD_BITS = 1 << 27
 
@@ -46,6 +46,7 @@ _GROUP_BYTES = 2_000_000
 _HELD = 1_000_000  # phrases a task holds before it sums them up
 _KNOWN = 300_000
 _BLOCK = 4096
+_SUMS = 1 << 16  # states whose counts travel together
 
 _TABLE = bytearray(range(256))
 _TABLE[ord("A") : ord("Z") + 1] = range(ord("a"), ord("z") + 1)
@@ -113,7 +114,7 @@ class DoubleArray:
         codes = codes.reshape(rows.shape)
         codes = codes[np.lexsort(codes.T[::-1])]
         trie = cls(alphabet, np.zeros(0, np.int32), np.zeros(0, np.int32), rows.shape[1])
-        trie._grow(2 * len(alphabet) + 2 * rows.size + _BLOCK)
+        trie._grow(2 * len(alphabet) + rows.size // 2 + _BLOCK)
         trie.check[0], trie.base[0] = -2, 1  # the root
         state = np.zeros(len(codes), np.int64)
         for level in range(trie.depth):
@@ -336,29 +337,37 @@ def count_phrases(rows: DataFrame, candidates: DataFrame, k: int, min_count: int
     tries = -(-n // TRIE_ROWS)
     shard = F.pmod(F.xxhash64(*names), F.lit(max(tries, 1)))
     schema = ", ".join(f"{w} long" for w in _names(k + 1)) + ", n long"
+    context = rows.sparkSession.sparkContext
     found = rows.sparkSession.createDataFrame([], schema)
-    bits = rows.sparkSession.sparkContext.broadcast(key_bits(candidates, names)) if further and n else None
+    bits = context.broadcast(key_bits(candidates, names)) if further and n else None
     for s in range(tries):
         part = candidates.where(shard == s).select(*names).toArrow()  # at most about TRIE_ROWS rows
-        table = np.stack([part.column(w).to_numpy() for w in names], axis=1)
-        one = rows.mapInArrow(_counter(rows, table, k, min_count, seed, bits), schema)
-        one = one.groupBy(*_names(k + 1)).agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-        one = staged(one, f"phrases-{k}")
+        trie = DoubleArray.build(np.stack([part.column(w).to_numpy() for w in names], axis=1))
+        sent = context.broadcast((trie.alphabet, trie.base, trie.check))
+        del part, trie
+        if further:
+            one = rows.mapInArrow(_counter(sent, k, min_count, seed, bits), schema)
+            one = one.groupBy(*_names(k + 1)).agg(F.sum("n").alias("n"))
+        else:
+            sums = rows.mapInArrow(_counter(sent, k, min_count, seed, None), "block long, sums binary")
+            one = sums.repartition("block").mapInArrow(_adder(sent, k), schema)
+        one = staged(one.where(F.col("n") >= min_count), f"phrases-{k}")
         found = one if s == 0 else found.union(one)
     return found
 
 
-def _counter(rows: DataFrame, table: np.ndarray, k: int, min_count: int, seed: int, bits: Broadcast | None) -> Callable:
-    """What a task does with one trie; ``bits`` of all candidates, where the next level is asked for."""
-    trie = DoubleArray.build(table)
-    sent = rows.sparkSession.sparkContext.broadcast((trie.alphabet, trie.base, trie.check))
-    del trie, table
+def _counter(sent: Broadcast, k: int, min_count: int, seed: int, bits: Broadcast | None) -> Callable:
+    """What a task does with one trie.
+
+    With ``bits`` of all candidates, rows of counts and of the next level's
+    candidates come out; without, the counts by blocks of states.
+    """
     names = [*_names(k + 1), "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = DoubleArray(*sent.value, k)
         codes_of, hashes_of = Symbols(trie.codes, seed, -1), Symbols(lambda h: h, seed, 0)
-        hits = np.zeros(len(trie.check), np.int64)
+        hits = np.zeros(-(-len(trie.check) // _SUMS) * _SUMS, np.int64)
         waiting, size = [], 0
         held = _Held(k + 1, min_count)
         for lang, words in _groups(batches):
@@ -377,16 +386,41 @@ def _counter(rows: DataFrame, table: np.ndarray, k: int, min_count: int, seed: i
                     yield from _batches(columns, names)
         if waiting:
             hits += np.bincount(np.concatenate(waiting), minlength=len(hits))
-        if bits is not None:
+        if bits is None:
+            for block, sums in enumerate(hits.reshape(-1, _SUMS)):
+                if sums.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sums.tobytes()])], ["block", "sums"])
+        else:
             yield from _batches(held.rest(), names)
-        states = np.flatnonzero(hits)
-        for at in range(0, len(states), 200_000):
-            part = states[at : at + 200_000]
-            yield from _batches([*trie.rows(part).T, None, hits[part]], names)
+            yield from _counts(trie, hits, 0, names)
 
     return run
 
 
+def _adder(sent: Broadcast, k: int) -> Callable:
+    """Adds the counts of all tasks, block by block, and reads the phrases off the trie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total = totals.setdefault(block, np.zeros(_SUMS, np.int64))
+                total += np.frombuffer(sums.as_buffer(), np.int64)
+        trie = DoubleArray(*sent.value, k)
+        for block, total in totals.items():
+            yield from _counts(trie, total, block * _SUMS, [*_names(k + 1), "n"])
+
+    return run
+
+
+def _counts(trie: DoubleArray, hits: np.ndarray, first: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Words and counts of the states from ``first`` on that were hit."""
+    states = np.flatnonzero(hits)
+    for at in range(0, len(states), 200_000):
+        part = states[at : at + 200_000]
+        yield from _batches([*trie.rows(part + first).T, None, hits[part]], names)
+
+
 # ---- scores -------------------------------------------------------------------
 def _score(a: Column, left: Column, right: Column) -> Column:
     """floor(1000000 * a * a / (left * right)), in decimals of 38 digits."""
