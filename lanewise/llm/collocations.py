@@ -45,7 +45,7 @@ _BREAK = b"\xff"  # stands in no UTF-8 text
 _GROUP_BYTES = 2_000_000
 _HELD = 1_000_000  # phrases a task holds before it sums them up
 _KNOWN = 300_000
-_BLOCK = 4096
+_BLOCK, _TRIES = 4096, 12
 _SUMS = 1 << 16  # states whose counts travel together
 
 _TABLE = bytearray(range(256))
@@ -102,18 +102,23 @@ def hash_words(lang: str, words: list[bytes], seed: int) -> np.ndarray:
 
 # ---- the trie -----------------------------------------------------------------
 class DoubleArray:
-    """Trie of rows of k words: a state's next by a code is ``base[state] + code`` if ``check`` there is the state."""
+    """Trie of rows of k words: a state's next by a code is ``base[state] + code`` if ``check`` there is the state.
 
-    def __init__(self, alphabet: np.ndarray, base: np.ndarray, check: np.ndarray, depth: int):
-        self.alphabet, self.base, self.check, self.depth = alphabet, base, check, depth
+    ``alphabet`` has the words' hashes in order, ``place`` the code of each.
+    """
+
+    def __init__(self, alphabet: np.ndarray, place: np.ndarray, base: np.ndarray, check: np.ndarray, depth: int):
+        self.alphabet, self.place, self.base, self.check, self.depth = alphabet, place, base, check, depth
 
     @classmethod
     def build(cls, rows: np.ndarray) -> DoubleArray:
         """From distinct rows of hashes, at least one."""
-        alphabet, codes = np.unique(rows, return_inverse=True)
-        codes = codes.reshape(rows.shape)
+        alphabet, codes, often = np.unique(rows, return_inverse=True, return_counts=True)
+        place = np.empty(len(alphabet), np.int64)  # frequent words get small codes, so that children lie close together
+        place[np.argsort(-often, kind="stable")] = np.arange(len(alphabet))
+        codes = place[codes.reshape(rows.shape)]
         codes = codes[np.lexsort(codes.T[::-1])]
-        trie = cls(alphabet, np.zeros(0, np.int32), np.zeros(0, np.int32), rows.shape[1])
+        trie = cls(alphabet, place.astype(np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32), rows.shape[1])
         trie._grow(2 * len(alphabet) + rows.size // 2 + _BLOCK)
         trie.check[0], trie.base[0] = -2, 1  # the root
         state = np.zeros(len(codes), np.int64)
@@ -142,10 +147,10 @@ class DoubleArray:
         first = np.flatnonzero(np.concatenate(([True], parents[1:] != parents[:-1])))
         count = np.diff(np.append(first, len(parents)))
         end = int(np.flatnonzero(self.check != -1)[-1]) + 1
-        start = 1
+        rng = np.random.default_rng(0)
         for i in np.argsort(-count, kind="stable")[: int((count > 1).sum())].tolist():
             codes = children[first[i] : first[i] + count[i]]
-            base, start = self._free_base(codes, start, end)
+            base = self._free_base(codes, end, rng)
             slots = base + codes
             self.base[parents[first[i]]] = base
             self.check[slots] = parents[first[i]]
@@ -160,10 +165,11 @@ class DoubleArray:
         self.base[parents[single]] = free - children[single]
         self.check[free] = parents[single]
 
-    def _free_base(self, codes: np.ndarray, start: int, end: int) -> tuple[int, int]:
-        """A base whose slots are free, tried for a block of bases at once, and where to look next time."""
+    def _free_base(self, codes: np.ndarray, end: int, rng: np.random.Generator) -> int:
+        """A base whose slots are free: blocks of bases are tried, from the last ones in use and anywhere before."""
         offsets = codes.tolist()
-        for _ in range(4):
+        last = max(1, end - offsets[-1])
+        for start in [*rng.integers(1, last + 1, _TRIES).tolist(), last]:
             self._grow(start + _BLOCK + offsets[-1] + 1)
             taken = np.zeros(_BLOCK, bool)
             for c in offsets:
@@ -171,13 +177,10 @@ class DoubleArray:
                 if taken.all():
                     break
             else:
-                return start + int(np.argmin(taken)), start
-            start += _BLOCK
-            if start > end:
-                break
+                return start + int(np.argmin(taken))
         base = max(end - offsets[0], 1)  # beyond all slots in use
         self._grow(base + offsets[-1] + 1)
-        return base, (start if start < end else 1)
+        return base
 
     def advance(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, states) of the places of ``codes`` (-1: no word of the trie) where a row starts."""
@@ -194,15 +197,17 @@ class DoubleArray:
     def rows(self, states: np.ndarray) -> np.ndarray:
         """The words' hashes on the way to the states."""
         out = np.zeros((len(states), self.depth), np.int64)
+        word = np.empty_like(self.place)
+        word[self.place] = np.arange(len(word))
         for level in range(self.depth - 1, -1, -1):
             parents = self.check[states]
-            out[:, level] = self.alphabet[states - self.base[parents]]
+            out[:, level] = self.alphabet[word[states - self.base[parents]]]
             states = parents
         return out
 
     def codes(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.alphabet, hashes), len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == hashes, at, -1)
+        return np.where(self.alphabet[at] == hashes, self.place[at], -1)
 
 
 # ---- the jobs -----------------------------------------------------------------
@@ -343,7 +348,7 @@ def count_phrases(rows: DataFrame, candidates: DataFrame, k: int, min_count: int
     for s in range(tries):
         part = candidates.where(shard == s).select(*names).toArrow()  # at most about TRIE_ROWS rows
         trie = DoubleArray.build(np.stack([part.column(w).to_numpy() for w in names], axis=1))
-        sent = context.broadcast((trie.alphabet, trie.base, trie.check))
+        sent = context.broadcast((trie.alphabet, trie.place, trie.base, trie.check))
         del part, trie
         if further:
             one = rows.mapInArrow(_counter(sent, k, min_count, seed, bits), schema)
