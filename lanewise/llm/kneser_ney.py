@@ -28,7 +28,6 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,7 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import WordHashes, mix, mounted, shared_folder, split_words, staged, worker_cache
+from lanewise.llm.common import (
+    WordHashes,
+    mix,
+    mounted,
+    shared_folder,
+    shuffles_dropped,
+    split_words,
+    staged,
+    worker_cache,
+)
 
 END = b"\n"  # no word has white space in it
 _CHUNK = 1_500_000  # tokens counted at a time
@@ -69,18 +77,6 @@ class Model:
         return int(self.starts[-1])
 
 
-@contextmanager
-def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Each job's shuffle files go as it ends, not when the driver collects its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _save(folder: str, name: str, array: np.ndarray) -> None:
     os.makedirs(folder, exist_ok=True)
     own = f"{folder}/{name}.{uuid.uuid4().hex}"
@@ -634,7 +630,7 @@ def score_texts(
         F.struct(F.col("doc_id").cast("long").alias("doc_id"), (~F.expr(training)).alias("held_out")).alias("row"),
         F.col("text").cast("binary").alias("text"),
     )
-    with _shuffles_dropped(docs.sparkSession):
+    with shuffles_dropped(docs.sparkSession):
         model = train(rows.where("not row.held_out"), order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

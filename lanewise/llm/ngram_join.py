@@ -35,13 +35,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lanewise.llm.common import WordHashes, connected, keep_ids, mix, shingles, split_words, staged, worker_cache
+from lanewise.llm.common import WordHashes, connected, keep_ids, mix, shingles, shuffles_dropped, split_words, staged, worker_cache
 
-_FLUSH = 1_500_000
+_FLUSH = 1_000_000
 _MASK = (1 << 64) - 1
 _PART, _CLASS, _PREFIX = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 _EMITTED = "bucket int, sigs binary, nodes binary, many binary, ids binary, known binary, sizes binary, slacks binary, prints binary"
@@ -227,6 +228,14 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from active(s[keep], d[keep])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, as they travel once for each pair or tile."""
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = pa.array([None if t is None else packer.compress(t) for t in batch.column(1).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["node", "text"])
+
+
 def _overlap(size: int, share: int):
     """Keep pairs of texts whose overlap, summed over column blocks, reaches the bound of their sizes."""
 
@@ -250,14 +259,14 @@ def _overlap(size: int, share: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds, last, kept = Bounds(share), None, None
-        hashes = worker_cache().setdefault("words", WordHashes())
+        hashes, unpack = worker_cache().setdefault("words", WordHashes()), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
             good = []
             for x, y, tx, ty in zip(a, b, ta, tb, strict=True):
                 if (x, tx) != last:
-                    last, kept = (x, tx), shingles(split_words(tx), size, hashes)
-                if linked(kept, shingles(split_words(ty), size, hashes), bounds):
+                    last, kept = (x, tx), shingles(split_words(unpack(tx)), size, hashes)
+                if linked(kept, shingles(split_words(unpack(ty)), size, hashes), bounds):
                     good.append((x, y))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int64())], ["a", "b"]
@@ -305,9 +314,9 @@ def _multiply(size: int, share: int):
     """Links between two tiles of rows (or within one): as many as join what they join."""
 
     def run(rows: pa.Table) -> pa.Table:
-        hashes = worker_cache().setdefault("words", WordHashes())
+        hashes, unpack = worker_cache().setdefault("words", WordHashes()), zstandard.ZstdDecompressor().decompress
         columns = {name: rows.column(name).to_pylist() for name in ("i", "j", "tile", "node", "comp")}
-        sets = [shingles(split_words(t), size, hashes) for t in rows.column("text").to_pylist()]
+        sets = [shingles(split_words(unpack(t)), size, hashes) for t in rows.column("text").to_pylist()]
         tile, comp = np.array(columns["tile"]), np.array(columns["comp"])
         left, right = (np.flatnonzero(tile == columns[name][0]) for name in ("i", "j"))
         good: list[tuple[int, int]] = []
@@ -394,6 +403,11 @@ def ngram_components(docs: DataFrame, size: int = 5, share: int = 80, id_col: st
     that has the links of each of them. Further columns are ignored; an empty
     table gives an empty result.
     """
+    with shuffles_dropped(docs.sparkSession):
+        return _components(docs, size, share, id_col, text_col)
+
+
+def _components(docs: DataFrame, size: int, share: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -434,7 +448,8 @@ def ngram_components(docs: DataFrame, size: int = 5, share: int = 80, id_col: st
     alone = group.groupBy("rows", "lo", "hi", "all").agg(F.min("sig").alias("sig")).select("sig")
     open_rows = staged(meets.join(alone, "sig", "left_semi"), "meets")
     nodes = staged(open_rows.select("node").distinct(), "nodes")
-    texts = staged(keep_ids(rows.withColumnRenamed("doc_id", "node"), nodes, "node").distinct(), "texts")
+    needed = keep_ids(rows.withColumnRenamed("doc_id", "node"), nodes, "node").distinct()
+    texts = staged(needed.mapInArrow(_packed, "node long, text binary"), "texts")
 
     labels = nodes.select("node", F.col("node").alias("comp"))
     links = staged(again, "links")
