@@ -50,6 +50,7 @@ _FOUND = "sig long, node long, doc_id long, n int, slack int, f1 long, f2 long"
 _HOT = 16  # rows that share a block value; in more, documents that can spare it leave it, and tiles are multiplied
 _TILE = 512  # rows of a tile
 _TILE_GRAMS = 1_000_000  # n-grams of a tile: tiles of long documents have fewer rows
+_SETS_HELD = 48 << 20  # bytes of sets that a worker remembers
 _COLUMNS = 4_096  # columns multiplied at a time
 
 
@@ -236,6 +237,29 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["node", "text"])
 
 
+class _Sets(dict):
+    """Shingles of compressed texts; a task and its successors meet many texts again."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.held = size, 0
+        self.hashes = worker_cache().setdefault("words", WordHashes())
+        self.unpack = zstandard.ZstdDecompressor().decompress
+
+    def __missing__(self, packed: bytes) -> np.ndarray:
+        found = shingles(split_words(self.unpack(packed)), self.size, self.hashes)
+        if self.held > _SETS_HELD:
+            self.clear()
+            self.held = 0
+        self.held += 8 * len(found) + len(packed)
+        self[packed] = found
+        return found
+
+    @classmethod
+    def of_worker(cls, size: int) -> _Sets:
+        return worker_cache().setdefault(("sets", size), cls(size))
+
+
 def _overlap(size: int, share: int):
     """Keep pairs of texts whose overlap, summed over column blocks, reaches the bound of their sizes."""
 
@@ -258,15 +282,12 @@ def _overlap(size: int, share: int):
         return count >= need
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds, last, kept = Bounds(share), None, None
-        hashes, unpack = worker_cache().setdefault("words", WordHashes()), zstandard.ZstdDecompressor().decompress
+        bounds, sets = Bounds(share), _Sets.of_worker(size)
         for batch in batches:
             a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
             good = []
             for x, y, tx, ty in zip(a, b, ta, tb, strict=True):
-                if (x, tx) != last:
-                    last, kept = (x, tx), shingles(split_words(unpack(tx)), size, hashes)
-                if linked(kept, shingles(split_words(unpack(ty)), size, hashes), bounds):
+                if linked(sets[tx], sets[ty], bounds):
                     good.append((x, y))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int64())], ["a", "b"]
@@ -314,9 +335,9 @@ def _multiply(size: int, share: int):
     """Links between two tiles of rows (or within one): as many as join what they join."""
 
     def run(rows: pa.Table) -> pa.Table:
-        hashes, unpack = worker_cache().setdefault("words", WordHashes()), zstandard.ZstdDecompressor().decompress
+        known = _Sets.of_worker(size)
         columns = {name: rows.column(name).to_pylist() for name in ("i", "j", "tile", "node", "comp")}
-        sets = [shingles(split_words(unpack(t)), size, hashes) for t in rows.column("text").to_pylist()]
+        sets = [known[t] for t in rows.column("text").to_pylist()]
         tile, comp = np.array(columns["tile"]), np.array(columns["comp"])
         left, right = (np.flatnonzero(tile == columns[name][0]) for name in ("i", "j"))
         good: list[tuple[int, int]] = []
