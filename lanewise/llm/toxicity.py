@@ -59,7 +59,7 @@ def features(text: str | None) -> np.ndarray:
 
 
 def fit(rows: list[np.ndarray], toxic: np.ndarray, turns: int = 60) -> Model:
-    """Ratios and coefficients. With fewer than two classes every score is the smoothed share of toxic rows."""
+    """Ratios and coefficients; ``rows`` is emptied. With fewer than two classes every score is the smoothed share of toxic rows."""
     slots = 1 << BITS
     y = np.asarray(toxic, np.float64)
     n, positive = len(y), y.sum()
@@ -70,12 +70,14 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, turns: int = 60) -> Model:
     for f, label in zip(rows, y, strict=True):
         counts[int(label), f] += 1
     ratio = np.log((counts[1] + 1) / (positive + 2)) - np.log((counts[0] + 1) / (n - positive + 2))
-    ratio[counts.sum(0) < min(LEAST_ROWS, 1 + n // 50)] = 0
+    ratio[counts.sum(0) < LEAST_ROWS] = 0
+    del counts
     blocks = []  # what a turn needs besides is as large as a block
     for lo in range(0, n, _FIT_ROWS):
         used = [f[ratio[f] != 0] for f in rows[lo : lo + _FIT_ROWS]]
+        rows[lo : lo + _FIT_ROWS] = [None] * len(used)  # their place is needed for the blocks
         at = np.concatenate(used).astype(np.int32)
-        row = np.repeat(np.arange(len(used), dtype=np.int32), [len(u) for u in used])
+        row = np.repeat(np.arange(len(used), dtype=np.int16), [len(u) for u in used])
         value = ratio[at]
         value /= np.sqrt(np.maximum(1, np.bincount(row, value * value, len(used))))[row]
         blocks.append((slice(lo, lo + len(used)), at, row, value.astype(np.float32)))
@@ -131,7 +133,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 1, divisor: int =
     sample = some(1, TOXIC_ROWS).union(some(0, OTHER_ROWS))
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     taken = texts.select("toxic", "text").mapInArrow(_slots, "toxic int, slots binary").collect()
-    return fit([np.frombuffer(r.slots, np.uint32) for r in taken], np.array([r.toxic for r in taken]))
+    toxic, rows = np.array([r.toxic for r in taken]), [np.frombuffer(r.slots, np.uint32) for r in taken]
+    del taken
+    return fit(rows, toxic)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: int = 1, divisor: int = 3) -> DataFrame:
