@@ -72,24 +72,22 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, turns: int = 60) -> Model:
     ratio = np.log((counts[1] + 1) / (positive + 2)) - np.log((counts[0] + 1) / (n - positive + 2))
     ratio[counts.sum(0) < LEAST_ROWS] = 0
     del counts
-    blocks = []  # what a turn needs besides is as large as a block
+    blocks = []  # only the slots are kept; what a turn needs besides is as large as a block
     for lo in range(0, n, _FIT_ROWS):
         used = [f[ratio[f] != 0] for f in rows[lo : lo + _FIT_ROWS]]
         rows[lo : lo + _FIT_ROWS] = [None] * len(used)  # their place is needed for the blocks
-        at = np.concatenate(used).astype(np.int32)
-        row = np.repeat(np.arange(len(used), dtype=np.int16), [len(u) for u in used])
-        value = ratio[at]
-        value /= np.sqrt(np.maximum(1, np.bincount(row, value * value, len(used))))[row]
-        blocks.append((slice(lo, lo + len(used)), at, row, value.astype(np.float32)))
+        norm = np.array([1 / np.sqrt(max(1, float((ratio[f] ** 2).sum()))) for f in used])
+        blocks.append((slice(lo, lo + len(used)), np.concatenate(used).astype(np.int32), [len(f) for f in used], norm))
     weight = np.where(y == 1, 0.5 / positive, 0.5 / (n - positive))
     penalty = 0.1 / n
     w, b, zw, zb, t = np.zeros(slots), 0.0, np.zeros(slots), 0.0, 1.0
     for _ in range(turns):  # gradient steps with Nesterov's momentum
-        slope, error_sum = penalty * zw, 0.0
-        for part, at, row, value in blocks:
-            line = np.bincount(row, value * zw[at], part.stop - part.start) + zb
+        slope, error_sum, scaled = penalty * zw, 0.0, ratio * zw
+        for part, at, lengths, norm in blocks:
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            line = np.bincount(row, scaled[at], len(lengths)) * norm + zb
             error = weight[part] * (1 / (1 + np.exp(-line)) - y[part])
-            slope += np.bincount(at, value * error[row], slots)
+            slope += ratio * np.bincount(at, (error * norm)[row], slots)
             error_sum += error.sum()
         new_w, new_b = zw - 4 * slope, zb - 4 * error_sum
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
