@@ -50,7 +50,7 @@ _FOUND = "sig long, node long, doc_id long, n int, slack int, f1 long, f2 long"
 _HOT = 16  # rows that share a block value; in more, documents that can spare it leave it, and tiles are multiplied
 _TILE = 512  # rows of a tile
 _TILE_GRAMS = 1_000_000  # n-grams of a tile: tiles of long documents have fewer rows
-_SETS_HELD = 48 << 20  # bytes of sets that a worker remembers
+_SETS_HELD = 16 << 20  # bytes of sets that a worker remembers
 _COLUMNS = 4_096  # columns multiplied at a time
 
 
