@@ -1,6 +1,6 @@
 """Registered queries, each beside independent SQL for the same result."""
 
-from checks import aggregates, board, carrier, client, lanes, questions, rows, scalars
+from checks import aggregates, board, carrier, client, lanes, layouts, questions, rows, scalars
 from checks.base import CASES, Case, Tables
 
 __all__ = [
@@ -12,6 +12,7 @@ __all__ = [
     "carrier",
     "client",
     "lanes",
+    "layouts",
     "questions",
     "rows",
     "scalars",

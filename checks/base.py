@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from lanewise import schema as S
 from lanewise.session import shared_folder
 from lanewise.sources import star_schema
+from lanewise.sources.by_order import OrderLegs, stage_by_order, stage_orders_by_code
+from lanewise.sources.changes import merge_changes
 from lanewise.sources.staging import load_staged_legs, stage_legs
 from lanewise.sources.tables import typed_orders
 
@@ -47,12 +49,71 @@ class Tables:
         Every report reads the staged files, as it would in production: columns
         are pruned, months skipped and filters pushed down to the scan.
         """
-        context = self.spark.sparkContext
-        folder = f"{shared_folder(self.spark)}/lanewise/{context.applicationId}"
-        path = f"{folder}/legs-{uuid.uuid4().hex[:12]}"  # never one that another session reads
+        path = self.folder("legs")
         stage_legs(star_schema.legs(self.spark, self.sf_dir), path)
         return load_staged_legs(self.spark, path)
 
+    def folder(self, name: str) -> str:
+        """A new folder, never one that another session reads."""
+        folder = f"{shared_folder(self.spark)}/lanewise/{self.spark.sparkContext.applicationId}"
+        return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
+
+    @cached_property
+    def order_legs(self) -> OrderLegs:
+        """The same legs in buckets of their order, staged once per session."""
+        path = self.folder("order_legs")
+        return stage_by_order(self.legs, path, f"order_legs_{path[-12:]}", self.buckets)
+
+    @cached_property
+    def code_orders(self) -> DataFrame:
+        """The order table in as many buckets of its code."""
+        path = self.folder("code_orders")
+        return stage_orders_by_code(self.orders, path, f"code_orders_{path[-12:]}", self.buckets)
+
+    @cached_property
+    def files(self) -> str:
+        """Tables as they come from outside: legs and routes in Parquet, orders and names in CSV; written once per session."""
+        path = self.folder("files")
+        self.raw.write.parquet(f"{path}/legs")
+        empty = {name: F.lit(None).cast("string") for name in ("shipmentCodes", "shipmentWarpIds")}
+        self.routes.withColumns(empty).select(*S.ROUTES.names).write.parquet(f"{path}/routes")
+        raw_orders = star_schema.orders_fin(self.raw).select(*S.ORDERS.names)
+        names = {
+            "carriers": self.table("supplier").selectExpr("string(s_suppkey) AS id", "s_name AS name"),
+            "clients": self.table("customer").selectExpr("string(c_custkey) AS id", "c_name AS name"),
+        }
+        for name, frame in {"orders": raw_orders, **names}.items():
+            frame.write.option("header", True).csv(f"{path}/{name}")
+        return path
+
+    @property
+    def buckets(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    @cached_property
+    def merged_legs(self) -> DataFrame:
+        """Legs of unique ids, staged in an old state and brought up to date by two change sets.
+
+        Every third order comes late, others were staged with another status or
+        in another month; the first batch corrects some and brings some in a wrong
+        state, which the second, later one corrects.
+        """
+        path = self.folder("merged_legs")
+        once = self.raw.groupBy("warpId").count().where("count = 1").select("warpId")
+        now = self.raw.join(once, "warpId").select(*S.LEGS.names)
+        place = F.pmod(F.xxhash64("warpId"), F.lit(12))
+        old_month = F.when(place == 1, F.lit("06/15/1991 08:00:00")).otherwise(F.col("pickWindowFrom"))
+        old_status = F.when(place == 2, F.lit("Pending")).otherwise(F.col("shipmentStatus"))
+        old = now.where(place > 0).withColumns({"pickWindowFrom": old_month, "shipmentStatus": old_status})
+        stage_legs(old.withColumn("version", F.lit(1).cast("bigint")), path)
+        wrong = F.when(place == 0, F.lit("Pending")).otherwise(F.col("shipmentStatus"))
+        first = now.where(place < 2).withColumn("shipmentStatus", wrong).withColumn("version", F.lit(2).cast("bigint"))
+        late = now.where(place == 1).withColumns({"shipmentStatus": F.lit("Removed"), "version": F.lit(0).cast("bigint")})
+        second = now.where(place.isin(0, 2)).withColumn("version", F.lit(3).cast("bigint"))
+        merge_changes(self.spark, path, first, self.folder("work"))
+        merge_changes(self.spark, path, second.unionByName(late), self.folder("work"))
+        return load_staged_legs(self.spark, path)
+
     @cached_property
     def raw(self) -> DataFrame:
         return self.legs.select(*S.LEGS.names)
@@ -73,6 +134,7 @@ class Tables:
 class Case:
     build: Callable[[Tables], DataFrame]
     sql: str | None
+    columns: str = ""
 
 
 CASES: dict[str, Case] = {}
@@ -114,23 +176,33 @@ def case(name: str, columns: str, sql: str | None):
     r double rounded to six places, t timestamp text, day date text, b boolean.
     """
     specs = [c.strip() for c in columns.split(",")]
+    full = None
+    if sql is not None:
+        full = f"WITH {SAMPLE_SQL},\nresult AS (\n{sql.strip()}\n)\nSELECT {', '.join(map(_sql_column, specs))} FROM result"
+    return _register(name, columns, full)
+
+
+def _register(name: str, columns: str, full: str | None):
+    specs = [c.strip() for c in columns.split(",")]
 
     def register(build: Callable[[Tables], DataFrame]):
         def plain(tables: Tables) -> DataFrame:
             df = build(tables)
             return df.select(*(_spark_column(df, spec) for spec in specs))
 
-        full = None
-        if sql is not None:
-            full = f"WITH {SAMPLE_SQL},\nresult AS (\n{sql.strip()}\n)\nSELECT {', '.join(map(_sql_column, specs))} FROM result"
         if name in CASES:
             raise ValueError(f"duplicate case {name}")
-        CASES[name] = Case(plain, full)
+        CASES[name] = Case(plain, full, columns)
         return build
 
     return register
 
 
+def another_way(name: str, known: str):
+    """Register a query that must give the rows of a known one by another plan."""
+    return _register(name, CASES[known].columns, CASES[known].sql)
+
+
 def also(name: str, known: str) -> None:
     """A query that answers a second inventory item as well."""
     CASES[name] = CASES[known]
@@ -234,7 +306,7 @@ orders_fin AS (
     sum(CASE WHEN shipmentType = 'Less Than Truckload' AND cnt > 1 AND coalesce(mainShipment, 'YES') = 'YES'
              THEN 0 ELSE revenueAllocationNumber END)::DECIMAL(18,2) AS revenue,
     sum(costAllocationNumber)::DECIMAL(18,2) AS cost,
-    min(bk)::DATE AS created_on
+    min(bk)::DATE AS created_on, max(substr(warpId, 3)::BIGINT) AS warpId
   FROM t AS l JOIN order_sizes USING (orderCode) GROUP BY l.orderCode
 )
 """.strip()

@@ -134,6 +134,10 @@ def detail(x: Tables, first: str = FIRST, last: str = LAST):
     return C.client_detail(x.legs, CLIENT, first, last)
 
 
+def status(x: Tables, first: str = FIRST, last: str = LAST):
+    return C.client_status(x.legs, CLIENT, first, last)
+
+
 case(
     "o06_client_detail",
     "order_code s, leg_id s, shipment_type s, pick_location s, drop_location s, pick_window s, pick_arrived s,"
@@ -153,7 +157,7 @@ case(
     f"""SELECT *, {printed('otp_on_time', 'otp_on_time + otp_late')} AS otp_rate,
         {printed('otd_on_time', 'otd_on_time + otd_late')} AS otd_rate
         FROM (SELECT {_KPI_COUNTS} FROM ({detail_sql()}))""",
-)(lambda x: C.client_detail_kpis(detail(x)))
+)(lambda x: C.client_detail_kpis(status(x)))
 
 
 def trend_sql(grain: str, first: str, last: str) -> str:
@@ -174,7 +178,7 @@ for _name, _grain, _last in (
     ("o08_otp_otd_trend_day", "day", SHORT_LAST),
 ):
     case(_name, TREND_COLUMNS, trend_sql(_grain, FIRST, _last))(
-        lambda x, last=_last: C.otp_otd_trend(detail(x, FIRST, last), FIRST, last)
+        lambda x, last=_last: C.otp_otd_trend(status(x, FIRST, last), FIRST, last)
     )
 
 for _name, _grain, _last in (
@@ -188,7 +192,7 @@ for _name, _grain, _last in (
               WHEN periods < 3 THEN 'few_periods' ELSE 'ok' END AS status
             FROM (SELECT (SELECT count(*) FROM ({detail_sql(FIRST, _last)})) AS shipments,
                          (SELECT count(*) FROM ({trend_sql(_grain, FIRST, _last)})) AS periods)""",
-    )(lambda x, last=_last: C.trend_status(detail(x, FIRST, last), FIRST, last))
+    )(lambda x, last=_last: C.trend_status(status(x, FIRST, last), FIRST, last))
 
 for _side, _kind in (("pick", "otp"), ("drop", "otd")):
     case(

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from checks.base import FIRST, LAST, Tables, case
 from checks.sql import printed0, table0
 from lanewise.operators import orders as R
 from lanewise.plans import lanes as L
+from lanewise.sources.reports import number_report
 
 DELIVERED = f"shipmentStatus = 'Complete' AND delivered BETWEEN TIMESTAMP '{FIRST}' AND TIMESTAMP '{LAST}'"
+LANE_TEXT, CLIENT_LANE = "startMarket || ' → ' || endMarket", "M15 → M15"  # the client's legs on it are on every sample
+CITY_LANE = "pickCity || ', ' || pickState || ' → ' || dropCity || ', ' || dropState"
 HAS_LANE = "startMarket <> '' AND endMarket <> ''"
 SAME_MARKET = "startMarket <> '' AND startMarket = endMarket"
 FTL, LTL, PARCEL = "Full Truckload", "Less Than Truckload", "Parcel"
@@ -63,12 +68,19 @@ case("o11_profit_by_lane_all_reference", LANE_COLUMNS, lane_sql("All", "referenc
 case(
     "o11_profit_by_lane_filtered",
     LANE_COLUMNS,
-    lane_sql("All", extra="clientName IN ('DoorDash', 'Customer#000000004') AND startMarket IN ('M03', 'M05') AND endMarket = 'M01'"),
+    lane_sql("All", extra=f"clientName IN ('DoorDash', 'Customer#000000004') AND {LANE_TEXT} IN ('M03 → M01', '{CLIENT_LANE}')"),
 )(
     lambda x: L.profit_by_lane(
-        x.legs, FIRST, LAST, customers=["DoorDash", "Customer#000000004"], lanes=["M03 → M01", "M05 → M01"]
+        x.legs, FIRST, LAST, customers=["DoorDash", "Customer#000000004"], lanes=["M03 → M01", CLIENT_LANE]
     )
 )
+case(
+    "o11_profit_by_lane_city",
+    "lane s, start_city s, end_city s, order_count i, total_revenue d, total_cost d, total_profit d, crossdock_cost d, margin_pct d",
+    f"""SELECT *, {table0('total_profit', 'total_revenue')} AS margin_pct
+        FROM (SELECT {CITY_LANE} AS lane, pickCity || ', ' || pickState AS start_city, dropCity || ', ' || dropState AS end_city, {_MONEY}
+              FROM ({rows_sql(f"{DELIVERED} AND ({CITY_LANE}) IS NOT NULL", 'All')}) GROUP BY ALL)""",
+)(lambda x: L.profit_by_lane(x.legs, FIRST, LAST, level="city"))
 case(
     "t02_lanes_by_profit",
     "lane s, total_profit d",
@@ -109,8 +121,22 @@ for _short, _kind in SHORT.items():
 case("o13_drill_down_lane", DRILL_COLUMNS, drill_sql(LANE_WHERE, "All"))(
     lambda x: L.drill_down(x.legs, FIRST, LAST, "lane", "M03 → M01")
 )
-case("o13_drill_down_customer_lane", DRILL_COLUMNS, drill_sql(f"{CLIENT_WHERE} AND {LANE_WHERE}", "All"))(
-    lambda x: L.drill_down(x.legs, FIRST, LAST, "customer", "DoorDash", "M03 → M01")
+case("o13_drill_down_customer_lane", DRILL_COLUMNS, drill_sql(f"{CLIENT_WHERE} AND {LANE_TEXT} = '{CLIENT_LANE}'", "All"))(
+    lambda x: L.drill_down(x.legs, FIRST, LAST, "customer", "DoorDash", CLIENT_LANE)
+)
+case(
+    "s09_numbered_drill_down",
+    "row i, " + DRILL_COLUMNS,
+    f"""SELECT *, row_number() OVER (ORDER BY order_code NULLS FIRST, main_shipment DESC NULLS LAST, leg_id NULLS FIRST) AS row
+        FROM ({drill_sql(CLIENT_WHERE, "All")})""",
+)(
+    lambda x: number_report(
+        L.drill_down(x.legs, FIRST, LAST, "customer", "DoorDash"),
+        x.folder("numbered"),
+        F.asc("order_code"),
+        F.desc("main_shipment"),
+        F.asc("leg_id"),
+    )
 )
 case("o13_drill_down_reference", DRILL_COLUMNS, drill_sql(CLIENT_WHERE, "All", "reference"))(
     lambda x: L.drill_down(x.legs, FIRST, LAST, "customer", "DoorDash", compat="reference")

@@ -9,6 +9,7 @@ from checks.sql import pct
 from lanewise.plans import questions as Q
 
 LAST_MONTH = ">= DATE '1997-06-01' AND {0} < DATE '1997-07-01'"
+BUSY = "1997-09-17"  # the client has deliveries in the week before, on every sample
 LANE = "startMarket <> '' AND endMarket <> ''"
 
 
@@ -24,9 +25,9 @@ case(
             shipmentType AS shipment_type, count(*) AS total_deliveries, count(*) FILTER (WHERE da < dt) AS on_time
           FROM t WHERE clientName = '{CLIENT}' AND mainShipment = 'YES' AND shipmentStatus = 'Complete'
             AND dropTimeArrived IS NOT NULL AND dropWindowTo IS NOT NULL
-            AND yearweek(df) = yearweek(DATE '{AS_OF}' - INTERVAL 7 DAY)
+            AND yearweek(df) = yearweek(DATE '{BUSY}' - INTERVAL 7 DAY)
           GROUP BY ALL)""",
-)(lambda x: Q.customer_otd_by_lane_equipment(x.legs, CLIENT, AS_OF))
+)(lambda x: Q.customer_otd_by_lane_equipment(x.legs, CLIENT, BUSY))
 
 _ORDER_MONEY = """count(DISTINCT {code}) AS order_count, sum({r}) AS total_revenue, sum({c}) AS total_cost,
     sum({r} - {c}) AS total_profit"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.base import FIRST, LAST, Tables, case
@@ -12,6 +13,7 @@ from lanewise.functions.places import leg_number
 from lanewise.operators import dedup as D
 from lanewise.operators import joins as J
 from lanewise.operators import orders as R
+from lanewise.operators.chains import root_legs
 from lanewise.sources import star_schema
 from lanewise.sources.staging import explode_route_shipments
 
@@ -235,6 +237,14 @@ case(
 )
 
 
+case(
+    "j11_orders_with_leg",
+    "code s, leg_number i, warpId s, shipmentType s",
+    """SELECT code, o.warpId AS leg_number, l.warpId, l.shipmentType
+       FROM orders_fin AS o JOIN legs AS l ON substr(l.warpId, 3)::BIGINT = o.warpId""",
+)(lambda x: J.orders_with_leg(x.orders, x.legs))
+
+
 def shipments(x: Tables):
     """Every leg names the smallest leg id of its order as parent; that one names none."""
     first = x.legs.groupBy("orderCode").agg(F.min("warpId").alias("parent"))
@@ -251,6 +261,25 @@ case(
        LEFT JOIN (SELECT warpId, nullif(min(warpId) OVER (PARTITION BY orderCode), warpId) AS parent FROM legs) AS p
          ON p.warpId = s.parent""",
 )(lambda x: J.with_parent(shipments(x)))
+
+
+def shipment_chains(x: Tables):
+    """Every leg names the next smaller leg id of its order; in one order of twenty the smallest names the largest."""
+    order = Window.partitionBy("orderCode")
+    number = F.substring("orderCode", 3, 20).cast("bigint")
+    before = F.lag("warpId").over(order.orderBy("warpId"))
+    round_ = F.when(number % 20 == 0, F.max("warpId").over(order))
+    return x.legs.select("orderCode", "warpId").distinct().select("warpId", F.coalesce(before, round_).alias("parent"))
+
+
+case(
+    "j12_root_legs",
+    "warpId s, root s, depth i, in_cycle b",
+    """SELECT warpId, CASE WHEN NOT c THEN min(warpId) OVER w END AS root,
+         CASE WHEN NOT c THEN row_number() OVER (PARTITION BY orderCode ORDER BY warpId) - 1 END AS depth, c AS in_cycle
+       FROM (SELECT DISTINCT warpId, orderCode, substr(orderCode, 3)::BIGINT % 20 = 0 AS c FROM legs)
+       WINDOW w AS (PARTITION BY orderCode)""",
+)(lambda x: root_legs(shipment_chains(x), x.folder("roots")))
 case(
     "s11_explode_route_shipments",
     "routeId s, leg_code s",

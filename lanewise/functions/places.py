@@ -29,9 +29,14 @@ def leg_market(patterns: str = "all") -> Column:
     )
 
 
-def lane_label(level: str = "market") -> Column:
-    """``a → b``; NULL when either side is."""
-    start, end = {
+LANE_LEVELS = ("market", "city", "address")
+
+
+def lane_ends(level: str = "market") -> tuple[Column, Column]:
+    """Where a leg starts and ends, by market, city or street address."""
+    if level not in LANE_LEVELS:
+        raise ValueError(f"level must be one of {LANE_LEVELS}")
+    return {
         "market": (F.col("startMarket"), F.col("endMarket")),
         "city": (
             F.concat("pickCity", F.lit(", "), "pickState"),
@@ -39,6 +44,11 @@ def lane_label(level: str = "market") -> Column:
         ),
         "address": (F.col("pickAddress"), F.col("dropAddress")),
     }[level]
+
+
+def lane_label(level: str = "market") -> Column:
+    """``a → b``; NULL when either side is."""
+    start, end = lane_ends(level)
     return F.concat(start, F.lit(" → "), end)
 
 

@@ -190,12 +190,46 @@ def in_last_month(name: str, as_of: Day) -> Column:
     return ts_half_open(name, last_month, this_month)
 
 
+def _days(legs: DataFrame, column: str, first: Day, last: Day) -> DataFrame:
+    """Days of a staged column, both included, for the statistics of its files."""
+    low, high = (F.lit(as_date(day).isoformat()).cast("date") for day in (first, last))
+    return legs.where(F.col(column).between(low, high)) if column in legs.columns else legs
+
+
 def prune_months(legs: DataFrame, first: Day, last: Day) -> DataFrame:
-    """Partition filter for staged legs; a frame without the column passes as is."""
+    """Partition and day filter for staged legs; a frame without the columns passes as is."""
     if "pick_month" not in legs.columns:
         return legs
     months = (as_date(first).replace(day=1).isoformat(), as_date(last).replace(day=1).isoformat())
-    return legs.where(F.col("pick_month").between(*(F.lit(m).cast("date") for m in months)))
+    inside = legs.where(F.col("pick_month").between(*(F.lit(m).cast("date") for m in months)))
+    return _days(inside, "pick_day", first, last)
+
+
+def prune_deliveries(legs: DataFrame, first: Day, last: Day, day: str = "delivered_day") -> DataFrame:
+    """Partition and day filter for staged legs delivered from ``first`` to ``last``.
+
+    ``day`` is ``delivered_day`` (when it counts as delivered) or ``drop_day``
+    (start of the delivery window). Both lie between the two delivery months of
+    their partition. A frame without those columns passes as is.
+    """
+    if "first_drop_month" not in legs.columns:
+        return legs
+    low, high = (F.lit(as_date(d).replace(day=1).isoformat()).cast("date") for d in (first, last))
+    inside = legs.where((F.col("first_drop_month") <= high) & (F.col("last_drop_month") >= low))
+    return _days(inside, day, first, last)
+
+
+def last_week_days(as_of: Day) -> tuple[dt.date, dt.date]:
+    """Monday and Sunday of the week before the one holding ``as_of``."""
+    day = as_date(as_of)
+    monday = day - dt.timedelta(days=day.weekday())
+    return monday - dt.timedelta(days=7), monday - dt.timedelta(days=1)
+
+
+def last_month_days(as_of: Day) -> tuple[dt.date, dt.date]:
+    """First and last day of the month before the one holding ``as_of``."""
+    last = as_date(as_of).replace(day=1) - dt.timedelta(days=1)
+    return last.replace(day=1), last
 
 
 def prune_year(legs: DataFrame, year: int) -> DataFrame:

@@ -1,6 +1,7 @@
 """Joins between legs, loads, orders and name dimensions.
 
-Leg-to-leg and leg-to-load joins go through ``attach``, which spreads hot keys.
+Leg-to-leg and leg-to-load joins go through ``attach``, which spreads hot keys;
+semi-joins send a filter of the wanted keys ahead.
 Name dimensions are left to Spark: it broadcasts them only below its own size
 limit, and splits skewed partitions of the sort-merge join beyond it.
 """
@@ -11,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.functions.money import COST, REVENUE, sum0
+from lanewise.functions.places import leg_number
 from lanewise.functions.predicates import is_main
+from lanewise.operators.ahead import semi_join_ahead
 from lanewise.operators.skew import attach
 from lanewise.sources.staging import explode_route_shipments
 
@@ -23,13 +26,13 @@ def with_route(legs: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def legs_of(legs: DataFrame, orders: DataFrame) -> DataFrame:
-    """All legs, of any client and status, of the given orders."""
-    return attach(legs, orders.select("orderCode").distinct(), "orderCode", "left_semi")
+    """All legs, of any client and status, of the given orders; the others leave at the scan."""
+    return semi_join_ahead(legs, orders, "orderCode")
 
 
 def keep_listed(legs: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     """Rows whose ``key`` is in a list too long for ``isin``."""
-    return attach(legs, listed.select(key).distinct(), key, "left_semi")
+    return semi_join_ahead(legs, listed, key)
 
 
 def with_order_counts(legs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -50,11 +53,23 @@ def orders_with_lane(orders: DataFrame, legs: DataFrame) -> DataFrame:
     return attach(legs.where(is_main()), money, "orderCode", "inner")
 
 
-def reconcile_orders(orders: DataFrame, legs: DataFrame) -> DataFrame:
-    """Order money beside the sum of the order's legs. Both sides are per order."""
+def orders_with_leg(orders: DataFrame, legs: DataFrame) -> DataFrame:
+    """Orders with the leg whose number they name: ``warpId`` 123 is the leg S-123. Leg ids and numbers are unique."""
+    named = orders.where(F.col("warpId").isNotNull()).select("code", F.col("warpId").alias("leg_number"))
+    numbered = legs.withColumn("leg_number", leg_number(F.col("warpId"))).where(F.col("leg_number").isNotNull())
+    return numbered.join(named, "leg_number")
+
+
+def reconcile_orders(orders: DataFrame, legs: DataFrame, few: bool = False) -> DataFrame:
+    """Order money beside the sum of the order's legs. Both sides are per order.
+
+    ``few`` says that the legs are known to be of few orders, whose sums may be broadcast.
+    """
     sums = legs.groupBy("orderCode").agg(
         sum0(F.col(REVENUE)).alias("legs_revenue"), sum0(F.col(COST)).alias("legs_cost")
     )
+    if few:
+        sums = F.broadcast(sums)
     return (
         orders.select(
             "code", F.col("revenue").alias("orders_revenue"), F.col("cost").alias("orders_cost")

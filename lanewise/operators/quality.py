@@ -87,9 +87,13 @@ def time_coverage(legs: DataFrame) -> DataFrame:
     )
 
 
-def cross_validate(orders: DataFrame, legs: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Orders whose money and legs disagree by more than ``tolerance``."""
+def with_mismatch(compared: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Reconciled orders with a flag where money differs by more than ``tolerance`` or is missing."""
     limit = F.lit(str(tolerance)).cast("decimal(10,4)")
-    compared = reconcile_orders(orders, legs)
     off = (F.abs("revenue_diff") > limit) | (F.abs("cost_diff") > limit)
     return compared.withColumn("mismatch", F.coalesce(off, F.lit(True)))
+
+
+def cross_validate(orders: DataFrame, legs: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Orders whose money and legs disagree by more than ``tolerance``."""
+    return with_mismatch(reconcile_orders(orders, legs), tolerance)

@@ -14,6 +14,7 @@ from lanewise.functions.predicates import (
     is_done,
     is_platform_customer,
     is_valid_date_text,
+    prune_deliveries,
     prune_months,
     ts_between_midnight,
     ts_half_open,
@@ -90,7 +91,7 @@ def carrier_otp(legs: DataFrame, carrier: str, first: Day, end: Day) -> DataFram
 
 def carrier_otd(legs: DataFrame, carrier: str, first: Day, end: Day) -> DataFrame:
     """A carrier's deliveries before the window end, per type, each stop once; the range is that of the delivery window."""
-    mine = legs.where(carrier_is(carrier) & ts_half_open("drop_from_ts", first, end))
+    mine = prune_deliveries(legs, first, end, "drop_day").where(carrier_is(carrier) & ts_half_open("drop_from_ts", first, end))
     stops = first_per_stop(_with_times(mine, "drop"), "drop", ["shipmentType", "on_time"])
     return _rates(stops, "shipmentType", name="otd_pct")
 

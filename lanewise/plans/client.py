@@ -22,9 +22,8 @@ from lanewise.functions.predicates import (
     prune_months,
 )
 from lanewise.functions.times import dwell_hours, grain_for, in_time, period_label, period_start
+from lanewise.operators.ahead import may_hold
 from lanewise.operators.dedup import inherited_codes
-from lanewise.operators.joins import legs_of
-from lanewise.operators.skew import attach
 from lanewise.operators.stats import value_counts
 
 MIN_SHIPMENTS, MIN_PERIODS = 10, 3
@@ -101,11 +100,13 @@ def client_detail(legs: DataFrame, client: str, first: Day, last: Day) -> DataFr
     """Every header row of a client with windows, dwell hours, codes and statuses.
 
     A blank code is taken over from the order's earliest pickup or latest
-    delivery leg. Those codes are aggregated per order before the join, so the
-    leg side is never shuffled row by row for an order with many legs.
+    delivery leg. Legs of other orders leave at the scan; the codes of the rest
+    are aggregated per order before the join, so no leg is shuffled row by row
+    and an order that the filter let pass by mistake meets no header.
     """
     headers = client_headers(legs, first, last).where(client_is(client))
-    rows = attach(headers, inherited_codes(legs_of(legs, headers)), "orderCode", "left")
+    codes = inherited_codes(legs.where(may_hold(headers, "orderCode")))
+    rows = headers.join(codes, "orderCode", "left")
     return rows.select(
         F.col("orderCode").alias("order_code"),
         F.col("warpId").alias("leg_id"),
@@ -128,13 +129,21 @@ def client_detail(legs: DataFrame, client: str, first: Day, last: Day) -> DataFr
     )
 
 
+def client_status(legs: DataFrame, client: str, first: Day, last: Day) -> DataFrame:
+    """Pickup time and statuses of the same rows, for figures that need no codes: one scan, no join."""
+    headers = client_headers(legs, first, last).where(client_is(client))
+    return headers.select(
+        "pick_from_ts", window_status("pick").alias("otp_status"), window_status("drop").alias("otd_status")
+    )
+
+
 def _status_counts(kind: str) -> list[Column]:
     status = F.col(f"{kind}_status")
     return [count_if(status == ON_TIME).alias(f"{kind}_on_time"), count_if(status == LATE).alias(f"{kind}_late")]
 
 
 def client_detail_kpis(detail: DataFrame) -> DataFrame:
-    """Shipments and rates over those with arrival data."""
+    """Shipments and rates over those with arrival data, of ``client_status`` or ``client_detail`` rows."""
     totals = detail.agg(F.count(F.lit(1)).alias("shipments"), *_status_counts("otp"), *_status_counts("otd"))
     return totals.withColumns(
         {
@@ -145,7 +154,7 @@ def client_detail_kpis(detail: DataFrame) -> DataFrame:
 
 
 def _by_period(detail: DataFrame, first: Day, last: Day, grain: str | None) -> DataFrame:
-    """Shipments and rates of every period; a rate without data is NULL."""
+    """Shipments and rates of every period; a rate without data is NULL. Takes the rows of ``client_status``."""
 
     def rate(kind: str) -> Column:
         on_time, late = F.col(f"{kind}_on_time").cast("double"), F.col(f"{kind}_late").cast("double")

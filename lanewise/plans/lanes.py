@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lanewise import schema as S
 from lanewise.functions.money import COST, REVENUE, printed_percent, profit, table_percent
-from lanewise.functions.places import crossdock_label, lane_label
+from lanewise.functions.places import crossdock_label, lane_ends, lane_label
 from lanewise.functions.predicates import (
     Day,
     client_is,
@@ -18,6 +18,7 @@ from lanewise.functions.predicates import (
     in_lanes,
     is_complete,
     not_crossdock_leg,
+    prune_deliveries,
     same_market,
     ts_between_midnight,
 )
@@ -26,7 +27,7 @@ from lanewise.operators.orders import financial_totals, select_financial_rows
 
 def delivered_between(legs: DataFrame, first: Day, last: Day) -> DataFrame:
     """Finished legs by effective delivery time, up to the last day's midnight."""
-    return legs.where(is_complete() & ts_between_midnight("delivered_ts", first, last))
+    return prune_deliveries(legs, first, last).where(is_complete() & ts_between_midnight("delivered_ts", first, last))
 
 
 def _with_profit(totals: DataFrame) -> DataFrame:
@@ -41,14 +42,27 @@ def profit_by_lane(
     customers: Sequence[str] | None = None,
     lanes: Sequence[str] | None = None,
     compat: str = "corrected",
+    level: str = "market",
 ) -> DataFrame:
-    """Orders, money and cross-dock share per lane, most profitable first."""
-    rows = delivered_between(legs, first, last).where(has_lane() & in_customers(customers) & in_lanes(lanes))
-    totals = _with_profit(financial_totals(rows, ["startMarket", "endMarket"], shipment_type, compat))
+    """Orders, money and cross-dock share per lane, most profitable first.
+
+    ``level`` takes lanes between markets, cities or street addresses (the last
+    two without rows where an end is unknown; addresses are further text columns
+    of the leg table).
+    """
+    rows = delivered_between(legs, first, last).where(in_customers(customers))
+    if level == "market":
+        rows, ends, names = rows.where(has_lane() & in_lanes(lanes)), ("startMarket", "endMarket"), ("start_market", "end_market")
+    else:
+        ends = names = (f"start_{level}", f"end_{level}")
+        start, end = lane_ends(level)
+        rows = rows.withColumns({ends[0]: start, ends[1]: end}).where(start.isNotNull() & end.isNotNull())
+        rows = rows.where(lane_label(level).isin(*lanes)) if lanes else rows
+    totals = _with_profit(financial_totals(rows, list(ends), shipment_type, compat))
     return totals.select(
-        lane_label().alias("lane"),
-        F.col("startMarket").alias("start_market"),
-        F.col("endMarket").alias("end_market"),
+        F.concat(F.col(ends[0]), F.lit(" → "), F.col(ends[1])).alias("lane"),
+        F.col(ends[0]).alias(names[0]),
+        F.col(ends[1]).alias(names[1]),
         "order_count",
         F.col("revenue").alias("total_revenue"),
         F.col("cost").alias("total_cost"),

@@ -21,6 +21,9 @@ from lanewise.functions.predicates import (
     is_complete,
     is_main,
     is_present,
+    last_month_days,
+    last_week_days,
+    prune_deliveries,
     ts_half_open,
 )
 from lanewise.functions.times import day_of, in_time
@@ -29,7 +32,7 @@ from lanewise.sources.staging import coerce_numeric
 
 def customer_otd_by_lane_equipment(legs: DataFrame, client: str, as_of: Day) -> DataFrame:
     """Last week's deliveries of a customer before the window end."""
-    rows = legs.where(
+    rows = prune_deliveries(legs, *last_week_days(as_of), "drop_day").where(
         client_is(client)
         & is_main()
         & is_complete()
@@ -85,7 +88,8 @@ def customer_profit_orders(orders: DataFrame, customer: str, as_of: Day) -> Data
 
 def customer_profit_legs(legs: DataFrame, client: str, as_of: Day) -> DataFrame:
     """The same from header legs; LTL headers may repeat their legs' revenue."""
-    rows = legs.where(client_is(client) & is_main() & is_complete() & in_last_month("drop_from_ts", as_of))
+    recent = prune_deliveries(legs, *last_month_days(as_of), "drop_day")
+    rows = recent.where(client_is(client) & is_main() & is_complete() & in_last_month("drop_from_ts", as_of))
     return (
         rows.groupBy(F.col("shipmentType").alias("shipment_type"))
         .agg(*_order_money(F.col(REVENUE), F.col(COST), F.col("orderCode")))
@@ -94,7 +98,8 @@ def customer_profit_legs(legs: DataFrame, client: str, as_of: Day) -> DataFrame:
 
 
 def _lanes_last_month(legs: DataFrame, as_of: Day) -> DataFrame:
-    return legs.where(is_main() & has_lane() & in_last_month("drop_from_ts", as_of))
+    recent = prune_deliveries(legs, *last_month_days(as_of), "drop_day")
+    return recent.where(is_main() & has_lane() & in_last_month("drop_from_ts", as_of))
 
 
 def lane_profit_orders(orders: DataFrame, legs: DataFrame, as_of: Day, n: int = 20) -> DataFrame:

@@ -87,13 +87,22 @@ TYPED_TIMES = {
     "booked_ts": "loadBookedTime",
 }
 
-# Layout of the staged leg table; the month is its partition column.
+# Partition columns of the staged leg table: the pickup month, and the months of
+# the earlier and the later of its two delivery times (effective and window).
+MONTHS = ("pick_month", "first_drop_month", "last_drop_month")
+
+# Days of the dates that reports cut by: files keep statistics of days that skip
+# row groups, which zone-less timestamps cannot.
+DAYS = {"pick_day": "pick_from_ts", "delivered_day": "delivered_ts", "drop_day": "drop_from_ts"}
+
+# Layout of the staged leg table.
 STAGED_LEGS = T.StructType(
     LEGS.fields
     + _fields(" ".join(TYPED_TIMES), T.TimestampNTZType())
     + _fields("drop_date", T.DateType())
     + _fields("delivered_ts", T.TimestampNTZType())
-    + _fields("pick_month", T.DateType())
+    + _fields(" ".join(DAYS), T.DateType())
+    + _fields(" ".join(MONTHS), T.DateType())
 )
 
 # --- fixed values: cross-dock names and the market each stands for ----------

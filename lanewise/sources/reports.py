@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: column headings of the exported reports
@@ -111,6 +111,28 @@ def number_rows(shown: DataFrame, *order, name: str = "row") -> DataFrame:
     return shown.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
+def number_report(df: DataFrame, work: str, *order: Column, name: str = "row") -> DataFrame:
+    """1-based position of every row of a report of any length.
+
+    Rows are parted by ranges of ``order``, sorted and numbered within their
+    part, and written to ``work``, a new folder; a part's numbers start after the
+    rows of all parts before it. No task sees more than one part, and only the
+    parts' sizes come together. ``order`` should tell all rows apart; equal rows
+    share a part and are numbered as they lie there.
+    """
+    spark = df.sparkSession
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    parted = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), nth.alias("_nth"))
+    parted.write.parquet(work)
+    placed = spark.read.schema(parted.schema).parquet(work)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("rows"))
+    starts = sizes.select("_part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_part").select(  # one row a part
+        *(F.col(f"`{c}`") for c in df.columns), (F.col("_start") + F.col("_nth") + 1).alias(name)
+    )
+
+
 def write_report(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
     writer = df.write.mode(mode)
     if fmt == "csv":

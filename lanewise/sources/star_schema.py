@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise import schema as S
+from lanewise.functions.places import leg_number
 from lanewise.functions.times import parse_timestamp
 from lanewise.session import use_utc
 
@@ -164,6 +165,7 @@ def orders_fin(legs_df: DataFrame) -> DataFrame:
         F.expr(f"sum(if({is_copy}, 0, revenueAllocationNumber))").alias("without_copies"),
         F.sum("costAllocationNumber").alias("cost"),
         F.min(booked).alias("first_booked"),
+        F.max(leg_number(F.col("warpId"))).alias("warpId"),
     )
     return per_order.selectExpr(
         "orderCode AS code",
@@ -173,4 +175,5 @@ def orders_fin(legs_df: DataFrame) -> DataFrame:
         "string(CAST(if(cnt > 1, without_copies, everything) AS DECIMAL(28, 2))) AS revenueAllocation",
         "string(CAST(cost AS DECIMAL(28, 2))) AS costAllocation",
         "date_format(first_booked, 'yyyy-MM-dd') AS createdAt",
+        "warpId",
     )
