@@ -85,7 +85,7 @@ class WordHashes(dict):
     """64-bit hash of a word (bytes), remembered for the frequent ones."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value

@@ -42,7 +42,7 @@ from pyspark.sql.window import Window
 
 from lanewise.llm.common import WordHashes, connected, keep_ids, mix, shingles, shuffles_dropped, split_words, staged, worker_cache
 
-_FLUSH = 1_000_000
+_FLUSH = 700_000
 _MASK = (1 << 64) - 1
 _PART, _CLASS, _PREFIX = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 _EMITTED = "bucket int, sigs binary, nodes binary, many binary, ids binary, known binary, sizes binary, slacks binary, prints binary"
@@ -50,7 +50,7 @@ _FOUND = "sig long, node long, doc_id long, n int, slack int, f1 long, f2 long"
 _HOT = 16  # rows that share a block value; in more, documents that can spare it leave it, and tiles are multiplied
 _TILE = 512  # rows of a tile
 _TILE_GRAMS = 1_000_000  # n-grams of a tile: tiles of long documents have fewer rows
-_SETS_HELD = 16 << 20  # bytes of sets that a worker remembers
+_SETS_HELD = 8 << 20  # bytes of sets that a worker remembers
 _COLUMNS = 4_096  # columns multiplied at a time
 
 
