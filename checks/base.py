@@ -306,7 +306,7 @@ orders_fin AS (
     sum(CASE WHEN shipmentType = 'Less Than Truckload' AND cnt > 1 AND coalesce(mainShipment, 'YES') = 'YES'
              THEN 0 ELSE revenueAllocationNumber END)::DECIMAL(18,2) AS revenue,
     sum(costAllocationNumber)::DECIMAL(18,2) AS cost,
-    min(bk)::DATE AS created_on, max(substr(warpId, 3)::BIGINT) AS warpId
+    min(bk)::DATE AS created_on, max(substr(warpId, 3)::BIGINT) AS legNumber
   FROM t AS l JOIN order_sizes USING (orderCode) GROUP BY l.orderCode
 )
 """.strip()

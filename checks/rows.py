@@ -240,8 +240,8 @@ case(
 case(
     "j11_orders_with_leg",
     "code s, leg_number i, warpId s, shipmentType s",
-    """SELECT code, o.warpId AS leg_number, l.warpId, l.shipmentType
-       FROM orders_fin AS o JOIN legs AS l ON substr(l.warpId, 3)::BIGINT = o.warpId""",
+    """SELECT code, legNumber AS leg_number, l.warpId, l.shipmentType
+       FROM orders_fin AS o JOIN legs AS l ON substr(l.warpId, 3)::BIGINT = legNumber""",
 )(lambda x: J.orders_with_leg(x.orders, x.legs))
 
 
