@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lanewise.llm.common import WordHashes, connected, keep_ids, mix, shingles, shuffles_dropped, split_words, staged, worker_cache
+from lanewise.llm.common import WordHashes, connected, keep_ids, mix, shingles, shuffles_dropped, sliced, split_words, staged, worker_cache
 
 _FLUSH = 700_000
 _MASK = (1 << 64) - 1
@@ -143,7 +143,7 @@ def _emit(size: int, share: int, buckets: int):
                         out[name].append(x[lo:hi].tobytes())
             return rows(out)
 
-        for k, batch in enumerate(batches):
+        for k, batch in enumerate(sliced(batches)):
             ids, known, sizes, slacks, prints = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = shingles(split_words(text), size, hashes)
@@ -232,7 +232,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed one by one, as they travel once for each pair or tile."""
     packer = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in sliced(batches):
         texts = pa.array([None if t is None else packer.compress(t) for t in batch.column(1).to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["node", "text"])
 

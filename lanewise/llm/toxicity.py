@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import keep_ids
+from lanewise.llm.common import keep_ids, sliced
 
 BITS = 20
 ORDERS = (5, 7)
@@ -108,7 +108,7 @@ def remainder(id_col: str, divisor: int) -> Column:
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         found = [features(t).tobytes() for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["toxic", "slots"])
 
@@ -149,7 +149,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: int = 1, divis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*sent.value)
-        for batch in batches:
+        for batch in sliced(batches):
             scores = [score(model, t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"]
