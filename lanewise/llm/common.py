@@ -11,6 +11,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,6 +108,15 @@ def split_words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def sliced_by_bytes(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts take about ``size`` bytes together; a longer text stands alone or ends a run."""
+    for batch in batches:
+        before = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = np.flatnonzero(np.diff(before // size)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            yield batch.slice(lo, hi - lo)
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -117,6 +127,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_PLACES = 64  # of these first bytes of a word the values are looked up
+
+
+def _byte_values(keys: np.ndarray) -> np.ndarray:
+    return mix((keys.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+_BYTE_VALUES = _byte_values(np.arange(_PLACES << 8))
+
+
+def _hash_words(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the non-empty words that lie end to end in ``data``: mixed sums of a value for each byte and place."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    places = np.arange(len(data)) - np.repeat(starts, lengths)
+    keys = (places << 8) | data
+    values = _BYTE_VALUES[np.minimum(keys, len(_BYTE_VALUES) - 1)]
+    if int(lengths.max()) > _PLACES:
+        late = np.flatnonzero(places >= _PLACES)
+        values[late] = _byte_values(keys[late])
+    return mix(np.add.reduceat(values, starts))
+
+
+def word_hashes(texts: pa.Array, last: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts (as ``split_words``), each text closed by ``last``, and their number by text."""
+    plain = pc.ascii_lower(pc.fill_null(texts.cast(pa.binary()), b"").view(pa.string()))
+    cut = pc.ascii_split_whitespace(plain)
+    words = cut.flatten()
+    offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
+    size = np.diff(offsets)
+    real = np.flatnonzero(size)  # white space at either end of a text leaves an empty word
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    of_text = np.repeat(np.arange(len(cut)), pc.list_value_length(cut).to_numpy(zero_copy_only=False))[real]
+    lengths = np.bincount(of_text, minlength=len(cut)) + 1
+    end = np.frombuffer(last, np.uint8)
+    out = np.full(int(lengths.sum()), _hash_words(end, np.zeros(1, np.int64), np.array([len(end)]))[0], np.uint64)
+    inner = np.ones(len(out), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    out[inner] = _hash_words(data, offsets[real] - offsets[0], size[real])
+    return out, lengths
+
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 

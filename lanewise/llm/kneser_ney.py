@@ -36,19 +36,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.llm.common import (
-    WordHashes,
     mix,
     mounted,
     shared_folder,
     shuffles_dropped,
-    split_words,
+    sliced_by_bytes,
     staged,
+    word_hashes,
     worker_cache,
 )
 
 END = b"\n"  # no word has white space in it
 _CHUNK = 1_500_000  # tokens counted at a time
 _LOOKUP = 600_000  # tokens scored at a time
+_TEXT_BYTES = 1 << 20  # text cut into words at a time
 _RANGE_WORDS = 50_000  # words whose predecessor counts travel in one piece
 _SHIFT = np.uint64(32)
 
@@ -132,21 +133,18 @@ def _pieces(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, int]]:
     """(first column, token hashes, tokens of each text, texts) for texts of about ``most`` tokens together."""
-    hashes: WordHashes = worker_cache().setdefault("words", WordHashes())
     rows, found, lengths, total = [], [], [], 0
-    for batch in batches:
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            tokens = split_words(text)
-            tokens.append(END)
-            rows.append(row)
-            found.append(hashes.of(tokens))
-            lengths.append(len(tokens))
-            total += len(tokens)
-            if total >= most:
-                yield rows, np.concatenate(found), np.array(lengths), len(rows)
-                rows, found, lengths, total = [], [], [], 0
+    for batch in sliced_by_bytes(batches, 1, _TEXT_BYTES):
+        tokens, by_text = word_hashes(batch.column(1), END)
+        rows += batch.column(0).to_pylist()
+        found.append(tokens)
+        lengths.append(by_text)
+        total += len(tokens)
+        if total >= most:
+            yield rows, np.concatenate(found), np.concatenate(lengths), len(rows)
+            rows, found, lengths, total = [], [], [], 0
     if rows:
-        yield rows, np.concatenate(found), np.array(lengths), len(rows)
+        yield rows, np.concatenate(found), np.concatenate(lengths), len(rows)
 
 
 def _numbers(model: Model, hashes: np.ndarray) -> np.ndarray:

@@ -10,11 +10,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 
 import corpus_pipeline
 from lanewise.llm import kneser_ney, ngram_join, toxicity
+from lanewise.llm.common import sliced_by_bytes, split_words, word_hashes
 from lanewise.llm.decontamination import contained_items, drop_contaminated
 from lanewise.llm.kneser_ney import score_texts
 from lanewise.llm.ngram_join import Bounds, ngram_components, one_of_each, signatures
@@ -259,6 +261,7 @@ def plain_model(texts: list[list[str]]):
 def test_scores_equal_a_model_of_dicts(docs, words, monkeypatch):
     monkeypatch.setattr(kneser_ney, "_CHUNK", 700)
     monkeypatch.setattr(kneser_ney, "_LOOKUP", 500)
+    monkeypatch.setattr(kneser_ney, "_TEXT_BYTES", 2_000)
     rows = [(i, words(60 + i, i, 80) + " the the of the" * (i % 9) + " RARE" * (i % 2)) for i in range(160)]
     rows += [(500, None), (501, ""), (502, "unheard of words the"), (503, "the " * 900), (503, "the " * 900), (None, "the of")]
     found = score_texts(docs(*rows)).collect()
@@ -314,6 +317,7 @@ def plain_trigrams(texts: list[list[str]]):
 def test_order_3_equals_a_model_of_dicts(docs, words, monkeypatch):
     monkeypatch.setattr(kneser_ney, "_CHUNK", 700)
     monkeypatch.setattr(kneser_ney, "_LOOKUP", 500)
+    monkeypatch.setattr(kneser_ney, "_TEXT_BYTES", 2_000)
     rows = [(i, words(60 + i, i, 40) + " the the of the" * (i % 9) + " RARE" * (i % 2)) for i in range(120)]
     rows += [(500, None), (501, ""), (502, "unheard of words the"), (503, "the " * 900), (503, "the " * 900), (None, "the of")]
     found = score_texts(docs(*rows), order=3).collect()
@@ -323,3 +327,20 @@ def test_order_3_equals_a_model_of_dicts(docs, words, monkeypatch):
     assert len(found) == len(rows)
     for r in found:
         assert r.score == pytest.approx(score(cut(text_of[r.doc_id])), rel=1e-9)
+
+
+def test_words_hashed_in_batches_are_the_words_of_each_text():
+    random = np.random.default_rng(5)
+    texts = [None, b"", b" ", b" A b\x0b\x0cC  d ", "É a\u0085b\x1cc".encode(), b"x" * 100_000, b"y" * 64, b"y" * 65, b" a b" * 50_000]
+    texts += [random.choice(np.frombuffer(b"aB \t\n\r\x0b\x0c\x1c\xc3\x00", np.uint8), n).tobytes() for n in random.integers(0, 60, 1_000)]
+    hashes, lengths = word_hashes(pa.array([b"before", *texts], pa.binary()).slice(1), b"\n")
+    words = [[*split_words(t), b"\n"] for t in texts]
+    assert lengths.tolist() == [len(w) for w in words]
+    known: dict[bytes, int] = {}
+    for word, value in zip([w for of_text in words for w in of_text], hashes.tolist(), strict=True):
+        assert known.setdefault(word, value) == value
+    assert len(set(known.values())) == len(known)
+    assert len(word_hashes(pa.array([], pa.binary()), b"\n")[0]) == 0
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], ["row", "text"])
+    for size in (1, 50, 1 << 30):
+        assert [r for part in sliced_by_bytes(iter([batch]), 1, size) for r in part.column(0).to_pylist()] == list(range(len(texts)))
