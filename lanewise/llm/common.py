@@ -12,7 +12,6 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,24 +89,6 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
-class WordHashes(dict):
-    """64-bit hash of a word (bytes), remembered for the frequent ones."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def split_words(text: bytes | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case: exactly what these bytes methods do."""
-    return text.lower().split() if text else []
-
-
 def sliced_by_bytes(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts take about ``size`` bytes together; a longer text stands alone or ends a run."""
     for batch in batches:
@@ -151,7 +132,10 @@ def _hash_words(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
 
 
 def word_hashes(texts: pa.Array, last: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts (as ``split_words``), each text closed by ``last``, and their number by text."""
+    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` (A-Z in lower case) of all texts, and their number by text.
+
+    Each text is closed by ``last``, which is no word.
+    """
     plain = pc.ascii_lower(pc.fill_null(texts.cast(pa.binary()), b"").view(pa.string()))
     cut = pc.ascii_split_whitespace(plain)
     words = cut.flatten()
@@ -172,21 +156,27 @@ def word_hashes(texts: pa.Array, last: bytes) -> tuple[np.ndarray, np.ndarray]:
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(words: list[bytes], size: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``size``-word shingles.
+def shingles(h: np.ndarray, size: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the ``size``-word shingles of a text whose words have the hashes ``h``.
 
     Fewer words than ``size`` make one shingle; no words, none.
     """
-    if not words:
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = hashes.of(words)
-    width = min(size, len(words))
+    width = min(size, len(h))
     value = np.full(len(h) - width + 1, np.uint64(width))
     for i in range(width):
         value = value * _BASE + h[i : len(h) - width + 1 + i]
     return np.unique(mix(value))
 
 
+def text_shingles(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """The shingles of each text."""
+    h, lengths = word_hashes(texts, b"\n")
+    for end, length in zip(np.cumsum(lengths).tolist(), lengths.tolist(), strict=True):
+        yield shingles(h[end - length : end - 1], size)
+
+
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): root is the smallest node reached.
 

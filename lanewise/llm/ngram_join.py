@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lanewise.llm.common import WordHashes, connected, keep_ids, mix, shingles, shuffles_dropped, sliced, split_words, staged, worker_cache
+from lanewise.llm.common import connected, keep_ids, mix, shuffles_dropped, sliced, sliced_by_bytes, staged, text_shingles, worker_cache
 
 _FLUSH = 700_000
 _MASK = (1 << 64) - 1
@@ -51,6 +51,7 @@ _HOT = 16  # rows that share a block value; in more, documents that can spare it
 _TILE = 512  # rows of a tile
 _TILE_GRAMS = 1_000_000  # n-grams of a tile: tiles of long documents have fewer rows
 _SETS_HELD = 8 << 20  # bytes of sets that a worker remembers
+_TEXT_BYTES = 1 << 20  # text cut into words at a time
 _COLUMNS = 4_096  # columns multiplied at a time
 
 
@@ -111,7 +112,6 @@ def signatures(h: np.ndarray, bounds: Bounds) -> tuple[np.ndarray, int]:
 def _emit(size: int, share: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds, seen = Bounds(share), set()
-        hashes = worker_cache().setdefault("words", WordHashes())
         sigs, nodes, waiting = [], [], 0
 
         def rows(columns: dict) -> pa.RecordBatch:
@@ -143,10 +143,9 @@ def _emit(size: int, share: int, buckets: int):
                         out[name].append(x[lo:hi].tobytes())
             return rows(out)
 
-        for k, batch in enumerate(sliced(batches)):
+        for k, batch in enumerate(sliced_by_bytes(batches, 1, _TEXT_BYTES)):
             ids, known, sizes, slacks, prints = [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = shingles(split_words(text), size, hashes)
+            for doc, h in zip(batch.column(0).to_pylist(), text_shingles(batch.column(1), size), strict=True):
                 mark = xxhash.xxh3_128_digest(h.tobytes())
                 ids.append(doc or 0)
                 known.append(doc is not None)
@@ -243,11 +242,10 @@ class _Sets(dict):
     def __init__(self, size: int):
         super().__init__()
         self.size, self.held = size, 0
-        self.hashes = worker_cache().setdefault("words", WordHashes())
         self.unpack = zstandard.ZstdDecompressor().decompress
 
     def __missing__(self, packed: bytes) -> np.ndarray:
-        found = shingles(split_words(self.unpack(packed)), self.size, self.hashes)
+        found = next(text_shingles(pa.array([self.unpack(packed)], pa.binary()), self.size))
         if self.held > _SETS_HELD:
             self.clear()
             self.held = 0
