@@ -130,10 +130,12 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 1, divisor: int =
 
     sample = some(1, TOXIC_ROWS).union(some(0, OTHER_ROWS))
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    taken = texts.select("toxic", "text").mapInArrow(_slots, "toxic int, slots binary").collect()
-    toxic, rows = np.array([r.toxic for r in taken]), [np.frombuffer(r.slots, np.uint32) for r in taken]
-    del taken
-    return fit(rows, toxic)
+    toxic, rows = [], []
+    # one partition at a time, so that the driver holds the sample's slots once
+    for r in texts.select("toxic", "text").mapInArrow(_slots, "toxic int, slots binary").toLocalIterator():
+        toxic.append(r.toxic)
+        rows.append(np.frombuffer(r.slots, np.uint32))
+    return fit(rows, np.array(toxic))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: int = 1, divisor: int = 3) -> DataFrame:
