@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lanewise import schema as S
+from lanewise.functions.money import profit
+from lanewise.functions.predicates import is_main, same_market
+from lanewise.operators.orders import select_financial_rows
+from lanewise.operators.rollups import order_partials, quantile_partials
+from lanewise.plans.lanes import delivered_between
 from lanewise.session import shared_folder
 from lanewise.sources import star_schema
 from lanewise.sources.by_order import OrderLegs, stage_by_order, stage_orders_by_code
@@ -70,6 +75,23 @@ class Tables:
         path = self.folder("code_orders")
         return stage_orders_by_code(self.orders, path, f"code_orders_{path[-12:]}", self.buckets)
 
+    @cached_property
+    def market_orders(self) -> DataFrame:
+        """Orders of each market and delivery day within markets, as bits; staged once per session."""
+        rows = delivered_between(self.legs, FIRST, LAST).where(same_market())
+        chosen = select_financial_rows(rows, columns=["startMarket", "delivered_ts", "orderCode"])
+        return self._written("market_orders", order_partials(chosen, ["startMarket"], "delivered_ts"))
+
+    @cached_property
+    def profit_sketches(self) -> DataFrame:
+        """Sketches of the header rows' profit by client and pickup day; staged once per session."""
+        return self._written("profit_sketches", quantile_partials(self.legs.where(is_main()), profit(raw=True), ["clientName"], "pick_from_ts"))
+
+    def _written(self, name: str, df: DataFrame) -> DataFrame:
+        path = self.folder(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     @cached_property
     def files(self) -> str:
         """Tables as they come from outside: legs and routes in Parquet, orders and names in CSV; written once per session."""

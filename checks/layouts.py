@@ -6,6 +6,7 @@ from checks import aggregates, lanes, rows  # noqa: F401  (they register the kno
 from checks.base import CASES, FIRST, LAST, another_way, case
 from lanewise import schema as S
 from lanewise.operators import orders as R
+from lanewise.operators.rollups import distinct_orders, sketched_quantiles
 from lanewise.plans.lanes import profit_by_lane
 
 # ---- legs in buckets of their order ------------------------------------------------
@@ -31,3 +32,28 @@ case(
     "SELECT * FROM legs QUALIFY count(*) OVER (PARTITION BY warpId) = 1",  # changes go by leg id, which has to be unique
 )(lambda x: x.merged_legs.select(*S.LEGS.names))
 another_way("o11_profit_by_lane_after_changes", "o11_profit_by_lane_all")(lambda x: profit_by_lane(x.merged_legs, FIRST, LAST))
+
+# ---- partials by day -------------------------------------------------------------------
+_WITHIN = lanes.rows_sql(f"{lanes.DELIVERED} AND {lanes.SAME_MARKET}", "All")
+case("o16_within_market_orders_once", "order_count i", f"SELECT count(DISTINCT orderCode) AS order_count FROM ({_WITHIN})")(
+    lambda x: distinct_orders(x.market_orders)
+)
+for _grain in ("day", "week", "month", "quarter"):
+    case(
+        f"a03_orders_once_by_{_grain}",
+        "period day, order_count i",
+        f"SELECT date_trunc('{_grain}', delivered) AS period, count(DISTINCT orderCode) AS order_count FROM ({_WITHIN}) GROUP BY 1",
+    )(lambda x, grain=_grain: distinct_orders(x.market_orders, grain=grain))
+case(
+    "a03_market_orders_by_quarter",
+    "startMarket s, period day, order_count i",
+    f"""SELECT startMarket, date_trunc('quarter', delivered) AS period, count(DISTINCT orderCode) AS order_count
+        FROM ({_WITHIN}) GROUP BY 1, 2""",
+)(lambda x: distinct_orders(x.market_orders, ["startMarket"], "quarter"))
+# quantiles within the stated error are tested; what a sketch holds exactly has SQL
+case(
+    "o36_sketched_profit",
+    "clientName s, period day, n i, least r, greatest r",
+    """SELECT clientName, date_trunc('month', pf) AS period, count(*) AS n, min(rev - cost) AS least, max(rev - cost) AS greatest
+       FROM t WHERE mainShipment = 'YES' AND rev - cost IS NOT NULL GROUP BY 1, 2""",
+)(lambda x: sketched_quantiles(x.profit_sketches, ["clientName"], "month"))
