@@ -87,6 +87,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # the worker waits for its next task without them
 
 
 def sliced_by_bytes(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -96,6 +97,7 @@ def sliced_by_bytes(batches: Iterator[pa.RecordBatch], column: int, size: int) -
         cuts = np.flatnonzero(np.diff(before // size)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(lo, hi - lo)
+    pa.default_memory_pool().release_unused()
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -467,8 +467,8 @@ def _components(docs: DataFrame, size: int, share: int, id_col: str, text_col: s
     alone = group.groupBy("rows", "lo", "hi", "all").agg(F.min("sig").alias("sig")).select("sig")
     open_rows = staged(meets.join(alone, "sig", "left_semi"), "meets")
     nodes = staged(open_rows.select("node").distinct(), "nodes")
-    needed = keep_ids(rows.withColumnRenamed("doc_id", "node"), nodes, "node").distinct()
-    texts = staged(needed.mapInArrow(_packed, "node long, text binary"), "texts")
+    needed = keep_ids(rows.withColumnRenamed("doc_id", "node"), nodes, "node")
+    texts = staged(needed.mapInArrow(_packed, "node long, text binary").distinct(), "texts")  # equal texts pack alike
 
     labels = nodes.select("node", F.col("node").alias("comp"))
     links = staged(again, "links")
