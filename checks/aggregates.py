@@ -34,7 +34,7 @@ case(
     """SELECT carrierName, count(*) FILTER (WHERE pickTimeArrived <> '' AND pa <= pt) AS on_time,
          count(*) FILTER (WHERE pickTimeArrived <> '') AS measured FROM t GROUP BY 1""",
 )(
-    lambda x: x.legs.groupBy("carrierName").agg(
+    lambda x: x.typed.groupBy("carrierName").agg(
         M.count_if(is_present("pickTimeArrived") & in_time("pick", True)).alias("on_time"),
         M.count_if(is_present("pickTimeArrived")).alias("measured"),
     )
@@ -44,7 +44,7 @@ case(
     "carrierName s, orders i, legs i, revenue d",
     """SELECT carrierName, count(DISTINCT orderCode) AS orders, count(*) AS legs, sum(rev) AS revenue FROM t GROUP BY 1""",
 )(
-    lambda x: x.legs.groupBy("carrierName").agg(
+    lambda x: x.typed.groupBy("carrierName").agg(
         F.count_distinct("orderCode").alias("orders"), F.count(F.lit(1)).alias("legs"), F.sum(rev()).alias("revenue")
     )
 )
@@ -56,20 +56,20 @@ for _name, _sql, _sum in (
     ("a06_sum_pos", "sum(greatest(coalesce(rev, 0), 0))", lambda: M.sum_pos(rev())),
 ):
     case(_name, "startMarket s, total d", f"SELECT startMarket, {_sql} AS total FROM t GROUP BY 1")(
-        lambda x, total=_sum: x.legs.groupBy("startMarket").agg(total().alias("total"))
+        lambda x, total=_sum: x.typed.groupBy("startMarket").agg(total().alias("total"))
     )
 case(
     "a08_filter_after_aggregate",
     "clientName s, rows i",
     "SELECT clientName, count(*) AS rows FROM t GROUP BY 1 HAVING count(*) > 50",
-)(lambda x: ST.distribution(x.legs, "clientName").withColumnRenamed("count", "rows").where("rows > 50"))
+)(lambda x: ST.distribution(x.typed, "clientName").withColumnRenamed("count", "rows").where("rows > 50"))
 case(
     "a09_ratio_of_sums",
     "shipmentType s, on_time_pct d",
     f"""SELECT shipmentType, {pct('on_time', 'n')} AS on_time_pct
         FROM (SELECT shipmentType, count(*) AS n, count(*) FILTER (WHERE pa < pt) AS on_time FROM t GROUP BY 1)""",
 )(
-    lambda x: x.legs.groupBy("shipmentType")
+    lambda x: x.typed.groupBy("shipmentType")
     .agg(F.count(F.lit(1)).alias("n"), M.count_if(in_time("pick", False)).alias("on_time"))
     .select("shipmentType", M.percent(F.col("on_time"), F.col("n")).alias("on_time_pct"))
 )
@@ -79,7 +79,7 @@ case(
     f"""SELECT clientName, {pct('profit', 'revenue')} AS margin_pct
         FROM (SELECT clientName, sum(rev - cost) AS profit, sum(rev) AS revenue FROM t GROUP BY 1)""",
 )(
-    lambda x: x.legs.groupBy("clientName")
+    lambda x: x.typed.groupBy("clientName")
     .agg(F.sum(M.profit(raw=True)).alias("profit"), F.sum(rev()).alias("revenue"))
     .select("clientName", M.percent(F.col("profit"), F.col("revenue")).alias("margin_pct"))
 )
@@ -87,7 +87,7 @@ case(
     "a12_value_counts",
     "value s, count i",
     "SELECT coalesce(nullif(deliveryDelayCode, ''), 'No Code') AS value, count(*) AS count FROM t GROUP BY 1",
-)(lambda x: ST.value_counts(x.legs, F.coalesce(F.nullif("deliveryDelayCode", F.lit("")), F.lit("No Code"))))
+)(lambda x: ST.value_counts(x.typed, F.coalesce(F.nullif("deliveryDelayCode", F.lit("")), F.lit("No Code"))))
 
 # ---- statistics --------------------------------------------------------------------
 case(
@@ -97,7 +97,7 @@ case(
          coalesce(covar_pop(rev::DOUBLE, pieces) ** 2 / nullif(var_pop(pieces) * var_pop(rev::DOUBLE), 0), 0) AS r2
        FROM t WHERE rev IS NOT NULL GROUP BY 1""",
 )(
-    lambda x: x.legs.groupBy("carrierName").agg(
+    lambda x: x.typed.groupBy("carrierName").agg(
         ST.slope(rev().cast("double"), F.col("pieces")).alias("slope"),
         ST.r_squared(rev().cast("double"), F.col("pieces")).alias("r2"),
     )
@@ -108,7 +108,7 @@ case(
     """SELECT carrierName, avg(if(p > 0, c / p, 0)) AS mean_cost_per_piece FROM (
          SELECT carrierName, shipmentType, sum(cost)::DOUBLE AS c, sum(pieces)::DOUBLE AS p FROM t GROUP BY 1, 2) GROUP BY 1""",
 )(
-    lambda x: x.legs.groupBy("carrierName", "shipmentType")
+    lambda x: x.typed.groupBy("carrierName", "shipmentType")
     .agg(F.sum(cost()).alias("c"), F.sum("pieces").alias("p"))
     .groupBy("carrierName")
     .agg(F.avg(M.ratio_or_zero(F.col("c"), F.col("p"))).alias("mean_cost_per_piece"))
@@ -129,14 +129,14 @@ def _stats(value: str, group: str = "") -> str:
 _STATS_COLUMNS = "n i, mean r, std r, variance r, weighted_mean r, p10 r, p50 r, p90 r"
 _A16 = "n i, mean r, std r, p10 r, p50 r, p90 r"
 case("a16_metric_stats", "clientName s, " + _A16, _stats("profit", "clientName"))(
-    lambda x: ST.metric_stats(x.legs.where(is_main()), M.profit(raw=True), ["clientName"], width=100.0)
+    lambda x: ST.metric_stats(x.typed.where(is_main()), M.profit(raw=True), ["clientName"], width=100.0)
 )
 case("o36_metric_stats_overall", _A16, _stats("profit"))(
-    lambda x: ST.metric_stats(x.legs.where(is_main()), M.profit(raw=True), width=500.0)
+    lambda x: ST.metric_stats(x.typed.where(is_main()), M.profit(raw=True), width=500.0)
 )
 case("a17_weighted_average", "equipment s, weighted_mean r", _stats("profit", "equipment"))(
     lambda x: ST.metric_stats(
-        x.legs.where(is_main()), M.profit(raw=True), ["equipment"], weight=F.col("pieces"), quantiles=False
+        x.typed.where(is_main()), M.profit(raw=True), ["equipment"], weight=F.col("pieces"), quantiles=False
     )
 )
 case(
@@ -144,12 +144,12 @@ case(
     "shipmentType s, correlation r",
     """SELECT shipmentType, corr(rev::DOUBLE, cost::DOUBLE) AS correlation FROM t
        WHERE rev IS NOT NULL AND cost IS NOT NULL GROUP BY 1""",
-)(lambda x: ST.metric_corr(x.legs, rev(), cost(), ["shipmentType"]))
+)(lambda x: ST.metric_corr(x.typed, rev(), cost(), ["shipmentType"]))
 
 
 def monthly(x: Tables):
     return ST.by_period(
-        x.legs, "pick_from_ts", "month", ["shipmentType"], profit=F.sum(M.profit()), legs=F.count(F.lit(1))
+        x.typed, "pick_from_ts", "month", ["shipmentType"], profit=F.sum(M.profit()), legs=F.count(F.lit(1))
     )
 
 
@@ -178,20 +178,20 @@ case(
     """SELECT shipmentType, count(*) AS total, count(*) - count(pickTimeArrived) AS missing_pickTimeArrived,
          count(*) - count(dropTimeArrived) AS missing_dropTimeArrived,
          count(*) - count(rev) AS missing_revenueAllocationNumber FROM t GROUP BY 1""",
-)(lambda x: K.completeness(x.legs, by=["shipmentType"]))
+)(lambda x: K.completeness(x.typed, by=["shipmentType"]))
 case(
     "a20_time_coverage",
     "mainShipment s, total i, has_pick_time i, has_drop_time i, pick_pct d, drop_pct d",
     f"""SELECT *, {pct('has_pick_time', 'total')} AS pick_pct, {pct('has_drop_time', 'total')} AS drop_pct FROM (
           SELECT mainShipment, count(*) AS total, count(nullif(pickTimeArrived, '')) AS has_pick_time,
             count(nullif(dropTimeArrived, '')) AS has_drop_time FROM t GROUP BY 1)""",
-)(lambda x: K.time_coverage(x.legs))
+)(lambda x: K.time_coverage(x.typed))
 for _column in ("shipmentType", "equipment", "mainShipment"):
     case(
         f"a21_distribution_{_column.lower()}",
         f"{_column} s, count i",
         f"SELECT {_column}, count(*) AS count FROM t GROUP BY 1",
-    )(lambda x, c=_column: ST.distribution(x.legs, c))
+    )(lambda x, c=_column: ST.distribution(x.typed, c))
 case(
     "k01_check_margin",
     "orderCode s, margin_pct d, margin_extreme b, margin_unusual b",
@@ -202,7 +202,7 @@ case(
           FROM t GROUP BY 1))""",
 )(
     lambda x: K.check_margin(
-        x.legs.groupBy("orderCode").agg(M.sum0(rev()).alias("revenue"), F.sum(M.profit()).alias("profit")),
+        x.typed.groupBy("orderCode").agg(M.sum0(rev()).alias("revenue"), F.sum(M.profit()).alias("profit")),
         "revenue",
         "profit",
     )
@@ -211,20 +211,20 @@ case(
     "k02_check_revenue",
     "revenue_unusual b, rows i",
     "SELECT coalesce(rev < 50 OR rev > 10000, false) AS revenue_unusual, count(*) AS rows FROM t GROUP BY 1",
-)(lambda x: K.check_revenue(x.legs).groupBy("revenue_unusual").agg(F.count(F.lit(1)).alias("rows")))
+)(lambda x: K.check_revenue(x.typed).groupBy("revenue_unusual").agg(F.count(F.lit(1)).alias("rows")))
 case(
     "k03_zero_cost_share",
     "shipmentType s, rows i, zero_cost_rows i, zero_cost_pct d",
     f"""SELECT *, {pct('zero_cost_rows', 'rows')} AS zero_cost_pct FROM (
           SELECT shipmentType, count(*) AS rows, count(*) FILTER (WHERE coalesce(cost, 0) = 0) AS zero_cost_rows
           FROM t GROUP BY 1)""",
-)(lambda x: K.zero_cost_share(x.legs, ["shipmentType"]))
+)(lambda x: K.zero_cost_share(x.typed, ["shipmentType"]))
 case(
     "k04_crowded_orders",
     "orderCode s, shipmentType s, total_rows i",
     """SELECT orderCode, shipmentType, count(*) AS total_rows FROM t WHERE orderCode <> '' GROUP BY ALL
        HAVING (shipmentType = 'Less Than Truckload' AND count(*) > 8) OR (shipmentType = 'Full Truckload' AND count(*) > 5)""",
-)(lambda x: K.crowded_orders(x.legs, {"Less Than Truckload": 8, "Full Truckload": 5}))
+)(lambda x: K.crowded_orders(x.typed, {"Less Than Truckload": 8, "Full Truckload": 5}))
 case(
     "k05_low_rates",
     SUMMARY_COLUMNS + ", otp_low b, otd_low b",
@@ -238,7 +238,7 @@ case(
          coalesce(abs(legs_revenue - o.revenue) > 0.01 OR abs(legs_cost - o.cost) > 0.01, true) AS mismatch
        FROM orders_fin AS o JOIN (SELECT orderCode, sum(coalesce(rev, 0)) AS legs_revenue, sum(coalesce(cost, 0)) AS legs_cost
                                   FROM t GROUP BY 1) ON orderCode = code""",
-)(lambda x: K.cross_validate(x.orders, x.legs))
+)(lambda x: K.cross_validate(x.orders, x.typed))
 
 # ---- sources and option lists ------------------------------------------------------------
 _ALL = (
@@ -277,7 +277,7 @@ case(
         "SELECT clientName AS client, count(*) AS legs FROM {legs} WHERE clientName = :client "
         "AND pick_from_ts BETWEEN :first AND :last GROUP BY 1",
         args={"client": CLIENT, "first": FIRST + " 00:00:00", "last": LAST + " 23:59:59"},
-        legs=x.legs,
+        legs=x.typed,
     )
 )
 case(
@@ -288,7 +288,7 @@ case(
          dt AS drop_to_ts, da AS drop_arrived_ts, dd AS drop_departed_ts, bk AS booked_ts,
          try_strptime(dropDateArrived, '%m/%d/%Y') AS drop_date, delivered AS delivered_ts,
          date_trunc('month', pf) AS pick_month FROM t""",
-)(lambda x: x.legs)
+)(lambda x: x.typed)
 case(
     "s07_coerce_numeric",
     "routeId s, transitCost d",
@@ -297,7 +297,7 @@ case(
 def exported(x: Tables):
     """The client report written as CSV under its headings and read from there."""
     path = x.folder("export")
-    reports.write_report(reports.with_headings(client_detail(x.legs, CLIENT, FIRST, LAST), "client_detail"), path)
+    reports.write_report(reports.with_headings(client_detail(x.typed, CLIENT, FIRST, LAST), "client_detail"), path)
     shown = x.spark.read.option("header", True).csv(path)
     return shown.select(F.col("Order Code").alias("order_code"), F.col("Warp ID").alias("leg_id"), F.col("OTP Status").alias("otp_status"))
 
@@ -315,16 +315,16 @@ case(
     "s10_distinct_clients",
     "clientName s",
     "SELECT DISTINCT clientName FROM legs WHERE clientName IS NOT NULL",
-)(lambda x: choices.distinct_clients(x.legs))
+)(lambda x: choices.distinct_clients(x.typed))
 case(
     "s10_distinct_customers",
     "clientName s",
     "SELECT DISTINCT clientName FROM legs WHERE clientName <> '' ORDER BY clientName",
-)(lambda x: choices.distinct_customers(x.legs))
+)(lambda x: choices.distinct_customers(x.typed))
 _LANES = "SELECT DISTINCT startMarket || ' → ' || endMarket AS lane FROM legs WHERE startMarket <> '' AND endMarket <> ''"
-case("s10_distinct_lanes", "lane s", f"{_LANES} ORDER BY lane")(lambda x: choices.distinct_lanes(x.legs))
+case("s10_distinct_lanes", "lane s", f"{_LANES} ORDER BY lane")(lambda x: choices.distinct_lanes(x.typed))
 case("u01_lanes_of_customer", "lane s", f"{_LANES} AND clientName = '{CLIENT}' ORDER BY lane")(
-    lambda x: choices.distinct_lanes(x.legs, CLIENT)
+    lambda x: choices.distinct_lanes(x.typed, CLIENT)
 )
 case(
     "u02_union_of_type_rules",
@@ -333,7 +333,7 @@ case(
         FROM ({rows_sql("shipmentStatus = 'Complete'", "All")}) GROUP BY 1""",
 )(
     lambda x: select_financial_rows(
-        x.legs.where(P.is_complete()), columns=["orderCode", "warpId", "shipmentType", M.REVENUE]
+        x.typed.where(P.is_complete()), columns=["orderCode", "warpId", "shipmentType", M.REVENUE]
     )
     .groupBy("shipmentType")
     .agg(F.count(F.lit(1)).alias("rows"), F.sum(rev()).alias("revenue"))

@@ -34,7 +34,7 @@ TRANSIT_SQL = f"""
 
 
 def transit(x: Tables):
-    return C.carrier_transit(x.legs, x.routes, CARRIER, FIRST, LAST)
+    return C.carrier_transit(x.typed, x.routes, CARRIER, FIRST, LAST)
 
 
 case(
@@ -87,7 +87,7 @@ case(
           FROM ({first_stop_sql('pick', f"{_DONE['pick']} AND {_TIMED['pick']} AND carrierName = '{CARRIER}' "
                                 "AND pf >= DATE '1997-01-01' AND pf < DATE '1998-01-01'")})
           GROUP BY 1)""",
-)(lambda x: C.carrier_otp(x.legs, CARRIER, FIRST, "1998-01-01"))
+)(lambda x: C.carrier_otp(x.typed, CARRIER, FIRST, "1998-01-01"))
 
 case(
     "o26_carrier_otd",
@@ -97,7 +97,7 @@ case(
           FROM ({first_stop_sql('drop', f"{_DONE['drop']} AND {_TIMED['drop']} AND carrierName = '{CARRIER}' "
                                 "AND df >= DATE '1997-01-01' AND df < DATE '1998-01-01'")})
           GROUP BY 1)""",
-)(lambda x: C.carrier_otd(x.legs, CARRIER, FIRST, "1998-01-01"))
+)(lambda x: C.carrier_otd(x.typed, CARRIER, FIRST, "1998-01-01"))
 
 case(
     "o30_site_otd",
@@ -107,7 +107,7 @@ case(
           FROM ({first_stop_sql('drop', f"{_DONE['drop']} AND {_TIMED['drop']} "
                                 "AND regexp_matches(dropLocationName, 'Door[Dd]ash')")})
           GROUP BY 1, 2)""",
-)(lambda x: C.site_otd(x.legs, CLIENT))
+)(lambda x: C.site_otd(x.typed, CLIENT))
 
 for _id, _side, _dedup in (("w03", "pick", D.dedup_pickups), ("w04", "drop", D.dedup_deliveries)):
     case(
@@ -116,7 +116,7 @@ for _id, _side, _dedup in (("w03", "pick", D.dedup_pickups), ("w04", "drop", D.d
         first_stop_sql(_side, "shipmentStatus = 'Complete'"),
     )(
         lambda x, dedup=_dedup: dedup(
-            x.legs.where("shipmentStatus = 'Complete'"), ["warpId", "carrierName", "shipmentType"]
+            x.typed.where("shipmentStatus = 'Complete'"), ["warpId", "carrierName", "shipmentType"]
         )
     )
 
@@ -130,19 +130,19 @@ case(
     "w05_flag_dedup",
     "warpId s, keep_for_pickup b, keep_for_delivery b",
     f"SELECT warpId, {_kept('pick', 'pa')} AS keep_for_pickup, {_kept('drop', 'da')} AS keep_for_delivery FROM t",
-)(lambda x: D.flag_dedup(x.legs.select("warpId", "loadId", "carrierName", "pickLocationName", "dropLocationName",
+)(lambda x: D.flag_dedup(x.typed.select("warpId", "loadId", "carrierName", "pickLocationName", "dropLocationName",
                                         "pick_arrived_ts", "drop_arrived_ts")))
 
 case(
     "r03_perspective_customer",
     "warpId s, mainShipment s",
     "SELECT warpId, mainShipment FROM legs WHERE mainShipment = 'YES' AND shipmentStatus = 'Complete'",
-)(lambda x: R.perspective(x.legs, "customer", columns=["warpId", "mainShipment"]))
+)(lambda x: R.perspective(x.typed, "customer", columns=["warpId", "mainShipment"]))
 case(
     "r03_perspective_carrier",
     "warpId s, mainShipment s",
     first_stop_sql("pick", f"{_DONE['pick']} AND pickTimeArrived IS NOT NULL"),
-)(lambda x: R.perspective(x.legs, "carrier", "pick", ["warpId", "mainShipment"]))
+)(lambda x: R.perspective(x.typed, "carrier", "pick", ["warpId", "mainShipment"]))
 
 case(
     "r04_carrier_shipment_count",
@@ -156,5 +156,5 @@ case(
          SELECT * FROM t WHERE shipmentType = 'Full Truckload' AND (shipmentStatus = 'Complete' OR pickStatus = 'Succeeded')
          QUALIFY row_number() OVER (PARTITION BY loadId, carrierName, pickLocationName, pa::DATE) = 1) GROUP BY ALL""",
 )(
-    lambda x: R.carrier_shipment_count(x.legs)
+    lambda x: R.carrier_shipment_count(x.typed)
 )

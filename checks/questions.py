@@ -27,7 +27,7 @@ case(
             AND dropTimeArrived IS NOT NULL AND dropWindowTo IS NOT NULL
             AND yearweek(df) = yearweek(DATE '{BUSY}' - INTERVAL 7 DAY)
           GROUP BY ALL)""",
-)(lambda x: Q.customer_otd_by_lane_equipment(x.legs, CLIENT, BUSY))
+)(lambda x: Q.customer_otd_by_lane_equipment(x.typed, CLIENT, BUSY))
 
 _ORDER_MONEY = """count(DISTINCT {code}) AS order_count, sum({r}) AS total_revenue, sum({c}) AS total_cost,
     sum({r} - {c}) AS total_profit"""
@@ -48,7 +48,7 @@ case(
     f"""SELECT *, {_MARGIN} FROM (SELECT shipmentType AS shipment_type, {_FROM_LEGS} FROM t
         WHERE clientName = '{CLIENT}' AND mainShipment = 'YES' AND shipmentStatus = 'Complete' AND {last_month('df')}
         GROUP BY 1)""",
-)(lambda x: Q.customer_profit_legs(x.legs, CLIENT, AS_OF))
+)(lambda x: Q.customer_profit_legs(x.typed, CLIENT, AS_OF))
 
 _LANE_GROUP = "startMarket || ' → ' || endMarket AS lane"
 _TOP = "ORDER BY total_profit DESC, lane, shipment_type LIMIT 20"
@@ -62,20 +62,20 @@ for _name in ("o31_lane_profit_orders", "t06_top_lanes"):
             JOIN (SELECT orderCode, {_LANE_GROUP} FROM t WHERE mainShipment = 'YES' AND {LANE} AND {last_month('df')}) AS h
               ON h.orderCode = o.code
             WHERE o.status = 'Complete' GROUP BY 1, 2 {_TOP}""",
-    )(lambda x: Q.lane_profit_orders(x.orders, x.legs, AS_OF))
+    )(lambda x: Q.lane_profit_orders(x.orders, x.typed, AS_OF))
 case(
     "o32_lane_profit_legs",
     "lane s, shipment_type s, " + _MONEY_COLUMNS + ", margin_pct d",
     f"""SELECT *, {_MARGIN} FROM (SELECT {_LANE_GROUP}, shipmentType AS shipment_type, {_FROM_LEGS} FROM t
         WHERE mainShipment = 'YES' AND shipmentStatus = 'Complete' AND {LANE} AND {last_month('df')} GROUP BY 1, 2)
         {_TOP}""",
-)(lambda x: Q.lane_profit_legs(x.legs, AS_OF))
+)(lambda x: Q.lane_profit_legs(x.typed, AS_OF))
 case(
     "o33_booked_by_rep",
     "rep s, booked_date day, shipment_type s, shipment_count i",
     f"""SELECT carrierSaleRep AS rep, bk::DATE AS booked_date, shipmentType AS shipment_type, count(*) AS shipment_count
         FROM t WHERE carrierSaleRep = '{REP}' AND loadBookedTime <> '' AND bk::DATE = DATE '{AS_OF}' GROUP BY ALL""",
-)(lambda x: Q.booked_by_rep(x.legs, REP, AS_OF))
+)(lambda x: Q.booked_by_rep(x.typed, REP, AS_OF))
 
 case(
     "o34_vs_target",

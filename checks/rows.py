@@ -23,19 +23,19 @@ case(
     "a01_order_row_counts",
     "orderCode s, total_rows i, yes_count i, no_count i",
     f"SELECT orderCode, {_COUNTS} FROM legs GROUP BY orderCode",
-)(lambda x: R.order_row_counts(x.legs))
+)(lambda x: R.order_row_counts(x.typed))
 case(
     "a01_order_row_counts_by_type",
     "orderCode s, shipmentType s, total_rows i, yes_count i, no_count i",
     f"SELECT orderCode, shipmentType, {_COUNTS} FROM legs GROUP BY ALL",
-)(lambda x: R.order_row_counts(x.legs, by_type=True))
+)(lambda x: R.order_row_counts(x.typed, by_type=True))
 case(
     "w08_rows_with_order_total",
     "shipmentType s, total_rows i, rows i",
     """SELECT shipmentType, total_rows, count(*) AS rows
        FROM (SELECT shipmentType, count(*) OVER (PARTITION BY orderCode) AS total_rows FROM legs) GROUP BY ALL""",
 )(
-    lambda x: J.with_order_counts(x.legs.select("orderCode", "warpId", "shipmentType"), R.order_row_counts(x.legs))
+    lambda x: J.with_order_counts(x.typed.select("orderCode", "warpId", "shipmentType"), R.order_row_counts(x.typed))
     .groupBy("shipmentType", "total_rows")
     .agg(F.count(F.lit(1)).alias("rows"))
 )
@@ -43,7 +43,7 @@ case(
     "j02_legs_with_order_counts",
     "warpId s, total_rows i, no_count i",
     f"SELECT warpId, total_rows, no_count FROM legs JOIN (SELECT orderCode, {_COUNTS} FROM legs GROUP BY 1) USING (orderCode)",
-)(lambda x: J.with_order_counts(x.legs.select("orderCode", "warpId"), R.order_row_counts(x.legs)))
+)(lambda x: J.with_order_counts(x.typed.select("orderCode", "warpId"), R.order_row_counts(x.typed)))
 case(
     "r02_classify_order",
     "orderCode s, shipmentType s, shape s",
@@ -54,7 +54,7 @@ case(
        FROM (SELECT orderCode, shipmentType, count(*) AS rows, count(DISTINCT loadId) AS loads,
                count(*) FILTER (WHERE mainShipment = 'YES') AS yes_rows, count(*) FILTER (WHERE mainShipment = 'NO') AS no_rows
              FROM legs WHERE orderCode <> '' AND shipmentType LIKE '%Truckload' GROUP BY ALL)""",
-)(lambda x: R.classify_order(x.legs))
+)(lambda x: R.classify_order(x.typed))
 
 # ---- money per order ------------------------------------------------------------
 _XD2 = "coalesce(pickLocationName = dropLocationName AND contains(pickLocationName, 'WTCH-'), false)"
@@ -67,7 +67,7 @@ case(
     "r05_ltl_order_revenue",
     "orderCode s, header_revenue d, leg_revenue d, revenue d",
     f"SELECT *, if(header_revenue > 0, header_revenue, leg_revenue) AS revenue FROM ({_LTL_MONEY})",
-)(lambda x: R.ltl_order_revenue(x.legs))
+)(lambda x: R.ltl_order_revenue(x.typed))
 case(
     "r06_ltl_order_pieces",
     "orderCode s, pieces i",
@@ -75,12 +75,12 @@ case(
           SELECT orderCode, coalesce(sum(pieces) FILTER (WHERE mainShipment = 'YES'), 0) AS h,
             coalesce(sum(pieces) FILTER (WHERE rev > 0 AND NOT {_XD2}), 0) AS l
           FROM t WHERE shipmentType = 'Less Than Truckload' AND orderCode <> '' GROUP BY 1)""",
-)(lambda x: R.ltl_order_pieces(x.legs))
+)(lambda x: R.ltl_order_pieces(x.typed))
 case(
     "r07_order_cost",
     "orderCode s, cost d",
     "SELECT orderCode, coalesce(sum(cost), 0) AS cost FROM t WHERE orderCode <> '' GROUP BY 1",
-)(lambda x: R.order_cost(x.legs))
+)(lambda x: R.order_cost(x.typed))
 _FTL_SQL = f"""
   SELECT orderCode, sum(coalesce(rev, 0)) AS revenue, sum(coalesce(cost, 0)) AS cost,
     sum(coalesce(rev, 0)) - sum(coalesce(cost, 0)) AS profit,
@@ -93,7 +93,7 @@ for _suffix, _only in (("", False), ("_market_only", True)):
         f"r08_ftl_order_pnl{_suffix}",
         "orderCode s, revenue d, cost d, profit d, pieces i, touches_market b",
         f"SELECT * FROM ({_FTL_SQL}) {'WHERE touches_market' if _only else ''}",
-    )(lambda x, only=_only: R.ftl_order_pnl(x.legs, market_only=only))
+    )(lambda x, only=_only: R.ftl_order_pnl(x.typed, market_only=only))
 case(
     "r09_ftl_market_split",
     "orderCode s, market s, legs i, pieces i, revenue d, cost d",
@@ -101,7 +101,7 @@ case(
           sum(coalesce(rev, 0)) AS revenue, sum(coalesce(cost, 0)) AS cost
         FROM t WHERE shipmentType = 'Full Truckload' AND orderCode <> '' AND mainShipment = 'YES' AND {ONE_XDOCK}
           AND {MARKET} IS NOT NULL GROUP BY 1, 2""",
-)(lambda x: R.ftl_market_split(x.legs))
+)(lambda x: R.ftl_market_split(x.typed))
 case(
     "r10_revenue_pattern",
     "pattern s, orders i, share_pct d",
@@ -111,7 +111,7 @@ case(
               WHEN leg_revenue = 0 THEN 'legs zero' ELSE 'different' END AS pattern,
             count(*) AS orders, (SELECT count(*) FROM ({_LTL_MONEY})) AS everything
           FROM ({_LTL_MONEY}) GROUP BY 1)""",
-)(lambda x: R.revenue_pattern(x.legs))
+)(lambda x: R.revenue_pattern(x.typed))
 
 
 def _overlap(side: str) -> str:
@@ -129,7 +129,7 @@ case(
     "r11_dedup_overlap",
     "side s, orders i, matching i, match_pct d",
     f"SELECT *, {pct('matching', 'orders')} AS match_pct FROM ({_overlap('pick')} UNION ALL {_overlap('drop')})",
-)(lambda x: R.dedup_overlap(x.legs))
+)(lambda x: R.dedup_overlap(x.typed))
 case(
     "r12_orders_pnl",
     "code s, customerName s, shipmentType s, status s, revenue d, cost d, profit d",
@@ -143,40 +143,40 @@ _CLIENT_ORDERS = f"""SELECT orderCode FROM t WHERE clientName = 'DoorDash' AND m
 
 def client_orders(x: Tables):
     wanted = P.client_is("DoorDash") & P.is_main() & P.is_complete() & P.pick_day_between(FIRST, LAST)
-    return x.legs.where(wanted).select("orderCode")
+    return x.typed.where(wanted).select("orderCode")
 
 
 case(
     "j04_legs_of_orders",
     "orderCode s, warpId s",
     f"SELECT orderCode, warpId FROM legs WHERE orderCode IN ({_CLIENT_ORDERS})",
-)(lambda x: J.legs_of(x.legs.select("orderCode", "warpId"), client_orders(x)))
+)(lambda x: J.legs_of(x.typed.select("orderCode", "warpId"), client_orders(x)))
 case(
     "j05_inherited_codes",
     "orderCode s, first_pick_code s, last_drop_code s",
     f"SELECT * FROM ({LEG_CODES_SQL}) WHERE coalesce(first_pick_code, last_drop_code) IS NOT NULL",
-)(lambda x: D.inherited_codes(x.legs))
+)(lambda x: D.inherited_codes(x.typed))
 case(
     "w01_earliest_pickup_code",
     "orderCode s, first_pick_code s",
     f"""SELECT orderCode, pickupDelayCode AS first_pick_code FROM t
         WHERE pickupDelayCode <> '' AND orderCode <> '' AND {DIFFERENT_PLACES}
         QUALIFY row_number() OVER (PARTITION BY orderCode ORDER BY pf ASC NULLS FIRST, warpId) = 1""",
-)(lambda x: D.earliest_pickup_code(x.legs))
+)(lambda x: D.earliest_pickup_code(x.typed))
 case(
     "w02_latest_dropoff_code",
     "orderCode s, last_drop_code s",
     f"""SELECT orderCode, deliveryDelayCode AS last_drop_code FROM t
         WHERE deliveryDelayCode <> '' AND orderCode <> '' AND {DIFFERENT_PLACES}
         QUALIFY row_number() OVER (PARTITION BY orderCode ORDER BY df DESC NULLS LAST, warpId DESC) = 1""",
-)(lambda x: D.latest_dropoff_code(x.legs))
+)(lambda x: D.latest_dropoff_code(x.typed))
 case(
     "j06_header_order_cost",
     "warpId s, cost d",
     """SELECT h.warpId, c.cost FROM t AS h
        JOIN (SELECT orderCode, coalesce(sum(cost), 0) AS cost FROM t WHERE orderCode <> '' GROUP BY 1) AS c USING (orderCode)
        WHERE h.mainShipment = 'YES'""",
-)(lambda x: J.attach(x.legs.where(P.is_main()).select("orderCode", "warpId"), R.order_cost(x.legs), "orderCode", "inner"))
+)(lambda x: J.attach(x.typed.where(P.is_main()).select("orderCode", "warpId"), R.order_cost(x.typed), "orderCode", "inner"))
 case(
     "j08_orders_with_lane",
     "warpId s, customerName s, orderType s, orderRevenue d, startMarket s, endMarket s",
@@ -184,7 +184,7 @@ case(
        FROM orders_fin AS o JOIN t ON o.code = t.orderCode AND t.mainShipment = 'YES'""",
 )(
     lambda x: J.orders_with_lane(
-        x.orders, x.legs.select("orderCode", "warpId", "mainShipment", "startMarket", "endMarket")
+        x.orders, x.typed.select("orderCode", "warpId", "mainShipment", "startMarket", "endMarket")
     )
 )
 case(
@@ -194,7 +194,7 @@ case(
          legs_cost - o.cost AS cost_diff
        FROM orders_fin AS o JOIN (SELECT orderCode, sum(coalesce(rev, 0)) AS legs_revenue, sum(coalesce(cost, 0)) AS legs_cost
                                   FROM t GROUP BY 1) ON orderCode = code""",
-)(lambda x: J.reconcile_orders(x.orders, x.legs))
+)(lambda x: J.reconcile_orders(x.orders, x.typed))
 case(
     "j10_with_carrier",
     "carrierName s, legs i, known i, balance d",
@@ -202,7 +202,7 @@ case(
        FROM legs LEFT JOIN supplier ON s_name = carrierName GROUP BY 1""",
 )(
     lambda x: J.with_carrier(
-        x.legs.select("carrierName"), x.table("supplier").selectExpr("s_name AS name", "s_acctbal AS balance")
+        x.typed.select("carrierName"), x.table("supplier").selectExpr("s_name AS name", "s_acctbal AS balance")
     )
     .groupBy("carrierName")
     .agg(
@@ -218,7 +218,7 @@ case(
        FROM legs LEFT JOIN customer ON c_name = clientName GROUP BY 1""",
 )(
     lambda x: J.with_client(
-        x.legs.select("clientName"), x.table("customer").selectExpr("c_name AS name", "c_mktsegment AS segment")
+        x.typed.select("clientName"), x.table("customer").selectExpr("c_name AS name", "c_mktsegment AS segment")
     )
     .groupBy("clientName")
     .agg(F.count(F.lit(1)).alias("legs"), F.max("client_segment").alias("segment"))
@@ -230,8 +230,8 @@ case(
        FROM (SELECT orderCode, max(substr(warpId, 3)::BIGINT) AS n FROM legs GROUP BY 1) AS o
        JOIN legs AS l ON substr(l.warpId, 3)::BIGINT = o.n""",
 )(
-    lambda x: x.legs.select(leg_number(F.col("warpId")).alias("leg_number"), "orderCode").join(
-        x.legs.groupBy("orderCode").agg(F.max(leg_number(F.col("warpId"))).alias("leg_number")).select("leg_number"),
+    lambda x: x.typed.select(leg_number(F.col("warpId")).alias("leg_number"), "orderCode").join(
+        x.typed.groupBy("orderCode").agg(F.max(leg_number(F.col("warpId"))).alias("leg_number")).select("leg_number"),
         "leg_number",
     )
 )
@@ -242,13 +242,13 @@ case(
     "code s, leg_number i, warpId s, shipmentType s",
     """SELECT code, legNumber AS leg_number, l.warpId, l.shipmentType
        FROM orders_fin AS o JOIN legs AS l ON substr(l.warpId, 3)::BIGINT = legNumber""",
-)(lambda x: J.orders_with_leg(x.orders, x.legs))
+)(lambda x: J.orders_with_leg(x.orders, x.typed))
 
 
 def shipments(x: Tables):
     """Every leg names the smallest leg id of its order as parent; that one names none."""
-    first = x.legs.groupBy("orderCode").agg(F.min("warpId").alias("parent"))
-    return J.attach(x.legs.select("orderCode", "warpId"), first, "orderCode", "inner").select(
+    first = x.typed.groupBy("orderCode").agg(F.min("warpId").alias("parent"))
+    return J.attach(x.typed.select("orderCode", "warpId"), first, "orderCode", "inner").select(
         "warpId", F.when(F.col("parent") != F.col("warpId"), F.col("parent")).alias("parent")
     )
 
@@ -269,7 +269,7 @@ def shipment_chains(x: Tables):
     number = F.substring("orderCode", 3, 20).cast("bigint")
     before = F.lag("warpId").over(order.orderBy("warpId"))
     round_ = F.when(number % 20 == 0, F.max("warpId").over(order))
-    return x.legs.select("orderCode", "warpId").distinct().select("warpId", F.coalesce(before, round_).alias("parent"))
+    return x.typed.select("orderCode", "warpId").distinct().select("warpId", F.coalesce(before, round_).alias("parent"))
 
 
 case(
@@ -284,9 +284,9 @@ case(
     "s11_explode_route_shipments",
     "routeId s, leg_code s",
     "SELECT loadId AS routeId, unnest([warpId, warpId || '0']) AS leg_code FROM legs",
-)(lambda x: explode_route_shipments(star_schema.route_codes(x.legs)))
+)(lambda x: explode_route_shipments(star_schema.route_codes(x.typed)))
 case(
     "j13_route_membership",
     "routeId s, warpId s, orderCode s",
     "SELECT r.loadId AS routeId, warpId, l.orderCode FROM legs AS r JOIN legs AS l USING (warpId)",
-)(lambda x: J.route_membership(star_schema.route_codes(x.legs), x.legs, ["orderCode"]))
+)(lambda x: J.route_membership(star_schema.route_codes(x.typed), x.typed, ["orderCode"]))

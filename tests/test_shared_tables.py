@@ -6,8 +6,11 @@ import datetime as dt
 
 import pytest
 
+import plans
+from checks import CASES, Tables
 from checks.compare import difference
 
+SF = "/root/testdata/sf0.001"
 DAY = dt.datetime(1997, 3, 4)
 
 
@@ -43,3 +46,13 @@ def test_leg_ids_of_long_keys_are_those_of_the_sql(spark, far_keys):
     legs = star_schema.legs(spark, far_keys).select("warpId", "orderCode")
     assert difference(legs, con, f"WITH {SAMPLE_SQL} SELECT warpId, orderCode FROM legs") is None
     assert legs.select("warpId").distinct().count() == 4
+
+
+def test_a_query_alone_stages_nothing_and_reads_only_its_columns(spark):
+    for name in ("p12_pick_in_year", "a16_metric_stats", "o15_within_market_ftl", "k01_check_margin"):
+        tables = Tables(spark, SF)
+        frame = CASES[name].build(tables)
+        assert "legs" not in vars(tables), name
+        if name == "p12_pick_in_year":
+            scan = plans.text(frame)
+            assert "l_shipdate" in scan and "l_extendedprice" not in scan
