@@ -56,3 +56,13 @@ def test_a_query_alone_stages_nothing_and_reads_only_its_columns(spark):
         if name == "p12_pick_in_year":
             scan = plans.text(frame)
             assert "l_shipdate" in scan and "l_extendedprice" not in scan
+
+
+def test_buckets_hold_only_the_columns_that_the_work_reads(spark):
+    tables = Tables(spark, SF)
+    frame = CASES["a01_order_row_counts_in_buckets"].build(tables)
+    ((columns, made),) = tables._by_order.items()
+    assert columns == ("mainShipment",)
+    assert made.legs.columns == made.hot.columns == ["orderCode", "mainShipment"]
+    assert "legs" not in vars(tables)
+    assert frame.count() == CASES["a01_order_row_counts"].build(tables).count()
