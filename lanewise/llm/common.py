@@ -7,7 +7,6 @@ import tempfile
 import types
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanewise.session import shuffles_dropped  # noqa: F401  (the operators take it from here)
+
 #: A key list up to this many rows may be broadcast; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -54,18 +55,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Each job's shuffle files go as it ends, not when the driver collects its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def keep_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose key is (semi) or is not (anti) among distinct ``ids``.
 
