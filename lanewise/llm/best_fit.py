@@ -254,8 +254,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
     """Pieces of at most ``capacity`` ids, numbered within their partition and length (``part``, ``nth``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache()
-        coder = cache.get(("tokens", path)) or cache.setdefault(("tokens", path), Tokens(path))
+        cache = worker_cache("best_fit")
+        coder = cache.get(path) or cache.setdefault(path, Tokens(path))
         seen = np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()
         for whole in batches:

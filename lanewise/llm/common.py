@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -18,6 +19,8 @@ from lanewise.session import shuffles_dropped  # noqa: F401  (the operators take
 
 #: A key list up to this many rows may be broadcast; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Rows that travel to a Python worker at a time.
+BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,17 +69,40 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") ->
     return df.join(ids, key, how)
 
 
-def worker_cache() -> dict:
-    """What a Python worker keeps from task to task; it goes with the worker."""
-    return sys.modules.setdefault("_lanewise_worker_cache", types.ModuleType("_lanewise_worker_cache")).__dict__
+def worker_cache(owner: str) -> dict:
+    """What a Python worker keeps from task to task of one operator; it goes with the worker or as another operator asks.
 
+    Workers outlive a stage, and what the stage before remembered would stay beside the work of the next.
+    """
+    kept = sys.modules.setdefault("_lanewise_worker_cache", types.ModuleType("_lanewise_worker_cache")).__dict__.setdefault("kept", {})
+    for other in kept.keys() - {owner}:
+        del kept[other]
+    return kept.setdefault(owner, {})
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts travel to Python few rows at a time: neither the executor nor a worker holds all texts of a task.
+
+    Spark's own batches, of 10,000 rows, hold the whole text of a task. A session with smaller ones keeps them.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+
+def release_memory() -> None:
+    """Memory that Arrow and the C library keep for later goes back; the worker waits for its next task without it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that Python holds the texts of few rows at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-    pa.default_memory_pool().release_unused()  # the worker waits for its next task without them
+    release_memory()
 
 
 def sliced_by_bytes(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -86,7 +112,7 @@ def sliced_by_bytes(batches: Iterator[pa.RecordBatch], column: int, size: int) -
         cuts = np.flatnonzero(np.diff(before // size)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(lo, hi - lo)
-    pa.default_memory_pool().release_unused()
+    release_memory()
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

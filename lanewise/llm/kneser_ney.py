@@ -104,7 +104,7 @@ def _small(folder: str, name: str, at: np.ndarray) -> np.ndarray:
 
 
 def _mapped(folder: str, name: str) -> np.ndarray | None:
-    cache = worker_cache().setdefault("kneser_ney", {})
+    cache = worker_cache("kneser_ney")
     key = (folder, name)
     if key not in cache:
         if cache and next(iter(cache))[0] != folder:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lanewise.llm.common import connected, keep_ids, mix, shuffles_dropped, sliced, sliced_by_bytes, staged, text_shingles, worker_cache
+from lanewise.llm.common import connected, keep_ids, mix, release_memory, shuffles_dropped, sliced, sliced_by_bytes, small_batches, staged, text_shingles, worker_cache
 
 _FLUSH = 700_000
 _MASK = (1 << 64) - 1
@@ -111,6 +111,7 @@ def signatures(h: np.ndarray, bounds: Bounds) -> tuple[np.ndarray, int]:
 
 def _emit(size: int, share: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("ngram_join")  # what others left goes
         bounds, seen = Bounds(share), set()
         sigs, nodes, waiting = [], [], 0
 
@@ -226,6 +227,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = s[1:] == s[:-1]
         keep = (m == 1) | np.concatenate((same, [False])) | np.concatenate(([False], same))
         yield from active(s[keep], d[keep])
+    release_memory()
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +257,7 @@ class _Sets(dict):
 
     @classmethod
     def of_worker(cls, size: int) -> _Sets:
-        return worker_cache().setdefault(("sets", size), cls(size))
+        return worker_cache("ngram_join").setdefault(size, cls(size))
 
 
 def _overlap(size: int, share: int):
@@ -290,6 +292,7 @@ def _overlap(size: int, share: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int64())], ["a", "b"]
             )
+        release_memory()
 
     return run
 
@@ -428,6 +431,7 @@ def ngram_components(docs: DataFrame, size: int = 5, share: int = 80, id_col: st
 
 def _components(docs: DataFrame, size: int, share: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     found = staged(

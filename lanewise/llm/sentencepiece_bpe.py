@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from lanewise.llm.common import worker_cache
+from lanewise.llm.common import release_memory, small_batches, worker_cache
 
 BLANK = "▁"
 _REMEMBERED = 600_000
@@ -220,7 +220,7 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     more = ", ids array<int>, decoded string" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache()
+        cache = worker_cache("sentencepiece_bpe")
         if model_path not in cache:
             cache[model_path] = Encoder(model_path)
         coder = cache[model_path]
@@ -243,7 +243,9 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                     columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        release_memory()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import keep_ids, sliced
+from lanewise.llm.common import keep_ids, sliced, small_batches, staged, worker_cache
 
 BITS = 20
 ORDERS = (5, 7)
@@ -108,6 +108,7 @@ def remainder(id_col: str, divisor: int) -> Column:
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_cache("toxicity")  # what others left goes
     for batch in sliced(batches):
         found = [features(t).tobytes() for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["toxic", "slots"])
@@ -146,10 +147,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: int = 1, divis
     are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     trained = train(docs, labels, held_out, divisor)
     sent = spark.sparkContext.broadcast((trained.weights, trained.squares, trained.bias))  # 8 MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         model = Model(*sent.value)
         for batch in sliced(batches):
             scores = [score(model, t) for t in batch.column(2).to_pylist()]
@@ -164,5 +167,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: int = 1, divis
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic; rows without an id are kept."""
-    bad = toxicity_scores(docs, labels).where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
+    # staged, as the ids are counted and then joined: texts are scored once
+    bad = staged(toxicity_scores(docs, labels).where("predicted = 1 and doc_id is not null").select("doc_id").distinct(), "toxic")
     return keep_ids(docs, bad, "doc_id", "left_anti")
