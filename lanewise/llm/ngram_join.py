@@ -19,10 +19,15 @@ as a whole:
 * Documents with equal sets are one row of the matrix. Of the rows that share a
   block, one meets all the others first; rows joined by links need no further
   product. What is left of a small group is tested pair by pair. Rows of a
-  larger group are dealt into tiles, and a task multiplies two tiles: their
-  incidence matrices, a range of columns at a time, until no pair of the tiles
-  can reach its bound. Only links leave the task, so a group of near copies of
-  which no two are linked costs a few copies a row and not a row for every pair.
+  larger group are dealt into tiles, and a task multiplies two tiles. First the
+  rows come with columns folded to a few bits each, which say how much two sets
+  share at most. Pairs that reach their bound so are
+  counted by their texts; where they are more than the rows, as many as could
+  join what they join. If one of these falls short, the tiles are multiplied
+  by their incidence matrices, a range of columns at a time, until no pair of
+  the tiles can reach its bound. Only links leave the task, so a group of near
+  copies of which no two are linked costs a few copies a row and not a row for
+  every pair.
 
 Equal blocks are found per map task first, so that of a group of any size one
 entry per task is shuffled. Hashes have 64 bits (sets: 128).
@@ -332,6 +337,91 @@ def tile_product(x: list[np.ndarray], y: list[np.ndarray], wanted: np.ndarray, s
         lo += _COLUMNS
 
 
+def folded(h: np.ndarray) -> np.ndarray:
+    """A set's hashes by their leading bits: 2^k columns, three to six for each hash (64 at least), as 64-bit words."""
+    k = max(6, (3 * len(h) - 1).bit_length())
+    bits = np.zeros(1 << k, np.uint8)
+    bits[h >> np.uint64(64 - k)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
+def halved(rows: np.ndarray) -> np.ndarray:
+    """Folded rows with half the columns."""
+    bits = np.unpackbits(rows.view(np.uint8), axis=1)
+    return np.packbits(bits[:, ::2] | bits[:, 1::2], axis=1).view(np.uint64)
+
+
+def may_be_linked(x: list[np.ndarray], y: list[np.ndarray], nx: np.ndarray, ny: np.ndarray, wanted: np.ndarray, share: int) -> np.ndarray:
+    """(row of x, row of y) of ``wanted`` pairs of folded sets of nx and ny hashes; no linked pair is missing, others may be there."""
+    live = np.zeros(wanted.shape, bool)
+    by_width = [{w: np.flatnonzero([len(b) == w for b in rows]) for w in {len(b) for b in rows}} for rows in (x, y)]
+    for wx, xs in by_width[0].items():
+        for wy, ys in by_width[1].items():
+            if max(wx, wy) > 2 * min(wx, wy):
+                continue  # one set is more than twice the other
+            a, b = np.stack([x[k] for k in xs]), np.stack([y[k] for k in ys])
+            a, b = (halved(a) if wx > wy else a), (halved(b) if wy > wx else b)
+            lost = ny[ys] - np.bitwise_count(b).sum(1, np.int64)  # hashes that share a column with another one of the set
+            for k, row in zip(xs, a, strict=True):
+                most = np.bitwise_count(b & row).sum(1, np.int64) + np.minimum(lost, nx[k] - int(np.bitwise_count(row).sum()))
+                live[k, ys] = np.minimum(most, np.minimum(nx[k], ny[ys])) >= -(-share * (nx[k] + ny[ys]) // (100 + share))
+    return np.argwhere(live & wanted & (nx[:, None] > 0) & (ny > 0))
+
+
+def _fold(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in sliced(batches, 200):
+            texts = pa.array([None if t is None else unpack(t) for t in batch.column(1).to_pylist()], pa.binary())
+            sets = list(text_shingles(texts, size))
+            columns = [pa.array([len(h) for h in sets], pa.int64()), pa.array([folded(h).tobytes() for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["node", "size", "bits"])
+
+    return run
+
+
+def _joining(columns: dict[str, list], left: np.ndarray, right: np.ndarray, found: np.ndarray) -> list[tuple[int, int]]:
+    """Of pairs found of rows ``left`` and ``right`` as many as join what they join."""
+    good: list[tuple[int, int]] = []
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = c = root.get(up, up)
+        return c
+
+    for p, q in found.tolist():
+        a, b = int(left[p]), int(right[q])
+        x, y = find(columns["comp"][a]), find(columns["comp"][b])
+        if x != y:
+            root[x] = y
+            good.append((columns["node"][a], columns["node"][b]))
+    return good
+
+
+def _multiply_folded(share: int):
+    """Pairs of rows of two tiles (or of one) that may be linked: all of them, or as many as could join what they join."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        columns = {name: rows.column(name).to_pylist() for name in ("sig", "i", "j", "tile", "node", "comp", "bits")}
+        sets, sizes = [np.frombuffer(b, np.uint64) for b in columns["bits"]], rows.column("size").to_numpy()
+        tile, comp = np.array(columns["tile"]), np.array(columns["comp"])
+        left, right = (np.flatnonzero(tile == columns[name][0]) for name in ("i", "j"))
+        good: list[tuple[int, int]] = []
+        whole = True
+        if len(left) and len(right):
+            wanted = comp[left][:, None] != comp[right]
+            found = may_be_linked([sets[k] for k in left], [sets[k] for k in right], sizes[left], sizes[right], wanted, share)
+            whole = len(found) <= len(left) + len(right)
+            node = columns["node"]
+            good = [(node[left[p]], node[right[q]]) for p, q in found.tolist()] if whole else _joining(columns, left, right, found)
+        out = [(*(columns[name][0] for name in ("sig", "i", "j")), min(g), max(g), whole) for g in good]
+        kinds = {"sig": pa.int64(), "i": pa.int32(), "j": pa.int32(), "a": pa.int64(), "b": pa.int64(), "whole": pa.bool_()}
+        return pa.table({name: pa.array([o[k] for o in out], kind) for k, (name, kind) in enumerate(kinds.items())})
+
+    return run
+
+
 def _multiply(size: int, share: int):
     """Links between two tiles of rows (or within one): as many as join what they join."""
 
@@ -343,20 +433,8 @@ def _multiply(size: int, share: int):
         left, right = (np.flatnonzero(tile == columns[name][0]) for name in ("i", "j"))
         good: list[tuple[int, int]] = []
         if len(left) and len(right):
-            root: dict[int, int] = {}
-
-            def find(c: int) -> int:
-                while (up := root.get(c, c)) != c:
-                    root[c] = c = root.get(up, up)
-                return c
-
             found = tile_product([sets[k] for k in left], [sets[k] for k in right], comp[left][:, None] != comp[right], share)
-            for p, q in found.tolist():
-                a, b = int(left[p]), int(right[q])
-                x, y = find(columns["comp"][a]), find(columns["comp"][b])
-                if x != y:
-                    root[x] = y
-                    good.append((columns["node"][a], columns["node"][b]))
+            good = _joining(columns, left, right, found)
         return pa.table(
             {"a": pa.array([min(g) for g in good], pa.int64()), "b": pa.array([max(g) for g in good], pa.int64())}
         )
@@ -496,12 +574,16 @@ def _components(docs: DataFrame, size: int, share: int, id_col: str, text_col: s
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
+        return pairs, counted(pairs)
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are linked."""
         both = (
             pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
             .join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
             .select("a", "b", "ta", "tb")
         )
-        return pairs, staged(both.mapInArrow(overlap, "a long, b long"), "links")
+        return staged(both.mapInArrow(overlap, "a long, b long"), "links")
 
     g = open_groups(open_rows, nodes.select("node", F.col("node").alias("comp")))
     tested, found_links = linked(g, g.groupBy("sig").agg(F.min(F.struct("node", "n", "comp")).alias("p")).select("sig", "p.*"), None)
@@ -510,8 +592,20 @@ def _components(docs: DataFrame, size: int, share: int, id_col: str, text_col: s
     g = open_groups(open_rows, labels)
     small = g.where(F.col("rows") <= _HOT)
     links = links.union(linked(small, small, tested)[1])
-    tiles = _tiles(g.where(F.col("rows") > _HOT)).join(texts, "node")
-    links = links.union(staged(tiles.groupBy("sig", "i", "j").applyInArrow(_multiply(size, share), "a long, b long"), "tile-links"))
+    tiles = staged(_tiles(g.where(F.col("rows") > _HOT)), "tiles")
+    place = ["sig", "i", "j"]
+    bits = staged(texts.mapInArrow(_fold(size), "node long, size long, bits binary"), "folded")
+    likely = tiles.join(bits, "node").groupBy(*place).applyInArrow(
+        _multiply_folded(share), "sig long, i int, j int, a long, b long, whole boolean"
+    )
+    likely = staged(likely, "likely")
+    true = counted(staged(likely.select("a", "b").distinct(), "pairs"))
+    links = links.union(true)
+    # Where not all pairs left the task, one that is no link may stand for one that is.
+    wrong = staged(likely.where("not whole").join(true, ["a", "b"], "left_anti").select(*place).distinct(), "wrong")
+    if wrong.limit(1).count():
+        again = tiles.join(wrong, place, "left_semi").join(texts, "node")
+        links = links.union(staged(again.groupBy(*place).applyInArrow(_multiply(size, share), "a long, b long"), "tile-links"))
 
     roots = connected(links, "result")
     by_doc = sets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(

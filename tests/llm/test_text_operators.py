@@ -132,6 +132,46 @@ def test_linked_sets_always_show_a_common_signature():
                 assert np.intersect1d(a, b).size > max(spare_a, spare_b)
 
 
+def test_folded_sets_lose_no_link_and_drop_most_others():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 64, 1_500, np.uint64)
+    sets = [np.unique(np.concatenate((base[: 1_500 - k * 20], rng.integers(0, 1 << 64, k * 20, np.uint64)))) for k in range(40)]
+    sets += [np.unique(rng.choice(base, n, False)) for n in (0, 1, 3, 40, 64, 65, 700, 1_100, 1_365, 1_366, 1_450)]
+    sizes = np.array([len(h) for h in sets])
+    wanted = np.triu(np.ones((len(sets), len(sets)), bool), 1)
+    true = {tuple(p) for p in ngram_join.tile_product(sets, sets, wanted, 80).tolist()}
+    rows = [ngram_join.folded(h) for h in sets]
+    found = {tuple(p) for p in ngram_join.may_be_linked(rows, rows, sizes, sizes, wanted, 80).tolist()}
+    assert true and true <= found and len(found) < len(true) + 0.1 * wanted.sum()
+    assert sum(b.nbytes for b in rows) <= sum(h.nbytes for h in sets) / 10 + 8 * len(sets)
+
+
+@pytest.mark.parametrize("edits", [2, 4, 5])
+def test_groups_of_near_copies_at_the_bound(docs, words, edits):
+    """Pairs that folded columns take for links, among links: all links are found and no other."""
+    text = words(220, 9, 50_000)
+    rows = [(i, altered(text, edits, 1_000 * edits + i)) for i in range(60)]
+    found = {r.doc_id: r.component_id for r in ngram_components(docs(*rows), 5, 80).collect()}
+    assert found == plain_components(rows, 5, 80)
+
+
+def test_tiles_get_folded_sets_and_no_texts(docs, words, spark, monkeypatch):
+    """Rows of a large group without links reach the tiles without their texts."""
+    seen = {}
+    keep = ngram_join.staged
+
+    def staged(df, name):
+        seen.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(ngram_join, "staged", staged)
+    passage = words(60, 1, 50_000)
+    rows = [(i, f"{passage} {words(40, 100 + i, 50_000)}") for i in range(40)]
+    found = {r.doc_id: r.component_id for r in ngram_components(docs(*rows), 5, 80).collect()}
+    assert found == plain_components(rows, 5, 80)
+    assert "tile-links" not in seen and "bits" in seen["likely"][0] and "text" not in seen["likely"][0]
+
+
 def test_one_of_each_keeps_clean_rows(docs, words):
     text = words(80, 1)
     rows = [(5, text), (3, text), (7, words(80, 2)), (7, words(80, 2)), (8, None), (None, text), (None, "a")]
