@@ -18,6 +18,7 @@ within the partition; no task sees all pieces of a length.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -25,19 +26,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-from lanewise.llm.common import staged, worker_cache
+from lanewise.llm.common import sliced_by_bytes, staged, worker_cache
 
 #: (how many sequences, [(length, how often in each), ...]) of sequences that look alike.
 Pattern = tuple[int, list[tuple[int, int]]]
 
 _REMEMBERED = 500_000
 _REMEMBERED_LENGTH = 64
+_RUN_BYTES = 8 << 20
 
 
 # ---- the plan -----------------------------------------------------------------
@@ -175,20 +178,54 @@ def _byte_letters() -> dict[int, str]:
 class _Remembered(dict):
     """Ids of parts of texts as bytes; the parts asked for last are remembered."""
 
-    def __init__(self, make: Callable[[str], bytes], most: int):
+    def __init__(self, make: Callable[[str | bytes], bytes], most: int):
         super().__init__()
         self.make, self.most = make, most
-        self.before: dict[str, bytes] = {}
+        self.before: dict[str | bytes, bytes] = {}
 
-    def __missing__(self, part: str) -> bytes:
+    def __missing__(self, part: str | bytes) -> bytes:
         if (found := self.before.get(part)) is None:
             found = self.make(part)
+        self.keep(part, found)
+        return found
+
+    def keep(self, part: str | bytes, found: bytes) -> None:
         if len(part) <= _REMEMBERED_LENGTH:
             if len(self) >= self.most:
                 self.before = dict(self)
                 self.clear()
             self[part] = found
-        return found
+
+
+def _among(*ranges: tuple[int, int]) -> np.ndarray:
+    """Whether a byte lies in one of the ranges."""
+    found = np.zeros(256, bool)
+    for first, last in ranges:
+        found[first : last + 1] = True
+    return found
+
+
+_LETTER = _among((0x41, 0x5A), (0x61, 0x7A))
+_LETTER_END = _among((0x80, 0x96), (0x98, 0xB6), (0xB8, 0xBF))  # after the byte C3
+_SIGN, _PLAIN = _among((0x21, 0x40), (0x5B, 0x60), (0x7B, 0x7E)), _among((0x21, 0x7E))
+_SOLID = _among((0x21, 0x7E), (0xC3, 0xE0), (0xE4, 0xFF))  # begins a character, surely no white space
+
+
+def _cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where parts begin in texts that lie end to end: at their starts and at most of the places that ``Tokens`` cuts."""
+    starts, ends = bounds[:-1][np.diff(bounds) > 0], bounds[1:][np.diff(bounds) > 0]
+    cut = np.zeros(len(data) + 2, bool)  # two more, so that small texts need no care
+    here = cut[: len(data)]
+    here[:-1] = (data[:-1] == 0x20) & _SOLID[data[1:]]
+    here[ends - 1] = False
+    line = data == 0x0A
+    here[2:] |= _PLAIN[data[:-2]] & line[1:-1] & _SOLID[data[2:]]
+    cut[starts + 1] &= ~line[starts]  # the line before is another text's
+    letter = _LETTER[data]
+    letter[1:] |= (data[:-1] == 0xC3) & _LETTER_END[data[1:]]
+    here[1:] |= (letter[:-1] & _SIGN[data[1:]]) | (_PLAIN[data[:-1]] & line[1:])
+    here[starts] = True
+    return np.flatnonzero(here)
 
 
 class Tokens:
@@ -199,6 +236,9 @@ class Tokens:
     and after one that stands alone, whatever is around.
     Texts are cut there and the parts are encoded alone. Other tokenizers, and
     texts with a special token's string, are encoded whole.
+
+    A run of texts is cut as bytes, at most of these places, Arrow finds the
+    different parts, and those that are new go through the library together.
     """
 
     def __init__(self, path: str):
@@ -215,13 +255,19 @@ class Tokens:
             and settings["model"].get("type", "BPE") == "BPE"
         )
         self.special = [token["content"] for token in settings.get("added_tokens") or []]
-        self.blanks_together = re.compile(r" (?!\S)").search
         self.words = re.compile(r"(?= \S)").split
         self.parts = re.compile(rf"(?<=[{_LETTERS}])(?=[{_OTHERS}])|(?<=\S)(?=\n)|(?<=\S\n)(?=\S)").split
         self.is_word = re.compile(f" ?[{_LETTERS}]+").fullmatch
         self.of_part = _Remembered(self._part, _REMEMBERED // 2)
         self.of_word = _Remembered(self._word, _REMEMBERED // 2)
-        self.after_blank = _Remembered(lambda word: self._word(f" {word}"), _REMEMBERED)
+        self.of_bytes = _Remembered(lambda part: self._words(part.decode()), _REMEMBERED)
+        self.uncut = Tokenizer.from_file(path)
+        if self.by_parts:
+            self.uncut.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            vocab = settings["model"]["vocab"]
+            self.id_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+            self.id_bytes[list(vocab.values())] = list(map(len, vocab))  # a character stands for a byte
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives a worker one core
 
     def _letters(self, word: str) -> bytes:
         """Nothing to cut in it: straight to the merges."""
@@ -239,15 +285,63 @@ class Tokens:
             return self._letters(word)
         return b"".join(map(self.of_part.__getitem__, self.parts(word)))
 
+    def _words(self, text: str) -> bytes:
+        return b"".join(map(self.of_word.__getitem__, self.words(text)))
+
     def encode(self, text: str) -> np.ndarray:
         if not self.by_parts or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        if self.blanks_together(text):
-            found = map(self.of_word.__getitem__, self.words(text))
-        else:  # every blank starts a word
-            first, *words = text.split(" ")
-            found = [self.of_word[first], *map(self.after_blank.__getitem__, words)]
-        return np.frombuffer(b"".join(found), "<u4")
+        return np.frombuffer(self._words(text), "<u4")
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text (null: empty); the texts are cut and encoded together."""
+        texts = pc.fill_null(texts, "")
+        alone = np.full(len(texts), not self.by_parts)
+        for special in self.special:
+            alone |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        together = iter(self._together(texts.filter(pa.array(~alone))))
+        whole = iter(texts.filter(pa.array(alone)).to_pylist())
+        return [self.encode(next(whole)) if is_alone else next(together) for is_alone in alone.tolist()]
+
+    def _together(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = texts.cast(pa.large_binary())
+        bounds = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        cuts = np.append(_cuts(data, bounds), len(data))
+        buffers = [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))]
+        parts = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, buffers).dictionary_encode()
+        values = self._different(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = pa.array(values, pa.large_binary()).take(parts.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1) // 4
+        ids = np.frombuffer(ids.buffers()[2] or b"", "<u4", ends[-1])
+        of_text = ends[np.searchsorted(cuts, bounds)].tolist()
+        return [ids[lo:hi] for lo, hi in zip(of_text, of_text[1:])]
+
+    def _different(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of different parts; new ones of letters go straight to the merges, all together."""
+        found = list(map(self.of_bytes.get, parts))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        before = self.of_bytes.before
+        self._learn([parts[i] for i in new if len(parts[i]) <= _REMEMBERED_LENGTH and parts[i] not in before])
+        for i in new:
+            found[i] = self.of_bytes[parts[i]]
+        return found
+
+    def _learn(self, parts: list[bytes]) -> None:
+        parts = [part for part in parts if self.is_word(part.decode())]
+        if not parts:
+            return
+        texts = [part.decode() for part in parts]
+        (coded,) = self.uncut.encode_batch_fast([texts], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(coded.ids, "<u4")
+        id_ends, part_ends = np.cumsum(self.id_bytes[ids]), np.cumsum(list(map(len, parts)))
+        if not len(ids) or id_ends[-1] != part_ends[-1]:
+            return  # a vocabulary without some bytes: each part is encoded alone
+        ends = (np.searchsorted(id_ends, part_ends, "right") * 4).tolist()
+        coded_bytes = ids.tobytes()
+        for part, start, end in zip(parts, [0, *ends], ends):
+            self.of_bytes.keep(part, coded_bytes[start:end])
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
@@ -258,20 +352,18 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
         coder = cache.get(path) or cache.setdefault(path, Tokens(path))
         seen = np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                rows = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    ids = np.append(coder.encode(text or ""), np.uint32(end_id)).astype("<u4")
-                    cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)] if len(ids) > capacity else [0, len(ids)]
-                    for piece, (start, end) in enumerate(zip(cuts, cuts[1:])):
-                        own = ids[start:end]
-                        row = (doc_id, piece, start, end - start, zlib.crc32(own.tobytes()), part, int(seen[end - start]))
-                        rows.append((*row, own.astype(np.int32)) if with_ids else row)
-                        seen[end - start] += 1
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+        for batch in sliced_by_bytes(batches, 1, _RUN_BYTES):
+            rows = []
+            for doc_id, text_ids in zip(batch.column(0).to_pylist(), coder.encode_all(batch.column(1))):
+                ids = np.append(text_ids, np.uint32(end_id)).astype("<u4")
+                cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)] if len(ids) > capacity else [0, len(ids)]
+                for piece, (start, end) in enumerate(zip(cuts, cuts[1:])):
+                    own = ids[start:end]
+                    row = (doc_id, piece, start, end - start, zlib.crc32(own.tobytes()), part, int(seen[end - start]))
+                    rows.append((*row, own.astype(np.int32)) if with_ids else row)
+                    seen[end - start] += 1
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["id", "piece", "start", "length", "ids_crc32", "part", "nth"] + ["ids"] * with_ids
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())][: len(names)]

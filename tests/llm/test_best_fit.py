@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -117,6 +118,30 @@ def test_tokens_are_those_of_the_library():
     assert Tokens(other).encode("A b c").tolist() == Tokenizer.from_file(other).encode("A b c", add_special_tokens=False).ids
 
 
+def test_a_run_of_texts_is_encoded_together(monkeypatch):
+    rng = random.Random(2)
+    texts = [None, "", "\n", "A", "\nA", " ", "  ", "a ", "b  ", " c", "é", "!", "Ã", "×!", "÷\n!", "x\u00a0 y", "a \u2003b", "я ж", "<|endoftext|> a"]
+    texts += ["a" * 3000 + " b", " " + "word" * 40, "字 字", "　a 　b", "\U0001f600 a"]
+    alphabet = " \n\tab1.'éÿ×÷Àя字\x1c\x85\u00a0\u2028"
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(12))) for _ in range(6000)]
+    texts += ["\n".join("".join(rng.choice("aé!1 \x1c") for _ in range(3)) for _ in range(9)) for _ in range(1000)]
+    library, tokens = Tokenizer.from_file(PATH), Tokens(PATH)
+    want = [library.encode(text or "", add_special_tokens=False).ids for text in texts]
+    for lo, hi in ((0, len(texts)), (0, 0), (0, 2), (1, 30), (30, len(texts))):
+        assert [ids.tolist() for ids in tokens.encode_all(pa.array(texts, pa.string()).slice(lo, hi - lo))] == want[lo:hi]
+    other = public_tokenizers.path("word_bpe_49k.json")
+    assert Tokens(other).encode_all(pa.array(["A b c"]))[0].tolist() == Tokenizer.from_file(other).encode("A b c", add_special_tokens=False).ids
+    # words that are new go to the merges in one call, and none a second time
+    tokens, made = Tokens(PATH), []
+    monkeypatch.setattr(tokens, "of_word", None)
+    learn = tokens._learn
+    monkeypatch.setattr(tokens, "_learn", lambda parts: (made.append(len(parts)), learn(parts)))
+    run = pa.array([" several words", " words of several texts"] * 50)
+    assert [len(ids) for ids in tokens.encode_all(run)] == [len(library.encode(text).ids) for text in run.to_pylist()]
+    tokens.encode_all(run)
+    assert made == [4, 0]
+
+
 def check(rows, texts, capacity=1024):
     library = Tokenizer.from_file(PATH)
     want = Counter()
