@@ -352,7 +352,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
         coder = cache.get(path) or cache.setdefault(path, Tokens(path))
         seen = np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()
-        for batch in sliced_by_bytes(batches, 1, _RUN_BYTES):
+        for batch in sliced_by_bytes((b for b in batches if b.num_rows), 1, _RUN_BYTES):
             rows = []
             for doc_id, text_ids in zip(batch.column(0).to_pylist(), coder.encode_all(batch.column(1))):
                 ids = np.append(text_ids, np.uint32(end_id)).astype("<u4")
