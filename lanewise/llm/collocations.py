@@ -5,15 +5,17 @@ its parts of k - 1 words are. Candidates of two words are neighbours that pass
 the bits of the frequent words; candidates of more words are places where a
 frequent phrase is followed, one word on, by one that passes the bits of the
 frequent phrases. Each stretch of text says what it
-saw, at most ``min_count`` of each, and what adds up to ``min_count`` stays: no
-frequent phrase is missed.
-
-The candidates of a level are counted exactly by double-array tries of at most
-``TRIE_ROWS`` candidates, which are broadcast one after the other. Workers turn
-texts into arrays of word codes and take the states of all places forward
-together, one word a level: ``next = base[state] + code`` holds where
-``check[next] == state``. Accepting states are counted by bincount, each task
-sends its sums, and Spark adds them.
+saw and how often, and what adds up to ``min_count`` stays: no frequent phrase
+is missed, and every sum is the phrase's count.
+
+Up to ``TRIE_ROWS`` candidates of a level are counted by a double-array trie,
+which is broadcast. Workers turn texts into arrays of word codes and take the
+states of all places forward together, one word a level: ``next = base[state] +
+code`` holds where ``check[next] == state``. Accepting states are counted by
+bincount, each task sends its sums, and Spark adds them. More candidates, and
+those of the last level, keep the sums they were found with, and the next level's
+are found by the bits of both their parts. So a level reads the texts once at
+most, however many candidates it has.
 
 Words are 64-bit hashes of language and word. The hashes of frequent words are
 checked against those of all words, and another seed is taken if two agree, so
@@ -34,9 +36,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lanewise.llm.common import BROADCAST_ROWS, mix, staged
+from lanewise.llm.common import BROADCAST_ROWS, mix, shuffles_dropped, staged
 
-#: Candidates in one broadcast trie; more make several tries, and the texts are read once for each.
+#: Candidates in one broadcast trie; levels with more go by the sums of their candidates.
 TRIE_ROWS = 1_200_000
 #: Bits that say which words, or phrases, may be frequent: a power of two, however many there are.
 WORD_BITS = 1 << 27
@@ -46,7 +48,6 @@ _GROUP_BYTES = 2_000_000
 _HELD = 1_000_000  # phrases a task holds before it sums them up
 _KNOWN = 300_000
 _BLOCK, _TRIES = 4096, 12
-_SUMS = 1 << 16  # states whose counts travel together
 
 _TABLE = bytearray(range(256))
 _TABLE[ord("A") : ord("Z") + 1] = range(ord("a"), ord("z") + 1)
@@ -205,6 +206,12 @@ class DoubleArray:
             states = parents
         return out
 
+    def hashes(self) -> np.ndarray:
+        """The hash of the word of each code."""
+        out = np.empty_like(self.alphabet)
+        out[self.place] = self.alphabet
+        return out
+
     def codes(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.alphabet, hashes), len(self.alphabet) - 1)
         return np.where(self.alphabet[at] == hashes, self.place[at], -1)
@@ -215,8 +222,8 @@ def _names(k: int) -> list[str]:
     return [f"w{i + 1}" for i in range(k)]
 
 
-def _summed(columns: list[np.ndarray], most: int) -> list[np.ndarray]:
-    """Rows once each with how often they came, at most ``most``; a row may be split over several."""
+def _summed(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows once each with how often they came; a row may be split over several."""
     key = np.zeros(len(columns[0]), np.uint64)
     for c in columns:
         key = mix(key * np.uint64(31) + c.view(np.uint64))
@@ -226,14 +233,14 @@ def _summed(columns: list[np.ndarray], most: int) -> list[np.ndarray]:
     if len(order):
         first[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
     at = np.flatnonzero(first)
-    return [*(c[at] for c in columns), np.minimum(np.diff(np.append(at, len(order))), most)]
+    return [*(c[at] for c in columns), np.diff(np.append(at, len(order)))]
 
 
 class _Held:
     """Phrases seen, summed up when there are many."""
 
-    def __init__(self, width: int, most: int):
-        self.width, self.most, self.parts, self.size = width, most, [], 0
+    def __init__(self, width: int):
+        self.width, self.parts, self.size = width, [], 0
 
     def add(self, columns: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
         self.parts.append(columns)
@@ -244,7 +251,7 @@ class _Held:
     def rest(self) -> list[np.ndarray]:
         columns = [np.concatenate([p[i] for p in self.parts] or [np.zeros(0, np.int64)]) for i in range(self.width)]
         self.parts, self.size = [], 0
-        return _summed(columns, self.most)
+        return _summed(columns)
 
 
 def _batches(columns: list[np.ndarray | None], names: list[str], rows: int = 200_000) -> Iterator[pa.RecordBatch]:
@@ -318,11 +325,11 @@ def key_bits(rows: DataFrame, columns: list[str]) -> np.ndarray:
 
 
 def pair_candidates(rows: DataFrame, bits: np.ndarray, min_count: int, seed: int) -> DataFrame:
-    """w1, w2 of neighbours that may occur ``min_count`` times."""
+    """w1, w2, n of neighbours that occur ``min_count`` times or more."""
     sent = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, held = sent.value, _Held(2, min_count)
+        bits, held = sent.value, _Held(2)
         symbols = Symbols(lambda h: h, seed, 0)
         for lang, words in _groups(batches):
             h = symbols.of(lang, words)
@@ -333,97 +340,101 @@ def pair_candidates(rows: DataFrame, bits: np.ndarray, min_count: int, seed: int
         yield from _batches(held.rest(), ["w1", "w2", "n"])
 
     found = rows.mapInArrow(run, "w1 long, w2 long, n long").groupBy("w1", "w2").agg(F.sum("n").alias("n"))
-    return found.where(F.col("n") >= min_count).select("w1", "w2")
+    return found.where(F.col("n") >= min_count)
 
 
 def count_phrases(rows: DataFrame, candidates: DataFrame, k: int, min_count: int, seed: int, further: bool) -> DataFrame:
-    """w1 .. wk, n of the candidates; if asked for, rows with w(k+1) are candidates of the next level."""
+    """w1 .. wk, n of the candidates (with their sums n); if asked for, rows with w(k+1) are candidates of the next level."""
     names, n = _names(k), candidates.count()
-    tries = -(-n // TRIE_ROWS)
-    shard = F.pmod(F.xxhash64(*names), F.lit(max(tries, 1)))
     schema = ", ".join(f"{w} long" for w in _names(k + 1)) + ", n long"
     context = rows.sparkSession.sparkContext
-    found = rows.sparkSession.createDataFrame([], schema)
-    bits = context.broadcast(key_bits(candidates, names)) if further and n else None
-    for s in range(tries):
-        part = candidates.where(shard == s).select(*names).toArrow()  # at most about TRIE_ROWS rows
-        trie = DoubleArray.build(np.stack([part.column(w).to_numpy() for w in names], axis=1))
-        sent = context.broadcast((trie.alphabet, trie.place, trie.base, trie.check))
-        del part, trie
-        if further:
-            one = rows.mapInArrow(_counter(sent, k, min_count, seed, bits), schema)
-            one = one.groupBy(*_names(k + 1)).agg(F.sum("n").alias("n"))
-        else:
-            sums = rows.mapInArrow(_counter(sent, k, min_count, seed, None), "block long, sums binary")
-            one = sums.repartition("block").mapInArrow(_adder(sent, k), schema)
-        one = staged(one.where(F.col("n") >= min_count), f"phrases-{k}")
-        found = one if s == 0 else found.union(one)
-    return found
-
-
-def _counter(sent: Broadcast, k: int, min_count: int, seed: int, bits: Broadcast | None) -> Callable:
-    """What a task does with one trie.
-
-    With ``bits`` of all candidates, rows of counts and of the next level's
-    candidates come out; without, the counts by blocks of states.
+    if not n:
+        return rows.sparkSession.createDataFrame([], schema)
+    found = candidates.select(*names, F.lit(None).cast("long").alias(f"w{k + 1}"), "n")
+    if not further:
+        return found
+    bits = context.broadcast(key_bits(candidates, names))
+    if n > TRIE_ROWS:
+        return found.unionByName(_kept(rows.mapInArrow(_longer(bits, k, seed), schema), k, min_count))
+    part = candidates.select(*names).toArrow()
+    trie = DoubleArray.build(np.stack([part.column(w).to_numpy() for w in names], axis=1))
+    sent = context.broadcast((trie.alphabet, trie.place, trie.base, trie.check))
+    del part, trie
+    return _kept(rows.mapInArrow(_counter(sent, k, seed, bits), schema), k, min_count)
+
+
+def _kept(counted: DataFrame, k: int, min_count: int) -> DataFrame:
+    """The phrases whose sums add up to ``min_count``."""
+    sums = counted.groupBy(*_names(k + 1)).agg(F.sum("n").alias("n"))
+    with shuffles_dropped(counted.sparkSession):
+        return staged(sums.where(F.col("n") >= min_count), f"phrases-{k}")
+
+
+def _longer(bits: Broadcast, k: int, seed: int) -> Callable:
+    """Sums of k + 1 words whose first k and last k both pass the bits of the phrases of k words.
+
+    Parts of a frequent phrase are frequent, so false hits of the bits do not reach ``min_count``.
     """
     names = [*_names(k + 1), "n"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, held = Symbols(lambda h: h, seed, 0), _Held(k + 1)
+        for lang, words in _groups(batches):
+            h = symbols.of(lang, words)
+            if len(h) <= k:
+                continue
+            start = [h[i : len(h) - k + 1 + i] for i in range(k)]
+            good = _in_bits(bits.value, _phrase_keys(start))
+            for column in start:
+                good &= column != 0
+            places = np.flatnonzero(good[:-1] & good[1:])
+            for columns in held.add([h[places + i] for i in range(k + 1)]):
+                yield from _batches(columns, names)
+        yield from _batches(held.rest(), names)
+
+    return run
+
+
+def _counter(sent: Broadcast, k: int, seed: int, bits: Broadcast) -> Callable:
+    """What a task does with the trie: counts come out, and by the bits of all candidates sums of the next level's."""
+    names = [*_names(k + 1), "n"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = DoubleArray(*sent.value, k)
-        codes_of, hashes_of = Symbols(trie.codes, seed, -1), Symbols(lambda h: h, seed, 0)
-        hits = np.zeros(-(-len(trie.check) // _SUMS) * _SUMS, np.int64)
+        symbols, hashes = Symbols(trie.codes, seed, -1), trie.hashes()
+        hits = np.zeros(len(trie.check), np.int64)
         waiting, size = [], 0
-        held = _Held(k + 1, min_count)
+        held = _Held(k + 1)
         for lang, words in _groups(batches):
-            places, states = trie.advance(codes_of.of(lang, words))
+            codes = symbols.of(lang, words)
+            places, states = trie.advance(codes)
             waiting.append(states)
             size += len(states)
             if size > _HELD:
                 hits += np.bincount(np.concatenate(waiting), minlength=len(hits))
                 waiting, size = [], 0
-            if bits is not None:
-                h = np.concatenate((hashes_of.of(lang, words), np.zeros(k, np.int64)))
-                places = places[h[places + k] != 0]
-                columns = [h[places + i] for i in range(k + 1)]
-                next_too = _in_bits(bits.value, _phrase_keys(columns[1:]))
-                for columns in held.add([c[next_too] for c in columns]):
-                    yield from _batches(columns, names)
+            # a word that no candidate has ends no longer one
+            codes = np.concatenate((codes, np.full(k, -1, np.int64)))
+            h = hashes[codes]
+            places = places[codes[places + k] >= 0]
+            columns = [h[places + i] for i in range(k + 1)]
+            next_too = _in_bits(bits.value, _phrase_keys(columns[1:]))
+            for columns in held.add([c[next_too] for c in columns]):
+                yield from _batches(columns, names)
         if waiting:
             hits += np.bincount(np.concatenate(waiting), minlength=len(hits))
-        if bits is None:
-            for block, sums in enumerate(hits.reshape(-1, _SUMS)):
-                if sums.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sums.tobytes()])], ["block", "sums"])
-        else:
-            yield from _batches(held.rest(), names)
-            yield from _counts(trie, hits, 0, names)
-
-    return run
-
-
-def _adder(sent: Broadcast, k: int) -> Callable:
-    """Adds the counts of all tasks, block by block, and reads the phrases off the trie."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
-                total = totals.setdefault(block, np.zeros(_SUMS, np.int64))
-                total += np.frombuffer(sums.as_buffer(), np.int64)
-        trie = DoubleArray(*sent.value, k)
-        for block, total in totals.items():
-            yield from _counts(trie, total, block * _SUMS, [*_names(k + 1), "n"])
+        yield from _batches(held.rest(), names)
+        yield from _counts(trie, hits, names)
 
     return run
 
 
-def _counts(trie: DoubleArray, hits: np.ndarray, first: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Words and counts of the states from ``first`` on that were hit."""
+def _counts(trie: DoubleArray, hits: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Words and counts of the states that were hit."""
     states = np.flatnonzero(hits)
     for at in range(0, len(states), 200_000):
         part = states[at : at + 200_000]
-        yield from _batches([*trie.rows(part + first).T, None, hits[part]], names)
+        yield from _batches([*trie.rows(part).T, None, hits[part]], names)
 
 
 # ---- scores -------------------------------------------------------------------
@@ -502,19 +513,21 @@ def collocations(
         raise ValueError("phrases have two words or more and occur once or more")
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text"))
     for seed in itertools.count():
-        every = staged(count_words(rows, seed), "words")
+        with shuffles_dropped(docs.sparkSession):
+            every = staged(count_words(rows, seed), "words")
         shared = every.groupBy("w").agg(F.count("*").alias("words"), F.max("n").alias("most"))
         if not shared.where((F.col("words") > 1) & (F.col("most") >= min_count)).limit(1).count():
             break
     words = every.where(F.col("n") >= min_count)
     totals = every.groupBy("lang").agg(F.sum("n").alias("total"))
-    candidates = staged(pair_candidates(rows, key_bits(words, ["w"]), min_count, seed), "pairs")
+    with shuffles_dropped(docs.sparkSession):
+        candidates = staged(pair_candidates(rows, key_bits(words, ["w"]), min_count, seed), "pairs")
     levels: dict[int, DataFrame] = {}
     for k in range(2, longest + 1):
         found = count_phrases(rows, candidates, k, min_count, seed, k < longest)
         last = F.col(f"w{k + 1}")
         levels[k] = found.where(last.isNull()).select(*_names(k), "n")
-        candidates = found.where(last.isNotNull()).select(*_names(k + 1))
+        candidates = found.where(last.isNotNull()).select(*_names(k + 1), "n")
     if words.count() <= BROADCAST_ROWS:
         words = F.broadcast(words)
     scored = scored_phrases(words, levels, share).join(totals, "lang")

@@ -75,6 +75,22 @@ def test_against_dicts(frame, monkeypatch, rows_in_trie):
     assert len(found) > 300
 
 
+@pytest.mark.parametrize("rows_in_trie", [2_000_000, 40])
+def test_texts_are_read_once_a_level(frame, monkeypatch, rows_in_trie):
+    """Words, pairs, and each level's longer phrases: passes do not grow with the number of candidates."""
+    monkeypatch.setattr(C, "TRIE_ROWS", rows_in_trie)
+    rng = random.Random(7)
+    rows = [("en", text(rng, 4000, 200)) for _ in range(6)]
+    docs, passes = frame(rows), []
+    kind = type(docs)
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: passes.append(self.columns == ["lang", "text"]) or plain(self, *a, **b))
+    found = sorted(tuple(r) for r in C.collocations(docs, longest=4, min_count=3, top=None).collect())
+    assert found == brute(rows, longest=4, min_count=3, top=10**9)
+    assert sum(1 for r in found if r[2].count(" ") == 1) > 200
+    assert sum(passes) == 4
+
+
 def test_other_parameters(frame):
     rng = random.Random(6)
     rows = ROWS + [("en", text(rng, 300, 20)) for _ in range(8)]
