@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanewise.session import drop_folder, written
+
 
 def root_legs(shipments: DataFrame, work: str) -> DataFrame:
     """warpId, root, depth and in_cycle of every shipment, by pointer jumping.
@@ -17,29 +19,40 @@ def root_legs(shipments: DataFrame, work: str) -> DataFrame:
 
     Each round lets every open shipment jump as far again as it has come, so
     chains of n take log2(n) rounds of one join, and one more shows the cycles. A
-    round reads the state twice and writes it to ``work``, a new folder.
+    round writes the shipments that were open to ``work``, a new folder, and drops
+    what it had of them before: ``work`` holds each shipment once between the
+    rounds, twice while one is written.
     """
     spark = shipments.sparkSession
-    ids = shipments.where(F.col("warpId").isNotNull()).groupBy("warpId").agg(F.min("parent").alias("parent"))
+    ids = written(shipments.where(F.col("warpId").isNotNull()).groupBy("warpId").agg(F.min("parent").alias("parent")), f"{work}/ids")
     there = ids.select(F.col("warpId").alias("parent"), F.lit(True).alias("there"))
-    start = ids.join(there, "parent", "left").select(
+    up = F.when(F.col("there"), F.col("parent"))
+    found = ids.where("parent is not null").join(there, "parent", "left")
+    start = found.select("warpId", up.alias("up")).unionByName(ids.where("parent is null").select("warpId", F.col("parent").alias("up")))
+    # The root of an open shipment is where it has come to, that of one that has ended stays.
+    start = start.select(
         "warpId",
-        F.when(F.col("there"), F.col("parent")).alias("up"),
-        F.when(F.col("there"), F.col("parent")).otherwise(F.col("warpId")).alias("root"),
-        F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth"),
+        F.coalesce("up", "warpId").alias("root"),
+        F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"),
+        F.when(F.col("up").isNull(), 1).otherwise(0).alias("ended"),
     )
-    start.write.parquet(f"{work}/0")
-    state = spark.read.schema(start.schema).parquet(f"{work}/0")
-    turn, left, before = 0, state.where("up is not null").count(), None
+    names, folder = start.columns, f"{work}/state"
+
+    def state() -> DataFrame:
+        return spark.read.schema(start.schema).option("basePath", folder).parquet(f"{folder}/turn=*").select(*names)
+
+    written(start, f"{folder}/turn=0", "ended")
+    drop_folder(spark, f"{work}/ids")
+    turn, left, before = 0, state().where("ended = 0").count(), None
     while left and left != before:
-        jump = state.select(F.col("warpId").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
-        moved = state.where("up is not null").join(jump, "up").select(
-            "warpId", F.col("_up").alias("up"), F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth")
+        jump = state().select(F.col("warpId").alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("ended").alias("_ended"))
+        moved = state().where("ended = 0").drop("ended").join(jump, "root").select(
+            "warpId", F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_ended").alias("ended")
         )
+        written(moved, f"{folder}/turn={turn + 1}", "ended")
+        drop_folder(spark, f"{folder}/turn={turn}/ended=0")
         turn += 1
-        state.where("up is null").unionByName(moved).write.parquet(f"{work}/{turn}")
-        state = spark.read.schema(start.schema).parquet(f"{work}/{turn}")
-        left, before = state.where("up is not null").count(), left
+        left, before = state().where("ended = 0").count(), left
     # A way that ends has a shipment that ends in the next round: if a round ends none, all that is open goes round.
-    ended = F.col("up").isNull()
-    return state.select("warpId", F.when(ended, F.col("root")).alias("root"), F.when(ended, F.col("depth")).alias("depth"), (~ended).alias("in_cycle"))
+    ended = F.col("ended") == 1
+    return state().select("warpId", F.when(ended, F.col("root")).alias("root"), F.when(ended, F.col("depth")).alias("depth"), (~ended).alias("in_cycle"))

@@ -290,6 +290,14 @@ def test_roots_of_long_chains_and_cycles(spark, tmp_path):
     assert root_legs(empty, str(tmp_path / "none")).count() == 0
 
 
+def test_rounds_of_chains_leave_each_shipment_once(spark, tmp_path):
+    chains = spark.createDataFrame([(f"{c}-{i}", f"{c}-{i - 1}" if i else None) for c in range(9) for i in range(30)], "warpId string, parent string")
+    found = root_legs(chains, str(tmp_path / "w"))
+    kept = sum(spark.read.parquet(str(p)).count() for p in (tmp_path / "w").rglob("part-*.parquet"))
+    assert kept == found.count() == 270  # after five rounds
+    assert {tuple(r) for r in found.collect()} == {(f"{c}-{i}", f"{c}-0", i, False) for c in range(9) for i in range(30)}
+
+
 def test_reports_of_any_length_are_numbered(spark, tmp_path):
     df = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 = 1 THEN NULL ELSE concat('k', id % 90) END AS k", "id", "1 AS row_")
     order = (F.asc("k"), F.desc("id"))
