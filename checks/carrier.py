@@ -131,7 +131,7 @@ case(
     "warpId s, keep_for_pickup b, keep_for_delivery b",
     f"SELECT warpId, {_kept('pick', 'pa')} AS keep_for_pickup, {_kept('drop', 'da')} AS keep_for_delivery FROM t",
 )(lambda x: D.flag_dedup(x.typed.select("warpId", "loadId", "carrierName", "pickLocationName", "dropLocationName",
-                                        "pick_arrived_ts", "drop_arrived_ts")))
+                                        "pick_arrived_ts", "drop_arrived_ts"), x.folder("flags")))
 
 case(
     "r03_perspective_customer",

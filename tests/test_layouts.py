@@ -18,6 +18,7 @@ from lanewise.operators import orders as R
 from lanewise.operators import quality
 from lanewise.operators.ahead import key_bits, may_hold, semi_join_ahead
 from lanewise.operators.chains import root_legs
+from lanewise.operators.dedup import flag_dedup
 from lanewise.operators.joins import legs_of
 from lanewise.plans import carrier, client, lanes, questions
 from lanewise.sources.by_order import open_by_order, stage_by_order, stage_orders_by_code
@@ -298,6 +299,42 @@ def test_rounds_of_chains_leave_each_shipment_once(spark, tmp_path):
     assert {tuple(r) for r in found.collect()} == {(f"{c}-{i}", f"{c}-0", i, False) for c in range(9) for i in range(30)}
 
 
+# ---- flags of first rows ----------------------------------------------------------------------
+def test_flags_in_steps_move_legs_once(spark, make_legs, tmp_path, no_broadcast):
+    def leg(i):
+        hour = None if i % 4 == 0 else f"01/10/2025 {i % 5:02d}:00:00"
+        return {"warpId": None if i % 7 == 0 else f"S-{i % 40}", "loadId": f"l{i % 6}" if i % 9 else None, "carrierName": "c",
+                "pickLocationName": f"p{i % 3}", "dropLocationName": f"d{i % 2}", "pickTimeArrived": hour, "dropTimeArrived": hour}
+
+    legs = make_legs(*map(leg, range(90))).select(
+        "warpId", "loadId", "carrierName", "pickLocationName", "dropLocationName", "pick_arrived_ts", "drop_arrived_ts"
+    )
+
+    def first(rows_in, side):
+        best = {}
+        for r in rows_in:
+            at = r[f"{side}_arrived_ts"]
+            parts = (r.loadId, r.carrierName, r[f"{side}LocationName"], at and at.date())
+            key = None if None in parts else parts
+            row = ((at is not None, at), (r.warpId is not None, r.warpId))
+            best[key] = min(best.get(key, row), row, key=lambda x: (x[0][0], str(x[0][1]), x[1][0], str(x[1][1])))
+        return [
+            r.warpId is not None
+            and best[None if None in (p := (r.loadId, r.carrierName, r[f"{side}LocationName"], (at := r[f"{side}_arrived_ts"]) and at.date())) else p]
+            == ((at is not None, at), (True, r.warpId))
+            for r in rows_in
+        ]
+
+    found = legs.collect()
+    want = [(*r, a, b) for r, a, b in zip(found, first(found, "pick"), first(found, "drop"), strict=True)]
+    assert any(r[-2] for r in want) and any(r[-1] for r in want)
+    for flagged in (flag_dedup(legs), flag_dedup(legs, str(tmp_path / "w"))):
+        assert sorted(map(str, map(tuple, flagged.collect()))) == sorted(map(str, want))
+    once = legs.localCheckpoint()
+    plan = plans.text(flag_dedup(once))
+    assert plan.count("Exchange hashpartitioning(coalesce(warpId") == 1
+
+
 def test_reports_of_any_length_are_numbered(spark, tmp_path):
     df = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 = 1 THEN NULL ELSE concat('k', id % 90) END AS k", "id", "1 AS row_")
     order = (F.asc("k"), F.desc("id"))
