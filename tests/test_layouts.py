@@ -21,6 +21,7 @@ from lanewise.operators.chains import root_legs
 from lanewise.operators.dedup import flag_dedup
 from lanewise.operators.joins import legs_of
 from lanewise.plans import carrier, client, lanes, questions
+from lanewise.sources import changes
 from lanewise.sources.by_order import open_by_order, stage_by_order, stage_orders_by_code
 from lanewise.sources.changes import merge_changes
 from lanewise.sources.reports import number_report
@@ -166,6 +167,37 @@ def test_changes_without_versions_and_a_hot_leg(spark, make_legs, tmp_path):
     assert found == {"S-1": 299, "S-2": None}
 
 
+@pytest.mark.parametrize("most", [1, 30_000])
+def test_partitions_are_written_anew_some_at_a_time(spark, make_legs, tmp_path, monkeypatch, most):
+    path, work, names = str(tmp_path / "staged"), tmp_path / "work", S.LEGS.names
+
+    def leg(i, month, version):
+        return {"warpId": f"S-{i}", "pickWindowFrom": f"{month:02d}/10/2025 08:00:00" if month else None, "pieces": version}
+
+    def versions(*legs):
+        return make_legs(*legs).select(*names).withColumn("version", F.col("pieces").cast("bigint"))
+
+    stage_legs(versions(*(leg(i, i % 9 + 1, 1) for i in range(90)), leg(99, 12, 1)), path, parts=3)
+    state = {i: leg(i, i % 9 + 1, 1) for i in range(90)} | {99: leg(99, 12, 1)}
+    assert rows(load_staged_legs(spark, path), *names) == rows(make_legs(*state.values()), *names)
+    plain, written_at_once = changes.write_staged, []
+
+    def seen(df, *a, **b):
+        written_at_once.append(df.select(*S.MONTHS).distinct().count())
+        plain(df, *a, **b)
+
+    monkeypatch.setattr(changes, "write_staged", seen)
+    monkeypatch.setattr(changes, "GROUP_BYTES", most)
+    monkeypatch.setattr(changes, "GROUPS", 1000)
+    new = {i: leg(i, (i * 5) % 10, 2) for i in range(0, 90, 2)} | {99: leg(99, 4, 2), 200: leg(200, 11, 2)}
+    touched = merge_changes(spark, path, versions(*new.values(), leg(1, 8, 0)), str(work))
+    assert len(written_at_once) > 3
+    assert max(written_at_once) < len(touched) / 2
+    assert rows(load_staged_legs(spark, path), *names) == rows(make_legs(*(state | new).values()), *names)
+    assert not list(Path(path).glob("pick_month=2025-12-01/*/*"))
+    assert not work.exists()
+
+
 # ---- months of delivery ------------------------------------------------------------------
 def test_delivery_windows_skip_partitions(spark):
     spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
